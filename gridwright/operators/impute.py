@@ -55,9 +55,11 @@ def filled(df: DataFrame, c: str, value) -> Column:
     if value is None:
         return F.col(c)
     x = present(df, c)
-    if is_numeric(df.schema[c].dataType) and isinstance(value, float):
+    dtype = df.schema[c].dataType
+    fits = not isinstance(dtype, T.IntegralType) or not isinstance(value, float) or value.is_integer()
+    if is_numeric(dtype) and not fits:
         return F.coalesce(x.cast("double"), F.lit(value)).alias(c)
-    return F.coalesce(x, F.lit(value).cast(df.schema[c].dataType)).alias(c)
+    return F.coalesce(x, F.lit(value).cast(dtype)).alias(c)
 
 
 def apply_fill(df: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -213,16 +213,26 @@ class IsolationForest:
     def fit(self, df: DataFrame) -> "IsolationForest":
         n = df.count()
         self.size = min(self.subsample, n)
-        # every row draws a hash per tree; about twice the wanted rows pass, the lowest hashes stay
         rate = min(1.0, 2.0 * self.subsample / max(n, 1))
-        tree = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
-        drawn = (
-            df.select(*self.key_cols, F.array(*self._values(df)).alias("x"), tree.alias("tree"))
-            .withColumn("u", uniform([*self.key_cols, "tree"], "iforest", self.seed))
-            .where(F.col("u") < rate)
-            .select("tree", "u", "x")
-        )
-        size, seed, width = self.size, self.seed, len(self.cols)
+        x = F.array(*self._values(df)).alias("x")
+        if rate * self.trees <= 1.0:
+            # large table: one hash picks the tree (or none), so nothing is multiplied per tree
+            u = uniform(self.key_cols, "iforest", self.seed)
+            drawn = df.select(*self.key_cols, x, u.alias("u")).where(F.col("u") < rate * self.trees)
+            drawn = drawn.select(
+                F.floor(F.col("u") / rate).cast("int").alias("tree"),
+                (F.col("u") - F.floor(F.col("u") / rate) * rate).alias("u"), "x",
+            )
+        else:
+            # small table: every row draws a hash per tree, the lowest hashes stay
+            tree = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree")
+            drawn = (
+                df.select(*self.key_cols, x, tree)
+                .withColumn("u", uniform([*self.key_cols, "tree"], "iforest", self.seed))
+                .where(F.col("u") < rate)
+                .select("tree", "u", "x")
+            )
+        size, seed = self.size, self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             t = int(pdf["tree"].iloc[0])

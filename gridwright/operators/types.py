@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwright.functions.columns import is_numeric, is_temporal, present, scalar_columns
-from gridwright.operators.profile import column_rows, quality
 
 # The date formats (with the shape a text must have before it is worth parsing) and
 # the boolean words that decide a type.
@@ -40,61 +39,57 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[parse_as(c, f) for f in DATE_FORMATS], parse_any(c))
 
 
+def storage_kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.BooleanType):
+        return "boolean"
+    if is_temporal(dtype):
+        return "datetime"
+    if isinstance(dtype, (T.IntegerType, T.LongType)):
+        return "integer"
+    return "number" if is_numeric(dtype) else "string"
+
+
 def type_facts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: storage family, non-null count, distinct count and the string/number tests."""
-    cols = list(cols or scalar_columns(df))
+    """Per column: storage kind, counts, distinct count and the string/number tests.
 
-    def kind(c):
-        d = df.schema[c].dataType
-        if isinstance(d, T.BooleanType):
-            return "boolean"
-        if is_temporal(d):
-            return "datetime"
-        if isinstance(d, (T.IntegerType, T.LongType)):
-            return "integer"
-        return "number" if is_numeric(d) else "string"
-
-    def if_string(c, expr):
-        return expr if kind(c) == "string" else F.lit(False)
-
-    def dates_ok(c):
-        if kind(c) != "string":
-            return F.max(F.lit(False))
-        bad = [
-            F.count_if(F.col(c).isNotNull() & parse_as(F.col(c), f).isNull()) == 0
-            for f in DATE_FORMATS
-        ]
-        out = F.count_if(F.col(c).isNotNull() & parse_any(F.col(c)).isNull()) == 0
-        for b in bad:
-            out = out | b
-        return out
-
-    def zero_one(c):
-        if kind(c) in ("integer", "number"):
-            return F.coalesce(F.bool_and(present(df, c).cast("double").isin(0.0, 1.0)), F.lit(False))
-        return F.max(F.lit(False))
-
-    def bool_words(c):
-        if kind(c) != "string":
-            return F.max(F.lit(False))
-        return F.coalesce(F.bool_and(F.trim(F.lower(c)).isin(*BOOLEAN_WORDS)), F.lit(False))
-
-    def avg_len(c):
-        return F.avg(F.length(c)) if kind(c) == "string" else F.max(F.lit(0.0))
-
-    facts = column_rows(
-        df,
-        cols,
-        {
-            "kind": lambda c: F.max(F.lit(kind(c))),
-            "n_present": lambda c: F.count(present(df, c)),
-            "zero_one": zero_one,
-            "bool_words": bool_words,
-            "dates_ok": dates_ok,
-            "avg_len": avg_len,
-        },
+    One pass: cells are counted by distinct value first, so each test runs once per distinct value
+    and not once per row. A long text travels as its digest (it is neither a date nor a word).
+    """
+    cols = list(cols or scalar_columns(df))
+    kinds = F.create_map(
+        *[x for c in cols for x in (F.lit(c), F.lit(storage_kind(df.schema[c].dataType)))]
+    )
+    cells = df.select(*[present(df, c).cast("string").alias(c) for c in cols]).unpivot(
+        [], cols, "column", "value"
+    )
+    size = F.length("value")
+    counts = (
+        cells.select("column", F.when(size > 32, F.md5("value")).otherwise(F.col("value")).alias("v"), size.alias("len"))
+        .groupBy("column", "v", "len")
+        .agg(F.count("*").alias("n"))
+        .withColumn("kind", kinds[F.col("column")])
+    )
+    v = F.when((F.col("kind") == "string") & (F.col("len") <= 32), F.col("v"))
+    text = F.col("kind") == "string"
+    number = F.col("kind").isin("integer", "number")
+    known = F.col("v").isNotNull()
+    every = lambda ok: F.coalesce(F.bool_and(F.when(known, F.coalesce(ok, F.lit(False)))), F.lit(False))
+    tests = {f"d{i}": every(parse_as(v, f).isNotNull()) for i, f in enumerate(DATE_FORMATS)}
+    facts = counts.groupBy("column").agg(
+        F.first("kind").alias("kind"),
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_present"),
+        F.count("v").alias("n_unique"),
+        every(number & F.col("v").try_cast("double").isin(0.0, 1.0)).alias("zero_one"),
+        every(text & F.trim(F.lower(v)).isin(*BOOLEAN_WORDS)).alias("bool_words"),
+        (F.sum(F.col("len") * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("avg_len"),
+        every(parse_any(v).isNotNull()).alias("d_any"),
+        *[e.alias(k) for k, e in tests.items()],
+    )
+    return facts.select(
+        "column", "kind", "n_rows", "n_present", "n_unique", "zero_one", "bool_words", "avg_len",
+        F.greatest("d_any", *tests).alias("dates_ok"),
     )
-    return facts.join(quality(df, cols).select("column", "n_rows", "n_unique"), "column")
 
 
 def _label(facts: DataFrame, expr) -> DataFrame:
