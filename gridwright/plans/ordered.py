@@ -29,13 +29,6 @@ MAX_GROUP_ROWS = 2_000_000
 SEG = "__seg"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys; no hint, so AQE broadcasts the side only when it is small."""
     right = side.select(*[F.col(k).alias(f"__j_{k}") for k in keys], *cols)
@@ -120,28 +113,30 @@ def prefix_sums(
     inclusive: bool = True,
     totals: dict[str, str] | None = None,
     segments: int | None = None,
+    how: str = "sum",
 ) -> DataFrame:
-    """Running sums in the given order without a one-task window.
+    """Running sums (or minima / maxima, `how`) in the given order without a one-task window.
 
-    `sums` maps an output column to the expression to add up; `totals` optionally maps a sum to an
-    output column with its group total.
+    `sums` maps an output column to the expression to accumulate; `totals` optionally maps it to
+    an output column with its group total. An exclusive minimum has no value on a group's first row.
     """
     groups = list(group_cols)
     totals = totals or {}
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    zero = (lambda c: F.coalesce(c, F.lit(0))) if how == "sum" else (lambda c: c)
+    merge = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how]
     work = df
     for name, expr in sums.items():
         work = work.withColumn(f"__v_{name}", expr)
     seg = segmented(work, groups, order, segments)
-    per = seg.groupBy(*groups, SEG).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    per = seg.groupBy(*groups, SEG).agg(*[agg(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     side = per
     for n in sums:
-        side = side.withColumn(
-            f"__o_{n}", F.coalesce(F.sum(f"__t_{n}").over(_before(SEG, groups)), F.lit(0))
-        )
+        side = side.withColumn(f"__o_{n}", zero(agg(f"__t_{n}").over(_before(SEG, groups))))
     carried = [f"__o_{n}" for n in sums]
     everything = Window.partitionBy(*(groups or [F.lit(0)]))
     for n, alias in totals.items():
-        side = side.withColumn(alias, F.sum(f"__t_{n}").over(everything))
+        side = side.withColumn(alias, agg(f"__t_{n}").over(everything))
         carried.append(alias)
     joined = _attach(seg, side, [*groups, SEG], carried)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -153,9 +148,7 @@ def prefix_sums(
     )
     out = joined
     for n in sums:
-        out = out.withColumn(
-            n, F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0))
-        )
+        out = out.withColumn(n, merge(F.col(f"__o_{n}"), zero(agg(f"__v_{n}").over(local))))
     return out.drop(SEG, *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 

@@ -7,12 +7,14 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import numeric_columns, scalar_columns, string_columns
 from gridwright.operators import encode, impute, outlier, scale, schema
 from gridwright.operators.types import infer_types
+from gridwright.plans.quantiles import fit_quantiles
 
 
 @dataclass(frozen=True)
@@ -78,21 +80,35 @@ def fit_prepare(
     """Types, constants, fill values, outlier bounds and scalers, all fitted on the raw values of
     the de-duplicated table. Keys are carried through and never treated as features."""
     cols = [c for c in (feature_cols or scalar_columns(df)) if c not in key_cols]
-    types = infer_types(df, cols)
-    base = df.dropDuplicates() if config.drop_duplicates else df
-    constant = schema.constant_columns(df, cols) if config.drop_constant else []
-    nums = [c for c in cols if types[c] == "numerical" and c not in constant]
-    words = [c for c in cols if types[c] in ("categorical", "boolean") and c in string_columns(df) and c not in constant]
-    flags = [c for c in cols if types[c] == "boolean" and c in numeric_columns(df) and c not in constant]
-    fill = impute.fit_fill(
-        base,
-        {c: config.numeric_fill for c in nums}
-        | {c: config.categorical_fill for c in words}
-        | {c: "mode" for c in flags},
-    )
-    bounds = outlier.fit_bounds(base, nums, config.outlier_method) if config.remove_outliers and nums else {}
-    bounds = {c: b for c, b in bounds.items() if b[0] is not None}
-    scaler = scale.fit_scaler(base, nums, config.scaling, config.null_as_zero) if config.scaling else {}
+    base = df
+    if config.drop_duplicates:
+        # the fit reads this table several times; the de-duplication shuffle runs once
+        base = df.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        types = infer_types(base, cols)
+        constant = schema.constant_columns(base, cols) if config.drop_constant else []
+        live = [c for c in cols if c not in constant]
+        texts = set(string_columns(df))
+        nums = [c for c in live if types[c] == "numerical"]
+        words = [c for c in live if types[c] in ("categorical", "boolean") and c in texts]
+        flags = [c for c in live if types[c] == "boolean" and c not in texts]
+        fill: dict[str, object] = {}
+        bounds: dict[str, tuple] = {}
+        if nums and config.numeric_fill == "median" and config.outlier_method == "iqr":
+            q = fit_quantiles(base, nums, [0.25, 0.5, 0.75])
+            fill = {c: v[1] for c, v in q.items()}
+            bounds = {c: (a - 1.5 * (d - a), d + 1.5 * (d - a)) for c, (a, _, d) in q.items() if a is not None}
+        elif nums:
+            fill = impute.fit_fill(base, {c: config.numeric_fill for c in nums})
+            bounds = outlier.fit_bounds(base, nums, config.outlier_method)
+        fill |= impute.fit_fill(base, {c: config.categorical_fill for c in words} | {c: "mode" for c in flags})
+        if not config.remove_outliers:
+            bounds = {}
+        bounds = {c: b for c, b in bounds.items() if b[0] is not None}
+        scaler = scale.fit_scaler(base, nums, config.scaling, config.null_as_zero) if config.scaling else {}
+    finally:
+        if base is not df:
+            base.unpersist()
     return Prepared(config, types, constant, fill, bounds, scaler, list(key_cols))
 
 

@@ -93,8 +93,8 @@ def enc1(spark, sf):
 
 @query(
     "enc1_first_seen",
-    """SELECT key, row_number() OVER (ORDER BY at, key) - 1 AS value FROM (
-    SELECT o_custkey AS key, min(o_orderkey) AS at FROM orders GROUP BY 1)""",
+    """SELECT key, row_number() OVER (ORDER BY seen, key) - 1 AS value FROM (
+    SELECT o_custkey AS key, min(o_orderkey) AS seen FROM orders GROUP BY 1)""",
 )
 def enc1_first(spark, sf):
     return encode.first_seen_mapping(table(spark, sf, "orders"), "o_custkey", ["o_orderkey"])
@@ -115,11 +115,11 @@ def enc2(spark, sf):
 @query(
     "enc3_target",
     f"""WITH m AS (SELECT o_custkey AS v, avg(o_totalprice) AS m FROM orders WHERE o_orderdate < {_EARLY} GROUP BY 1)
-    SELECT o_orderkey, round(coalesce(m, (SELECT avg(m) FROM m)), 4) AS code FROM orders LEFT JOIN m ON o_custkey = v""",
+    SELECT o_orderkey, round(coalesce(m, (SELECT avg(m) FROM m)), 6) AS code FROM orders LEFT JOIN m ON o_custkey = v""",
 )
 def enc3(spark, sf):
     t, early = _orders(spark, sf)
-    return rounded(encode.encode_category(early, t, "o_custkey", "target", "code", "o_totalprice").select("o_orderkey", "code"), 4)
+    return rounded(encode.encode_category(early, t, "o_custkey", "target", "code", "o_totalprice").select("o_orderkey", "code"))
 
 
 @query(
