@@ -13,8 +13,24 @@ from gridwright.plans.ordered import prefix_sums
 MAX_DISTINCT = 1_000_000
 
 
+def grouped_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str, n: str, probs: Sequence[float]) -> DataFrame:
+    """(groups, p, q) from a table of distinct values with counts: prefix-sum the counts and read
+    off the two neighbours of each rank."""
+    groups = list(group_cols)
+    cum = prefix_sums(counts, groups, [value], {"__hi": F.col(n)}, totals={"__hi": "__tot"})
+    wanted = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs))])))
+    wanted = wanted.withColumn("__h", F.col("p") * (F.col("__tot") - 1))
+    lo = F.floor("__h")
+    covers = lambda r: (F.col("__hi") > r) & (F.col("__hi") - F.col(n) <= r)
+    picked = wanted.groupBy(*groups, "p").agg(
+        F.max(F.when(covers(lo), F.col(value))).alias("a"),
+        F.max(F.when(covers(F.ceil("__h")), F.col(value))).alias("b"),
+        F.first(F.col("__h") - lo).alias("w"),
+    )
+    return picked.select(*groups, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
+
+
 def quantiles_by_rank(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Count distinct values, prefix-sum the counts, read off the two neighbours of each rank."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), as_number(df, c).alias("v")) for c in cols])
     counts = (
         df.select(F.explode(cells).alias("s"))
@@ -23,18 +39,8 @@ def quantiles_by_rank(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         .groupBy("column", "v")
         .agg(F.count("*").alias("n"))
     )
-    cum = prefix_sums(counts, ["column"], ["v"], {"hi": F.col("n")}, totals={"hi": "tot"})
-    wanted = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs))])))
-    wanted = wanted.withColumn("h", F.col("p") * (F.col("tot") - 1))
-    lo = F.floor("h")
-    covers = lambda r: (F.col("hi") > r) & (F.col("hi") - F.col("n") <= r)
-    picked = wanted.groupBy("column", "p").agg(
-        F.max(F.when(covers(lo), F.col("v"))).alias("a"),
-        F.max(F.when(covers(F.ceil("h")), F.col("v"))).alias("b"),
-        F.first(F.col("h") - lo).alias("w"),
-    )
     # columns x probabilities rows
-    found = {(r["column"], r["p"]): r["a"] + (r["b"] - r["a"]) * r["w"] for r in picked.collect()}
+    found = {(r["column"], r["p"]): r["q"] for r in grouped_quantiles(counts, ["column"], "v", "n", probs).collect()}
     return {c: [found.get((c, float(p))) for p in probs] for c in cols}
 
 
