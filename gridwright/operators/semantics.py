@@ -68,13 +68,11 @@ def columns_frame(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
 
 def name_scores(name: Column) -> dict[str, Column]:
     """Share of each domain's words that occur in the name."""
-    out = {}
-    for d, words in DOMAINS.items():
-        hits = F.lit(0)
-        for w in words:
-            hits = hits + F.contains(F.lower(name), F.lit(w)).cast("int")
-        out[d] = hits / len(words)
-    return out
+    low = F.lower(name)
+    return {
+        d: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))) / len(words)
+        for d, words in DOMAINS.items()
+    }
 
 
 def best_domain(scores: dict[str, Column]) -> Column:
@@ -95,8 +93,11 @@ def with_domain(columns: DataFrame, bonus: DataFrame | None = None) -> DataFrame
             d: s + (F.coalesce(F.col(f"bonus_{d}"), F.lit(0.0)) if d in ("identity", "finance", "temporal") else F.lit(0.0))
             for d, s in scores.items()
         }
-    out = columns.select("*", best_domain(scores).alias("domain"), F.greatest(*scores.values()).alias("domain_score"))
-    return out.drop("bonus_identity", "bonus_finance", "bonus_temporal")
+    # scores first, so that the choice reads them and does not repeat the word tests
+    scored = columns.select("*", *[s.alias(f"__{d}") for d, s in scores.items()])
+    cols = {d: F.col(f"__{d}") for d in scores}
+    out = scored.select("*", best_domain(cols).alias("domain"), F.greatest(*cols.values()).alias("domain_score"))
+    return out.drop("bonus_identity", "bonus_finance", "bonus_temporal", *[f"__{d}" for d in scores])
 
 
 def pattern_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

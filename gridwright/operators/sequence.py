@@ -118,6 +118,18 @@ def naive_next_row(
     return row_frames(df, group_cols, order_cols, 1, 0, compute)
 
 
+def with_next(
+    df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], cols: Sequence[str]
+) -> DataFrame:
+    """Adds {col}_next from the following row of the group."""
+
+    def compute(work: DataFrame, part: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*order_cols)
+        return work.select("*", *[F.lead(c).over(w).alias(f"{c}_next") for c in cols])
+
+    return row_frames(df, group_cols, order_cols, 0, 1, compute)
+
+
 def next_row_errors(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """(column, metric, value) over rows with a prediction, and averages over columns."""
     aggs = []
