@@ -144,9 +144,12 @@ def shuffle_features(df, keys, ratio=0.5, probability=0.3, salt="shuffle", seed=
     return _gated(work, keys, probability, salt, seed, {"x": moved("x"), "m": moved("m")}).drop("__to", "__from")
 
 
-def cutmix(df, keys, ratio=0.3, probability=0.2, buckets=1024, salt="cutmix", seed=42) -> DataFrame:
+def cutmix(df, keys, ratio=0.3, probability=0.2, buckets: int | None = None, salt="cutmix", seed=42) -> DataFrame:
     """int(n * ratio) features come from a partner row: the next in hash order inside the same hash
-    bucket, the bucket's first for its last row. Buckets come from the row hash, so they are even."""
+    bucket, the bucket's first for its last row. Buckets come from the row hash, so they are even;
+    their number follows the row count (about 100,000 rows each) unless given."""
+    if buckets is None:
+        buckets = max(16, df.count() // 100_000)
     h = key_hash(keys, salt, seed)
     work = df.withColumn("__h", h).withColumn("__b", F.floor(hex_uniform(h) * buckets).cast("int"))
     w = Window.partitionBy("__b").orderBy("__h")

@@ -141,9 +141,9 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarr
     return np.array([row[f"m{i}"] for i in range(len(cols))]), cov
 
 
-def mahalanobis(df: DataFrame, cols: Sequence[str], out: str = "score") -> DataFrame:
-    """Squared Mahalanobis distance to the mean as one SQL expression."""
-    mean, cov = covariance(df, cols)
+def mahalanobis(df: DataFrame, cols: Sequence[str], out: str = "score", fit_on: DataFrame | None = None) -> DataFrame:
+    """Squared Mahalanobis distance to the mean (of `fit_on`) as one SQL expression."""
+    mean, cov = covariance(df if fit_on is None else fit_on, cols)
     inv = np.linalg.pinv(cov)
     d = [F.coalesce(as_number(df, c), F.lit(0.0)) - F.lit(float(m)) for c, m in zip(cols, mean)]
     total = F.lit(0.0)

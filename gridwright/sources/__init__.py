@@ -1 +1 @@
-
+"""Readers, the data set catalogue, sinks and generators."""
