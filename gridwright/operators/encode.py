@@ -11,6 +11,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.functions.bisect import edges_passed
 from gridwright.functions.columns import as_number, numeric_columns, present, string_columns
 from gridwright.operators.scale import fit_scaler
 from gridwright.plans.ordered import prefix_sums
@@ -151,17 +152,6 @@ def uniform_edges(df: DataFrame, cols: Sequence[str], n_bins: int = 100) -> dict
     return {c: [float(v) for v in np.linspace(row[f"a{i}"], row[f"b{i}"], n_bins + 1)] for i, c in enumerate(cols)}
 
 
-def edges_passed(x: Column, edges: Sequence[float]) -> Column:
-    """How many edges are <= x, as a balanced tree of comparisons (stays in generated code)."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= F.lit(edges[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(edges))
-
-
 def bin_id(x: Column, edges: Sequence[float]) -> Column:
     """0-based bin, clipped to the outer bins; a missing value gets the bin after the last."""
     n = len(edges) - 1

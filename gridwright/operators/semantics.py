@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridwright.functions.bisect import edges_passed
 from gridwright.functions.columns import as_number, numeric_columns, scalar_columns
 from gridwright.functions.vectors import cosine
 from gridwright.operators import profile
-from gridwright.operators.encode import edges_passed, uniform_edges
+from gridwright.operators.encode import uniform_edges
 from gridwright.operators.types import parse_any, tokenizer_types, type_facts
 
 # Domain words, in the order in which ties are broken.

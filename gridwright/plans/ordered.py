@@ -97,12 +97,13 @@ def hash_rank(
 def segmented(
     df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str], segments: int | None = None
 ) -> DataFrame:
-    """Cut (group, order) into range segments of similar size; the cut is fixed by a checkpoint."""
+    """Cut (group, order) into range segments of similar size; the cut is fixed by a checkpoint.
+
+    Without a number, AQE merges neighbouring ranges of a small input, which keeps their order.
+    """
     cols = [F.col(g) for g in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order]
-    spark = df.sparkSession
-    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *cols).withColumn(SEG, F.spark_partition_id())
-    return checkpointed(ranged)
+    ranged = df.repartitionByRange(segments, *cols) if segments else df.repartitionByRange(*cols)
+    return checkpointed(ranged.withColumn(SEG, F.spark_partition_id()))
 
 
 def prefix_sums(
@@ -159,13 +160,14 @@ def order_position(
     out: str = "pos",
     total: str | None = None,
     max_group: int = MAX_GROUP_ROWS,
+    segments: int | None = None,
 ) -> DataFrame:
     """1-based position in each group; a window when groups are small, segments otherwise."""
     if group_cols and largest_group(df, group_cols) <= max_group:
         w = Window.partitionBy(*group_cols)
         res = df.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long"))
         return res.withColumn(total, F.count(F.lit(1)).over(w)) if total else res
-    return prefix_sums(df, group_cols, order, {out: F.lit(1)}, totals={out: total} if total else None)
+    return prefix_sums(df, group_cols, order, {out: F.lit(1)}, totals={out: total} if total else None, segments=segments)
 
 
 def row_frames(
@@ -177,6 +179,7 @@ def row_frames(
     compute: Callable[[DataFrame, list[str]], DataFrame],
     max_group: int = MAX_GROUP_ROWS,
     chunk_rows: int = 100_000,
+    segments: int | None = None,
 ) -> DataFrame:
     """Apply a row-frame computation that looks at most `before` rows back and `after` ahead.
 
@@ -191,7 +194,7 @@ def row_frames(
         work = df.withColumn("__pos", F.row_number().over(w).cast("long"))
         return compute(work, groups).drop("__pos")
     size = max(chunk_rows, before + after + 1)
-    work = prefix_sums(df, groups, order, {"__pos": F.lit(1)})
+    work = prefix_sums(df, groups, order, {"__pos": F.lit(1)}, segments=segments)
     home = F.floor((F.col("__pos") - 1) / size)
     last = F.floor((F.col("__pos") - 1 + before) / size)
     first = F.floor(F.greatest(F.col("__pos") - 1 - after, F.lit(0)) / size)
@@ -207,6 +210,7 @@ def carry_last(
     values: dict[str, Column],
     backward: bool = False,
     max_group: int = MAX_GROUP_ROWS,
+    segments: int | None = None,
 ) -> DataFrame:
     """Last non-null value at or before each row (or the next one at or after, `backward`)."""
     groups = list(group_cols)
@@ -220,7 +224,7 @@ def carry_last(
         for n in values:
             work = work.withColumn(n, F.last(f"__c_{n}", ignorenulls=True).over(w))
         return work.drop(*[f"__c_{n}" for n in values])
-    seg = segmented(work, groups, order)
+    seg = segmented(work, groups, order, segments)
     place = F.struct(*order)
     best = F.min_by if backward else F.max_by
     per = seg.groupBy(*groups, SEG).agg(

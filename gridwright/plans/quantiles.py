@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import as_number
-from gridwright.plans.ordered import prefix_sums
+from gridwright.plans.ordered import SEG, prefix_sums, segmented
 
 MAX_DISTINCT = 1_000_000
+MAX_HISTOGRAM_WORK = 5_000_000  # distinct values x probabilities
 
 
 def grouped_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str, n: str, probs: Sequence[float]) -> DataFrame:
@@ -31,17 +33,44 @@ def grouped_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str,
 
 
 def quantiles_by_rank(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_number(df, c).alias("v")) for c in cols])
+    """Count distinct values, cut them into range segments, and look for each wanted rank only in the
+    segment that holds it. The driver sees one row per (column, segment) and at most two values per
+    probability and column."""
     counts = (
-        df.select(F.explode(cells).alias("s"))
-        .select("s.column", "s.v")
+        df.select(*[as_number(df, c).alias(c) for c in cols])
+        .unpivot([], list(cols), "column", "v")
         .where(F.col("v").isNotNull())
         .groupBy("column", "v")
         .agg(F.count("*").alias("n"))
     )
-    # columns x probabilities rows
-    found = {(r["column"], r["p"]): r["q"] for r in grouped_quantiles(counts, ["column"], "v", "n", probs).collect()}
-    return {c: [found.get((c, float(p))) for p in probs] for c in cols}
+    seg = segmented(counts, ["column"], ["v"])
+    sizes = seg.groupBy("column", SEG).agg(F.sum("n").alias("n")).orderBy("column", SEG).collect()
+    totals: dict[str, int] = {}
+    starts: list[tuple[str, int, int, int]] = []
+    for r in sizes:
+        at = totals.get(r["column"], 0)
+        starts.append((r["column"], r[SEG], at, at + r["n"]))
+        totals[r["column"]] = at + r["n"]
+    places = {c: [p * (totals[c] - 1) for p in probs] for c in cols if c in totals}
+    out: dict[str, list[float]] = {c: [None] * len(probs) for c in cols}
+    if not places:
+        return out
+    ranks = {c: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))}) for c, hs in places.items()}
+    wanted = [(c, s, lo, [r for r in ranks[c] if lo <= r < hi]) for c, s, lo, hi in starts]
+    side = df.sparkSession.createDataFrame(
+        [w for w in wanted if w[3]], "c string, s int, lo long, ranks array<long>"
+    )
+    local = Window.partitionBy("column", SEG).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = seg.join(side, (F.col("column") == F.col("c")) & (F.col(SEG) == F.col("s")))
+    near = near.withColumn("hi", F.col("lo") + F.sum("n").over(local))
+    held = F.filter("ranks", lambda r: (r < F.col("hi")) & (r >= F.col("hi") - F.col("n")))
+    hits = near.select("column", "v", F.explode(held).alias("rank")).collect()
+    found = {(r["column"], r["rank"]): r["v"] for r in hits}
+    for c, hs in places.items():
+        for i, h in enumerate(hs):
+            a, b = found[c, math.floor(h)], found[c, math.ceil(h)]
+            out[c][i] = a + (b - a) * (h - math.floor(h))
+    return out
 
 
 def fit_quantiles(
@@ -54,7 +83,8 @@ def fit_quantiles(
     """Quantiles per column on the driver (columns x probabilities numbers).
 
     Spark's `percentile` keeps a histogram of distinct values in one task; it is used only when the
-    sketch count of distinct values is below `max_distinct`, else the rank-based plan.
+    sketch count of distinct values is below `max_distinct` (and few probabilities are asked of many
+    values), else the rank-based plan.
     """
     cols = list(cols)
     if not cols:
@@ -65,8 +95,9 @@ def fit_quantiles(
         ).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
     sizes = df.agg(*[F.approx_count_distinct(as_number(df, c)).alias(c) for c in cols]).first()
-    small = [c for c in cols if sizes[c] <= max_distinct]
-    large = [c for c in cols if sizes[c] > max_distinct]
+    limit = min(max_distinct, MAX_HISTOGRAM_WORK // max(len(probs), 1))
+    small = [c for c in cols if sizes[c] <= limit]
+    large = [c for c in cols if sizes[c] > limit]
     out: dict[str, list[float]] = {}
     if small:
         p = F.array(*[F.lit(float(x)) for x in probs])
