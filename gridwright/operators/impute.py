@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwright.functions.columns import as_number, is_numeric, numeric_columns, present, string_columns
+from gridwright.operators.profile import column_rows, missing_count, value_counts
 from gridwright.plans.ordered import MAX_GROUP_ROWS, carry_last, order_position
 from gridwright.plans.quantiles import fit_median
 
@@ -21,11 +22,18 @@ def fit_mean(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent value, the smallest on ties; counted by key, so no task holds all values."""
-    out = {}
+    """Most frequent value, the smallest on ties; counted by key, so no task holds all values. All
+    string columns share one pass."""
+    out: dict[str, object] = {c: None for c in cols}
+    texts = [c for c in cols if c in string_columns(df)]
+    best = F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("value")
+    if texts:
+        known = value_counts(df, texts).where(F.col("value").isNotNull())
+        out |= {r["column"]: r["value"] for r in known.groupBy("column").agg(best).collect()}
     for c in cols:
-        counts = df.select(present(df, c).alias("v")).where("v is not null").groupBy("v").count()
-        out[c] = counts.agg(F.min_by("v", F.struct(-F.col("count"), F.col("v")))).first()[0]
+        if c not in texts:
+            counts = df.select(present(df, c).alias("value")).where("value is not null").groupBy("value").count()
+            out[c] = counts.agg(best).first()[0]
     return out
 
 
@@ -68,8 +76,6 @@ def apply_fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
 
 def fill_log(df: DataFrame, values: dict[str, object]) -> DataFrame:
     """Cells that the fitted values would fill, per column."""
-    from gridwright.operators.profile import column_rows, missing_count
-
     return column_rows(df, [c for c in values if c in df.columns], {"n_filled": missing_count(df)})
 
 

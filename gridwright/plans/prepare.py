@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.columns import numeric_columns, scalar_columns, string_columns
 from gridwright.operators import encode, impute, outlier, scale, schema
-from gridwright.operators.types import infer_types
+from gridwright.operators.profile import column_rows, missing_count
+from gridwright.operators.types import general_types, normalizer_types, type_facts
 from gridwright.plans.quantiles import fit_quantiles
 
 
@@ -85,9 +86,10 @@ def fit_prepare(
         # the fit reads this table several times; the de-duplication shuffle runs once
         base = df.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        types = infer_types(base, cols)
-        constant = schema.constant_columns(base, cols) if config.drop_constant else []
-        live = [c for c in cols if c not in constant]
+        facts = {r["column"]: r for r in general_types(type_facts(base, cols)).collect()}  # one row per column
+        types = {c: facts[c]["semantic_type"] for c in cols if c in facts}
+        constant = [c for c in types if facts[c]["n_unique"] <= 1] if config.drop_constant else []
+        live = [c for c in types if c not in constant]
         texts = set(string_columns(df))
         nums = [c for c in live if types[c] == "numerical"]
         words = [c for c in live if types[c] in ("categorical", "boolean") and c in texts]
@@ -168,8 +170,6 @@ class RobustNormalizer:
 
     def action_log(self, df: DataFrame) -> DataFrame:
         """(step, column, n_cells): cells touched by filling and by the outlier action."""
-        from gridwright.operators.profile import column_rows
-
         fills = impute.fill_log(df, self.fill).select(
             F.lit("fill").alias("step"), "column", F.col("n_filled").alias("n_cells")
         )
@@ -183,8 +183,6 @@ def fit_robust(
     df: DataFrame, config: RobustConfig = RobustConfig(), target: str | None = None,
     exclude: Sequence[str] = (),
 ) -> RobustNormalizer:
-    from gridwright.operators.types import normalizer_types, type_facts
-
     cols = [c for c in scalar_columns(df) if c != target and c not in exclude]
     kinds = {r["column"]: r["semantic_type"] for r in normalizer_types(type_facts(df, cols)).collect()}
     nums = [c for c in cols if kinds[c] == "numerical"]
@@ -236,8 +234,6 @@ def repair(
 
     All outlier bounds are measured on the filled table before any row is removed.
     """
-    from gridwright.operators.profile import column_rows, missing_count
-
     log: list[tuple[str, str, int]] = []
     out = df
     if expected_columns is not None:
