@@ -131,7 +131,3 @@ def interpolate(
         return F.coalesce(present(df, c).cast("double"), between, a["v"]).alias(c)
 
     return out.select(*[value(c) if c in cols else F.col(c) for c in df.columns])
-
-
-def supported_fill(dtype: T.DataType) -> bool:
-    return is_numeric(dtype) or isinstance(dtype, (T.StringType, T.BooleanType))

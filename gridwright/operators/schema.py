@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.functions.columns import dtype_family, is_numeric, present
-from gridwright.operators.profile import column_rows, quality
+from gridwright.functions.columns import dtype_family, present
+from gridwright.operators.profile import column_rows
 from gridwright.operators.types import BOOLEAN_WORDS, general_types, parse_date, type_facts
 
 ISSUE_SCHEMA = "severity string, code string, column string, message string"

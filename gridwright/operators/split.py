@@ -8,10 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.hashing import key_hash, uniform
-from gridwright.plans.ordered import hash_rank, prefix_sums
-
-TOP_K = 100_000
+from gridwright.functions.hashing import uniform
+from gridwright.plans.ordered import hash_parts, hash_rank, prefix_sums
 
 
 def sample(
@@ -20,10 +18,7 @@ def sample(
     """Exactly n rows (or the fraction) without replacement: the lowest hashes."""
     if n is None:
         n = int(df.count() * fraction)
-    if n <= TOP_K:
-        # a top-k: each task keeps at most n rows
-        return df.orderBy(key_hash(key_cols, "", seed), *key_cols).limit(n)
-    return hash_rank(df, key_cols, seed, out="__r").where(F.col("__r") <= n).drop("__r")
+    return hash_parts(df, key_cols, lambda _: [F.lit(n)], seed, out="__p").where("__p = 0").drop("__p")
 
 
 def allocation(df: DataFrame, strata: str, n: int) -> DataFrame:
@@ -59,11 +54,13 @@ def split(
     """Adds the split name: the first int(train * n) ranks, then int(val * n), then the rest."""
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("train, val and test must sum to 1")
-    ranked = hash_rank(df, key_cols, seed, [stratify] if stratify else [], "__r", total="__n")
-    a = F.floor(F.col("__n") * F.lit(float(train)))
-    b = a + F.floor(F.col("__n") * F.lit(float(val)))
-    name = F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")
-    return ranked.select(*df.columns, name.alias(out))
+    def bounds(n):
+        a = F.floor(n * F.lit(float(train)))
+        return [a, a + F.floor(n * F.lit(float(val)))]
+
+    parts = hash_parts(df, key_cols, bounds, seed, [stratify] if stratify else [], "__p")
+    name = F.when(F.col("__p") == 0, "train").when(F.col("__p") == 1, "val").otherwise("test")
+    return parts.select(*df.columns, name.alias(out))
 
 
 def split_by_hash(
@@ -78,9 +75,9 @@ def train_eval(
     df: DataFrame, key_cols: Sequence[str], eval_share: float = 0.2, stratify: str | None = None, seed: int = 42
 ) -> DataFrame:
     """Two parts, 'train' and 'eval'; the evaluation part takes ceil(share * n)."""
-    ranked = hash_rank(df, key_cols, seed, [stratify] if stratify else [], "__r", total="__n")
-    name = F.when(F.col("__r") <= F.ceil(F.col("__n") * F.lit(eval_share)), "eval").otherwise("train")
-    return ranked.select(*df.columns, name.alias("split"))
+    bounds = lambda n: [F.ceil(n * F.lit(eval_share))]
+    parts = hash_parts(df, key_cols, bounds, seed, [stratify] if stratify else [], "__p")
+    return parts.select(*df.columns, F.when(F.col("__p") == 0, "eval").otherwise("train").alias("split"))
 
 
 def folds(df: DataFrame, key_cols: Sequence[str], k: int = 5, stratify: str | None = None, seed: int = 42) -> DataFrame:

@@ -94,6 +94,44 @@ def hash_rank(
     return ranked.drop("__h", SEG, "__off", "__tot")
 
 
+def hash_parts(
+    df: DataFrame,
+    key_cols: Sequence[str],
+    bounds: Callable[[Column], list[Column]],
+    seed: int = 42,
+    group_cols: Sequence[str] = (),
+    out: str = "part",
+    digits: int = 3,
+) -> DataFrame:
+    """Part number (0, 1, ...) of each row when its group, in hash order, is cut at the given ranks.
+
+    `bounds(n)` gives the last rank of every part but the final one, from the group size. The rows
+    are counted per hash prefix; a prefix that lies inside one part decides its rows at once, and
+    only the few prefixes that a cut goes through are ranked. So the bulk is never shuffled.
+    """
+    groups = list(group_cols)
+    pre = "__cut"
+
+    def part(rank: Column, total: Column) -> Column:
+        p = F.lit(0)
+        for b in bounds(total):
+            p = p + (rank > b).cast("int")
+        return p
+
+    work = df.withColumn(pre, F.substring(key_hash(key_cols, "", seed), 1, digits))
+    counts = work.groupBy(*groups, pre).agg(F.count("*").alias("__n"))
+    side = counts.withColumn("__cut_off", F.coalesce(F.sum("__n").over(_before(pre, groups)), F.lit(0)))
+    side = side.withColumn("__cut_n", F.sum("__n").over(Window.partitionBy(*(groups or [F.lit(0)]))))
+    side = side.withColumn("__cut_a", part(F.col("__cut_off") + 1, F.col("__cut_n"))).withColumn(
+        "__cut_b", part(F.col("__cut_off") + F.col("__n"), F.col("__cut_n"))
+    )
+    joined = _attach(work, side, [*groups, pre], ["__cut_off", "__cut_n", "__cut_a", "__cut_b"])
+    sure = joined.where(F.col("__cut_a") == F.col("__cut_b")).select(*df.columns, F.col("__cut_a").alias(out))
+    edge = hash_rank(joined.where(F.col("__cut_a") != F.col("__cut_b")), key_cols, seed, [*groups, pre], "__k")
+    edge = edge.select(*df.columns, part(F.col("__cut_off") + F.col("__k"), F.col("__cut_n")).alias(out))
+    return sure.unionByName(edge)
+
+
 def segmented(
     df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str], segments: int | None = None
 ) -> DataFrame:

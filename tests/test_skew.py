@@ -127,3 +127,13 @@ def test_auc_with_ties(spark):
     pos, neg = [s for y, s in rows_ if y], [s for y, s in rows_ if not y]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert classification.binary_areas(df, "s").first()["roc_auc"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_hash_parts_equal_ranks(hot, digits):
+    bounds = lambda n: [F.floor(n * 0.37), F.floor(n * 0.6)]
+    got = ordered.hash_parts(hot, ["k"], bounds, 5, ["g"], "p", digits)
+    ranked = ordered.hash_rank(hot, ["k"], 5, ["g"], "r", total="n")
+    a, b = bounds(F.col("n"))
+    want = ranked.withColumn("p", (F.col("r") > a).cast("int") + (F.col("r") > b).cast("int"))
+    assert rows(got, "k", "p") == rows(want, "k", "p")
