@@ -46,7 +46,7 @@ def nrm4(spark, sf):
 
 
 _ROWVEC = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100]) AS x,
-  generate_subscripts([1, 2, 3, 4], 1) AS i FROM lineitem)"""
+  generate_subscripts([1, 2, 3, 4], 1) AS i, rid FROM (SELECT *, row_number() OVER () AS rid FROM lineitem))"""
 
 
 @query(
@@ -57,7 +57,7 @@ _ROWVEC = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([l_q
     max(CASE WHEN i = 3 THEN round((x - med) / (q3 - q1 + 1e-8), 5) END) AS robust_3 FROM (
     SELECT *, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s, min(x) OVER w AS lo, max(x) OVER w AS hi,
       quantile_cont(x, 0.5) OVER w AS med, quantile_cont(x, 0.25) OVER w AS q1, quantile_cont(x, 0.75) OVER w AS q3
-    FROM {_ROWVEC} WINDOW w AS (PARTITION BY {_K})) GROUP BY {_K}""",
+    FROM {_ROWVEC} WINDOW w AS (PARTITION BY rid)) GROUP BY {_K}, rid""",
 )
 def nrm5(spark, sf):
     v = F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100)

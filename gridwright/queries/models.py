@@ -51,42 +51,49 @@ def bl1_gbt(spark, sf):
     return model.predict(df).drop("proba")
 
 
-# three guesses of a line's return flag, as models
+# three guesses of a three-class label of an event, as models
 _P = {
-    "a": ("l_quantity / 50", "l_discount * 5", "0.5"),
-    "b": ("l_tax * 5", "l_quantity / 100", "0.3"),
-    "c": ("0.4", "l_tax * 10", "l_quantity / 60"),
+    "a": ("value / 500", "(event_id % 10) / 10.0D", "0.5D"),
+    "b": ("(user_id % 7) / 7.0D", "value / 1000", "0.3D"),
+    "c": ("0.4D", "(user_id % 5) / 5.0D", "value / 600"),
 }
+_GUESS = {"a": "event_id % 3", "b": "user_id % 3", "c": "length(event_type) % 3"}
 
 
 @query(
     "bl2_soft_voting",
-    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity / 50 + l_tax * 5 + 0.4) / 3 AS p0, (l_discount * 5 + l_quantity / 100 + l_tax * 10) / 3 AS p1, (0.5 + 0.3 + l_quantity / 60) / 3 AS p2 FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(p0, p1, p2), 6) AS confidence FROM p""",
+    """WITH p AS (SELECT event_id, (value / 500 + (user_id % 7) / 7.0::DOUBLE + 0.4) / 3 AS p0, ((event_id % 10) / 10.0::DOUBLE + value / 1000 + (user_id % 5) / 5.0::DOUBLE) / 3 AS p1, (0.5 + 0.3 + value / 600) / 3 AS p2 FROM events)
+    SELECT event_id, round(greatest(p0, p1, p2), 6) AS confidence FROM p""",
 )
 def bl2_soft(spark, sf):
-    return rounded(bl.vote(_voters(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "soft").drop("y_pred"))
+    return rounded(bl.vote(_voters(spark, sf), ["event_id"], "soft").drop("y_pred"))
 
 
 def _voters(spark, sf):
-    t = table(spark, sf, "lineitem")
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    guess = {"a": "l_linenumber % 3", "b": "l_suppkey % 3", "c": "l_partkey % 3"}
-    # one row per model and line, from a single scan
+    # one row per model and event, from a single scan
     models = F.array(*[
-        F.struct(F.lit(m).alias("model"), F.array(*[F.expr(e).cast("double") for e in p]).alias("proba"), F.expr(guess[m]).cast("int").alias("y_pred"))
+        F.struct(F.lit(m).alias("model"), F.array(*[F.expr(e).cast("double") for e in p]).alias("proba"), F.expr(_GUESS[m]).cast("int").alias("y_pred"))
         for m, p in _P.items()
     ])
-    return t.select(*keys, F.explode(models).alias("s")).select(*keys, "s.*")
+    return table(spark, sf, "events").select("event_id", F.explode(models).alias("s")).select("event_id", "s.*")
 
 
 @query(
     "bl2_hard_voting",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE 0 END::INTEGER AS y_pred FROM (
-    SELECT *, l_linenumber % 3 AS a, l_suppkey % 3 AS b, l_partkey % 3 AS c FROM lineitem)""",
+    """SELECT event_id, (CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE 0 END)::INTEGER AS y_pred FROM (
+    SELECT *, event_id % 3 AS a, user_id % 3 AS b, length(event_type) % 3 AS c FROM events)""",
 )
 def bl2_hard(spark, sf):
-    return bl.vote(_voters(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "hard")
+    return bl.vote(_voters(spark, sf), ["event_id"], "hard")
+
+
+@query(
+    "bl2_mean_voting",
+    """SELECT event_id, round((value / 500 + (user_id % 7) / 7.0::DOUBLE + 0.4) / 3, 6) AS y_pred FROM events""",
+)
+def bl2_mean(spark, sf):
+    first = _voters(spark, sf).select("event_id", "model", F.col("proba")[0].alias("y_pred"))
+    return rounded(bl.vote(first, ["event_id"], "mean"))
 
 
 def _cv_sql(folds: str) -> str:
