@@ -17,3 +17,10 @@ def op9(spark, sf):
     from gridwright.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_backoff_automaton")
+def op8(spark, sf):
+    from gridwright.llm.lm import language_model
+
+    return language_model(table(spark, sf, "documents"))
