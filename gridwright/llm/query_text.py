@@ -10,3 +10,10 @@ def op10(spark, sf):
     from gridwright.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_pigeonhole_decontamination")
+def op5(spark, sf):
+    from gridwright.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
