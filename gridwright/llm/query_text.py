@@ -17,3 +17,10 @@ def op5(spark, sf):
     from gridwright.llm.decontam import decontaminate
 
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op3_line_winnowing")
+def op3(spark, sf):
+    from gridwright.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf, "documents")).withColumnsRenamed({"_removed": "removed", "_emptied": "emptied"})
