@@ -111,13 +111,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, n),
+                    batch.column("k").slice(lo, n),
                     pa.array(size),
                     pa.array([None if e else d.tobytes() for e, d in zip(none, digest, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * _VALUES + 1, _VALUES, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
                     pa.array(near[:, 0].view(np.int64)),
                     pa.array(near[:, 1].view(np.int64)),
                 ],
-                ["doc_id", "n_shingles", "cls", "keys", "s1", "s2"],
+                ["doc_id", "k", "n_shingles", "cls", "keys", "s1", "s2"],
             )
 
 
@@ -158,15 +159,16 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored); also k,
+    a hash of the text.
 
     Rows link if ``100 * intersection >= percent * union`` of their sets of distinct word shingles (five words; a text of
     fewer words is one shingle). A null or empty text has an empty set and no links: its component is its own id. Repeated
     rows share their class. A null id counts as larger than any other; a component of null ids alone is null. kept:
     doc_id is component_id. An empty table gives an empty table.
     """
-    docs = docs.select("doc_id", "text")
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, cls binary, keys array<bigint>, s1 bigint, s2 bigint"), "sketch")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("k"))
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id bigint, k int, n_shingles bigint, cls binary, keys array<bigint>, s1 bigint, s2 bigint"), "sketch")
     classes = stored(
         sketch.where("cls is not null").groupBy("cls")
         .agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
@@ -210,6 +212,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = classes.join(root, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "root").select("cls", "component_id")
-    ids = sketch.select("doc_id", "n_shingles", "cls")
-    linked = ids.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = sketch.select("doc_id", "k", "n_shingles", "cls")
+    linked = ids.join(named, "cls", "left").select("doc_id", "k", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one is left in each component: the one of the smallest id.
+    Of rows that repeat an id and text, one is left; rows with a null id fall to any row with an id, else they stay."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.hash("text").alias("h"))
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id", "k").distinct()
+    gone = stored(gone, "gone")
+    again = stored(rows.groupBy("d", "h").count().where("count > 1").select(F.col("d").alias("doc_id"), F.col("h").alias("k")), "again")
+    left = rows.join(gone, F.expr("d <=> doc_id and h = k"), "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    one = left.join(again, F.expr("d <=> doc_id and h = k"), "left_semi").dropDuplicates(["d", "h"])
+    return left.join(again, F.expr("d <=> doc_id and h = k"), "left_anti").unionAll(one).select("row.*")

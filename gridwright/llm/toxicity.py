@@ -151,6 +151,17 @@ class Toxicity:
 
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
+    def keep_clean(self, docs: DataFrame, limit: float = 0.7) -> DataFrame:
+        """The rows of ``docs``, with all their columns, that score less than ``limit``; no shuffle."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offs in blocks(batch.column("text")):
+                    clean = self.probability(self.passages(data, offs)[0]) < limit
+                    yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+        return docs.mapInArrow(run, docs.schema)
+
 
 def _decay(odds: np.ndarray, share: np.ndarray, penalty: float) -> float:
     """lambda with mean(exp(lambda * score)) = 1 over clean tokens."""
