@@ -56,3 +56,10 @@ def op2(spark, sf):
     from gridwright.llm.pii import find_personal_data
 
     return find_personal_data(table(spark, sf, "documents"))
+
+
+@query("op6_boosted_dom_text")
+def op6(spark, sf):
+    from gridwright.llm.htmltext import main_text
+
+    return main_text(table(spark, sf, "pages"))
