@@ -1,24 +1,64 @@
-"""Functions missing from Spark SQL, as Arrow-batched pandas UDFs, and scalar tail probabilities."""
+"""Functions missing from Spark SQL, as column expressions, and scalar tail probabilities."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+# W. J. Cody's rational approximations of erf and erfc (1969), by range, highest power first.
+_ERF_P = (1.85777706184603153e-1, 3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03)
+_ERF_Q = (1.0, 2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
+_MID_P = (
+    2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e00, 6.61191906371416295e01, 2.98635138197400131e02,
+    8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03,
+)
+_MID_Q = (
+    1.0, 1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+    4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03,
+)
+_FAR_P = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+_FAR_Q = (1.0, 2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+# P. J. Acklam's approximation of the normal quantile (2003), centre and tails, highest power first.
+_CENTRE_P = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_Q = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL_P = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_Q = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAIL = 0.02425
 
-@F.pandas_udf(T.DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc, na_action="ignore")
 
+def _poly(x: Column, c: Sequence[float]) -> Column:
+    return reduce(lambda a, b: a * x + F.lit(b), c[1:], F.lit(c[0]))
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(inv, na_action="ignore")
+
+def erfc(x: Column) -> Column:
+    """Complementary error function, to about 1e-15 of its value; null stays null."""
+    x = x.cast("double")
+    y = F.abs(x)
+    square = x * x
+    centre = F.lit(1.0) - x * _poly(square, _ERF_P) / _poly(square, _ERF_Q)
+    middle = F.exp(-square) * _poly(y, _MID_P) / _poly(y, _MID_Q)
+    small = F.lit(1.0) / square
+    far = F.exp(-square) / y * (F.lit(1 / math.sqrt(math.pi)) - small * _poly(small, _FAR_P) / _poly(small, _FAR_Q))
+    tail = F.when(y <= 4.0, middle).when(y < 27.0, far).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
+    return F.when(F.isnan(x), x).when(y <= 0.46875, centre).when(x < 0, F.lit(2.0) - tail).otherwise(tail)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution, by a rational approximation and one Halley step; null outside (0, 1)."""
+    p = p.cast("double")
+    q = F.lit(0.5) - F.abs(p - F.lit(0.5))  # the nearer tail
+    r = p - F.lit(0.5)
+    centre = -F.abs(r * _poly(r * r, _CENTRE_P) / _poly(r * r, _CENTRE_Q))
+    t = F.sqrt(F.lit(-2.0) * F.log(q))
+    x = F.when(q < _TAIL, _poly(t, _TAIL_P) / _poly(t, _TAIL_Q)).otherwise(centre)
+    e = F.lit(0.5) * erfc(-x / F.lit(math.sqrt(2.0))) - q
+    u = e * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(x * x / 2.0)
+    better = x - u / (F.lit(1.0) + x * u / 2.0)
+    return F.when((p > 0) & (p < 1), F.when(p > 0.5, -better).otherwise(better))
 
 
 def normal_two_sided(z: float) -> float:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.hashing import gaussian, hex_uniform, key_hash, pick, uniform
 from gridwright.functions.vectors import fold_sum
+from gridwright.plans.ordered import hash_rank
 from gridwright.operators.scale import normalize_row
 
 Step = Callable[[DataFrame], DataFrame]
@@ -144,23 +145,20 @@ def shuffle_features(df, keys, ratio=0.5, probability=0.3, salt="shuffle", seed=
     return _gated(work, keys, probability, salt, seed, {"x": moved("x"), "m": moved("m")}).drop("__to", "__from")
 
 
-def cutmix(df, keys, ratio=0.3, probability=0.2, buckets: int | None = None, salt="cutmix", seed=42) -> DataFrame:
-    """int(n * ratio) features come from a partner row: the next in hash order inside the same hash
-    bucket, the bucket's first for its last row. Buckets come from the row hash, so they are even;
-    their number follows the row count (about 100,000 rows each) unless given."""
-    if buckets is None:
-        buckets = max(16, df.count() // 100_000)
-    h = key_hash(keys, salt, seed)
-    work = df.withColumn("__h", h).withColumn("__b", F.floor(hex_uniform(h) * buckets).cast("int"))
-    w = Window.partitionBy("__b").orderBy("__h")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pair = F.struct("x", "m")
-    work = work.withColumn("__o", F.coalesce(F.lead(pair).over(w), F.first(pair).over(whole)))
+def cutmix(df, keys, ratio=0.3, probability=0.2, salt="cutmix", seed=42) -> DataFrame:
+    """int(n * ratio) features come from a partner row: the next in hash order, the first for the last row. Only rows
+    that the gate lets through look for their partner."""
+    names = df.columns
+    ranked = hash_rank(df, keys, seed, [], "__r", "__n")
+    partner = ranked.select(F.when(F.col("__r") == 1, F.col("__n")).otherwise(F.col("__r") - 1).alias("__r"), F.struct("x", "m").alias("__o"))
+    gate = row_gate(keys, probability, salt, seed)
+    work = ranked.where(gate).join(partner, "__r")
     every = F.transform("x", lambda _: F.lit(1))
     n = F.greatest(F.lit(1), F.floor(F.size("x") * F.lit(ratio)).cast("int"))
     work = work.withColumn("__pick", chosen(keys, every, n, salt, seed))
-    take = lambda c: _rewrite(c, F.col("__pick"), lambda v, i: F.element_at(F.col("__o")[c], i + 1))
-    return _gated(work, keys, probability, salt, seed, {"x": take("x"), "m": take("m")}).drop("__h", "__b", "__o", "__pick")
+    take = lambda c: _rewrite(c, F.col("__pick"), lambda v, i: F.element_at(F.col("__o")[c], i + 1)).alias(c)
+    mixed = work.select(*[take(c) if c in ("x", "m") else c for c in names])
+    return df.where(~gate).unionByName(mixed)
 
 
 def scaling(df, keys, low=0.9, high=1.1, probability=0.3, feature_probability=1.0, salt="scaling", seed=42) -> DataFrame:

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators import outlier, split
-from gridwright.operators.classification import binary_areas
-from gridwright.operators.encode import design_matrix
-from gridwright.operators.evaluate import evaluate
+from gridwright.operators.classification import binary_areas, log_loss, multiclass_areas
+from gridwright.operators.encode import Design, fit_design
+from gridwright.operators.evaluate import evaluate, long_form
 from gridwright.operators.experiments import fold_summary
+from gridwright.plans.storage import written
 
 log = logging.getLogger(__name__)
 
@@ -50,38 +50,52 @@ def default_baselines(task: str) -> tuple[str, ...]:
 
 
 class Baseline:
-    """Design matrix plus estimator; predictions come as key, y_true, y_pred (and proba)."""
+    """Design matrix plus estimator; predictions come as key, y_true, y_pred (and proba). Classes are numbered in sorted
+    order of their names."""
 
     def __init__(self, name: str, task: str, target: str, key_cols: Sequence[str], trees: int = 100, seed: int = 42):
         self.name, self.task, self.target = name, task, target
         self.key_cols, self.trees, self.seed = list(key_cols), trees, seed
-        self.model: PipelineModel | None = None
+        self.model = None
+        self.design: Design | None = None
         self.labels: list[str] = []
 
     def fit(self, df: DataFrame) -> "Baseline":
         df = df.where(F.col(self.target).isNotNull())
         kind = "linear" if self.name.endswith("regression") else "tree"
-        features = design_matrix(df, self.target, kind, exclude=self.key_cols)
-        stages: list = [features]
+        self.design = fit_design(df, self.target, kind, exclude=self.key_cols)
+        work = self.design.transform(df)
         if self.task == "classification":
-            indexer = StringIndexer(inputCol=self.target, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-            self.labels = list(indexer.labels)
-            work = indexer.transform(df)
+            names = df.select(F.col(self.target).cast("string").alias("c")).distinct()
+            self.labels = sorted(r[0] for r in names.collect())  # the classes
+            work = work.withColumn("__label", (F.array_position(self._names(), F.col(self.target).cast("string")) - 1).cast("double"))
         else:
-            work = df.withColumn("__label", F.col(self.target).cast("double"))
-        self.model = Pipeline(stages=[*stages, estimator(self.name, self.task, len(self.labels) or 2, self.trees, self.seed)]).fit(work)
+            work = work.withColumn("__label", F.col(self.target).cast("double"))
+        self.model = estimator(self.name, self.task, len(self.labels) or 2, self.trees, self.seed).fit(work.select("features", "__label"))
         return self
 
+    def _names(self):
+        return F.array(*[F.lit(x) for x in self.labels])
+
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df)
+        out = self.model.transform(self.design.transform(df))
         keys = [F.col(k) for k in self.key_cols]
         if self.task == "regression":
             return out.select(*keys, F.col(self.target).cast("double").alias("y_true"), F.col("prediction").alias("y_pred"))
-        named = IndexToString(inputCol="prediction", outputCol="__name", labels=[*self.labels, "__unseen"]).transform(out)
-        cols = [*keys, F.col(self.target).cast("string").alias("y_true"), F.col("__name").alias("y_pred")]
+        cols = [*keys, F.col(self.target).cast("string").alias("y_true"), F.element_at(self._names(), F.col("prediction").cast("int") + 1).alias("y_pred")]
         if "probability" in out.columns:
-            cols.append(F.slice(vector_to_array("probability"), 1, len(self.labels)).alias("proba"))
-        return named.select(*cols)
+            cols.append(vector_to_array("probability").alias("proba"))
+        return out.select(*cols)
+
+    def evaluate(self, df: DataFrame) -> DataFrame:
+        """(metric, value) on a table: of labels by name; of probabilities where the true class was there at fit time."""
+        pred = self.predict(df)
+        out = evaluate(pred.drop("proba"), self.task)
+        if "proba" in pred.columns:
+            index = lambda c: (F.array_position(self._names(), F.col(c)) - 1).cast("int").alias(c)
+            known = pred.select(*self.key_cols, index("y_true"), index("y_pred"), "proba").where("y_true >= 0")
+            out = out.unionByName(long_form(multiclass_areas(known))).unionByName(long_form(log_loss(known)))
+        return out
 
 
 def create_baselines(names: Sequence[str], task: str, target: str, key_cols: Sequence[str], **kw) -> dict[str, Baseline]:
@@ -90,70 +104,61 @@ def create_baselines(names: Sequence[str], task: str, target: str, key_cols: Seq
 
 def vote(predictions: DataFrame, key_cols: Sequence[str], how: str = "soft") -> DataFrame:
     """Combine the models' rows (key, model, y_pred, proba): soft averages the probability arrays, hard
-    takes the most frequent label (smallest on ties), mean averages predictions. A key has one row
+    takes the most frequent label (smallest on ties), mean averages predictions. One shuffle: a key has one row
     per model, so its group is small."""
     if how == "mean":
         return predictions.groupBy(*key_cols).agg(F.avg("y_pred").alias("y_pred"))
     if how == "hard":
-        counts = predictions.groupBy(*key_cols, "y_pred").agg(F.count("*").alias("n"))
-        return counts.groupBy(*key_cols).agg(F.min_by("y_pred", F.struct(-F.col("n"), F.col("y_pred"))).alias("y_pred"))
-    cells = predictions.select(*key_cols, F.posexplode("proba").alias("i", "p"))
-    means = cells.groupBy(*key_cols, "i").agg(F.avg("p").alias("p"))
-    return means.groupBy(*key_cols).agg(
-        F.max_by("i", F.struct(F.col("p"), -F.col("i"))).alias("y_pred"), F.max("p").alias("confidence")
-    )
+        labels = predictions.groupBy(*key_cols).agg(F.sort_array(F.collect_list("y_pred")).alias("v"))
+        count = lambda x: F.size(F.filter("v", lambda y: y == x))
+        best = F.array_max(F.transform("v", lambda x: F.struct(count(x).alias("n"))))
+        return labels.withColumn("n", best["n"]).select(*key_cols, F.element_at(F.filter("v", lambda x: count(x) == F.col("n")), 1).alias("y_pred"))
+    arrays = predictions.groupBy(*key_cols).agg(F.collect_list("proba").alias("v"))
+    mean = F.transform(F.sequence(F.lit(0), F.size(F.element_at("v", 1)) - 1), lambda i: F.aggregate("v", F.lit(0.0), lambda a, p: a + p[i]) / F.size("v"))
+    means = arrays.select(*key_cols, mean.alias("p"))
+    return means.select(*key_cols, (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("y_pred"), F.array_max("p").alias("confidence"))
+
+
+def _validated(folds: DataFrame, make: Callable[[], Baseline], k: int, train: str, test: str) -> DataFrame:
+    """(fold, metric, value): one fit a fold, as in any validation. The folds are written once; of each fold only its
+    metric rows come to the driver."""
+    spark, folds, rows = folds.sparkSession, written(folds, "folds"), []
+    for i in range(k):
+        model = make().fit(folds.where(train.format(i)).drop("fold", "role"))
+        got = model.evaluate(folds.where(test.format(i)))
+        rows += [(i, r["metric"], r["value"]) for r in got.collect()]
+    return spark.createDataFrame(rows, "fold int, metric string, value double")
 
 
 def fold_metrics(
     df: DataFrame, make: Callable[[], Baseline], k: int = 5, stratify: str | None = None, seed: int = 42
 ) -> DataFrame:
-    """(fold, metric, value): fit per fold on the other folds. One fit per fold is a driver loop over
-    k models, as in any cross-validation; each fit and prediction is distributed."""
-    probe = make()
-    assigned = split.folds(df, probe.key_cols, k, stratify, seed).persist()
-    try:
-        parts = []
-        for i in range(k):
-            model = make().fit(assigned.where(F.col("fold") != i).drop("fold"))
-            pred = model.predict(assigned.where(F.col("fold") == i))
-            parts.append(evaluate(pred.drop("proba"), probe.task).select(F.lit(i).alias("fold"), "metric", "value"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        # metric rows only: folds x metrics
-        rows = out.collect()
-    finally:
-        assigned.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fold int, metric string, value double")
+    """(fold, metric, value): fit on the other folds, evaluated on each."""
+    return _validated(split.folds(df, make().key_cols, k, stratify, seed), make, k, "fold <> {}", "fold = {}")
 
 
 def cross_validate(df: DataFrame, make: Callable[[], Baseline], k: int = 5, stratify: str | None = None, seed: int = 42) -> DataFrame:
     return fold_summary(fold_metrics(df, make, k, stratify, seed))
 
 
-def holdout(df: DataFrame, make: Callable[[], Baseline], share: float = 0.2, stratify: str | None = None, seed: int = 42) -> DataFrame:
-    probe = make()
-    parts = split.train_eval(df, probe.key_cols, share, stratify, seed)
+def holdout(df: DataFrame, make: Callable[[], Baseline], share: float = 0.2, stratify: str | None = None, seed: int = 42, times: bool = False) -> DataFrame:
+    """(metric, value) on the rows held out; with ``times`` also the seconds of fit and evaluation."""
+    parts = written(split.train_eval(df, make().key_cols, share, stratify, seed), "holdout")
+    began = time.time()
     model = make().fit(parts.where("split = 'train'").drop("split"))
-    return evaluate(model.predict(parts.where("split = 'eval'")).drop("proba"), probe.task)
+    fitted = time.time()
+    rows = [(r["metric"], r["value"]) for r in model.evaluate(parts.where("split = 'eval'")).collect()]
+    if times:
+        rows += [("train_time", fitted - began), ("eval_time", time.time() - fitted)]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double")
 
 
 def time_series_validate(df: DataFrame, make: Callable[[], Baseline], order_cols: Sequence[str], k: int = 5) -> DataFrame:
-    probe = make()
-    assigned = split.time_folds(df, order_cols, k).persist()
-    try:
-        rows = []
-        for i in range(k):
-            fold = assigned.where(F.col("fold") == i)
-            model = make().fit(fold.where("role = 'train'").drop("fold", "role"))
-            pred = model.predict(fold.where("role = 'test'"))
-            rows += [(i, r["metric"], r["value"]) for r in evaluate(pred.drop("proba"), probe.task).collect()]
-    finally:
-        assigned.unpersist()
-    return fold_summary(df.sparkSession.createDataFrame(rows, "fold int, metric string, value double"))
-
-
-def run_suite(datasets: dict[str, tuple[DataFrame, str, str, list[str]]], models: Sequence[str], trees: int = 20) -> DataFrame:
+    folds = split.time_folds(df, order_cols, k)
+    return fold_summary(_validated(folds, make, k, "fold = {} and role = 'train'", "fold = {} and role = 'test'"))
+
+
+def run_suite(datasets: dict[str, tuple[DataFrame, str, str, list[str]]], models: Sequence[str], trees: int = 100, times: bool = True) -> DataFrame:
     """results(model, dataset, metric, value) over models x data sets; data sets map to (table, target,
     task, key columns). A failing combination is logged and left out."""
     spark = next(iter(datasets.values()))[0].sparkSession
@@ -161,7 +166,7 @@ def run_suite(datasets: dict[str, tuple[DataFrame, str, str, list[str]]], models
     for d, (df, target, task, keys) in datasets.items():
         for m in models:
             try:
-                res = holdout(df, lambda: Baseline(m, task, target, keys, trees=trees)).collect()
+                res = holdout(df, lambda: Baseline(m, task, target, keys, trees=trees), times=times).collect()
                 rows += [(m, d, r["metric"], r["value"]) for r in res]
             except Exception as e:  # one bad model must not stop the suite
                 log.warning("%s on %s skipped: %s", m, d, e)

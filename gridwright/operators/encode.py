@@ -6,8 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ from gridwright.functions.bisect import edges_passed
 from gridwright.functions.columns import as_number, numeric_columns, present, string_columns
 from gridwright.operators.scale import fit_scaler
 from gridwright.plans.ordered import prefix_sums
-from gridwright.plans.quantiles import fit_quantiles
+from gridwright.plans.quantiles import fit_median, fit_quantiles
+from gridwright.plans.storage import written
 
 UNK, MASK, NAN = "<UNK>", "<MASK>", "NaN"
 
@@ -202,38 +202,60 @@ def string_code(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0.0)).otherwise(F.pmod(F.crc32(c), F.lit(10000)) / 10000.0)
 
 
-def design_matrix(
-    df: DataFrame, target: str, kind: str = "tree", exclude: Sequence[str] = (), max_onehot: int = 1000
-) -> Pipeline:
-    """MLlib stages for a baseline: median fill and ordinal codes for trees; scaled numbers and
-    one-hot (first level dropped) for linear models."""
+MISSING = "missing"
+
+
+class Design:
+    """A fitted design matrix. Numbers get the median; a missing string is a level of its own.
+
+    tree: numbers as they are and ordinal codes in sorted order, unseen -1. linear: numbers by mean and population
+    deviation, and one column for each level but the first; unseen levels are all zeros. Levels live in tables, so a
+    column may have any number of them."""
+
+    def __init__(self, kind: str, medians: dict, scaler: dict, codes: dict[str, DataFrame], sizes: dict[str, int]):
+        self.kind, self.medians, self.scaler, self.codes, self.sizes = kind, medians, scaler, codes, sizes
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds the vector column ``features``."""
+        out, parts = df, []
+        for c, m in self.medians.items():
+            x = F.coalesce(as_number(df, c).cast("double"), F.lit(0.0 if m is None else float(m)))
+            if c in self.scaler:
+                mean, scale = self.scaler[c]
+                x = (x - F.lit(float(mean))) / F.lit(float(scale))
+            out = out.withColumn(f"__n_{c}", x)
+            parts.append(f"__n_{c}")
+        for c, codes in self.codes.items():
+            out = out.withColumn("__level", F.coalesce(F.col(c).cast("string"), F.lit(MISSING)))
+            out = lookup(out, "__level", codes, f"__c_{c}", -1).drop("__level")
+            if self.kind == "tree":
+                out = out.withColumn(f"__c_{c}", F.col(f"__c_{c}").cast("double"))
+                parts.append(f"__c_{c}")
+            elif self.sizes[c] > 1:
+                # the slot that is left out holds the first level and the unseen ones
+                last = self.sizes[c] - 1
+                out = out.withColumn(f"__c_{c}", F.when(F.col(f"__c_{c}") > 0, F.col(f"__c_{c}") - 1).otherwise(last).cast("double"))
+                hot = OneHotEncoder(inputCol=f"__c_{c}", outputCol=f"__h_{c}", dropLast=True)
+                edges = df.sparkSession.range(2).select((F.col("id") * last).cast("double").alias(f"__c_{c}"))
+                out = hot.fit(edges).transform(out)
+                parts.append(f"__h_{c}")
+        out = VectorAssembler(inputCols=parts, outputCol="features").transform(out)
+        return out.drop(*[x for x in out.columns if x.startswith(("__n_", "__c_", "__h_"))])
+
+
+def fit_design(df: DataFrame, target: str, kind: str = "tree", exclude: Sequence[str] = ()) -> Design:
+    """Fits a ``Design`` on all numeric and string columns but the target and the excluded ones."""
     skip = {target, *exclude}
     nums = [c for c in numeric_columns(df) if c not in skip]
     cats = [c for c in string_columns(df) if c not in skip]
-    filled = [f"{c}__num" for c in nums]
-    stages: list = []
-    if nums:
-        stages.append(Imputer(strategy="median", inputCols=nums, outputCols=filled))
-    if cats:
-        stages.append(
-            StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], handleInvalid="keep",
-                          stringOrderType="alphabetDesc" if kind == "linear" else "alphabetAsc")
-        )
-    if kind == "tree":
-        stages.append(
-            VectorAssembler(inputCols=filled + [f"{c}__idx" for c in cats], outputCol="features")
-        )
-        return Pipeline(stages=stages)
-    parts = []
-    if nums:
-        stages.append(VectorAssembler(inputCols=filled, outputCol="__numbers"))
-        stages.append(StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True))
-        parts.append("__scaled")
-    if cats:
-        stages.append(
-            OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__hot" for c in cats],
-                          dropLast=True, handleInvalid="keep")
-        )
-        parts += [f"{c}__hot" for c in cats]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return Pipeline(stages=stages)
+    medians = fit_median(df, nums) if nums else {}
+    scaler = {}
+    if kind == "linear" and nums:
+        filled = df.select(*[F.coalesce(as_number(df, c).cast("double"), F.lit(0.0 if medians[c] is None else float(medians[c]))).alias(c) for c in nums])
+        scaler = fit_scaler(filled, nums)
+    codes, sizes = {}, {}
+    for c in cats:
+        levels = df.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c))
+        codes[c] = written(label_mapping(levels, c), "levels")
+        sizes[c] = codes[c].count()
+    return Design(kind, medians, scaler, codes, sizes)

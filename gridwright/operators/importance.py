@@ -43,10 +43,9 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
     cells = df.select(y.alias("y"), *[level(c).alias(c) for c in cols]).unpivot(["y"], list(cols), "feature", "level")
     counts = cells.groupBy("feature", "level", "y").agg(F.count("*").alias("n"))
     by_level = counts.groupBy("feature", "level").agg(F.sum("n").alias("nx"))
-    by_target = counts.groupBy("feature", "y").agg(F.sum("n").alias("ny"), F.lit(0).alias("_"))
-    total = Window.partitionBy("feature")
-    by_target = by_target.withColumn("tot", F.sum("ny").over(total)).drop("_")
-    joined = counts.join(by_level, ["feature", "level"]).join(by_target, ["feature", "y"])
+    by_target = counts.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("tot"))  # one row a feature
+    joined = counts.join(by_level, ["feature", "level"]).join(by_target, ["feature", "y"]).join(totals, "feature")
     p = F.col("n") / F.col("tot")
     pxy = (F.col("nx") / F.col("tot")) * (F.col("ny") / F.col("tot"))
     return joined.groupBy("feature").agg(F.sum(p * F.log(p / pxy)).alias("importance"))

@@ -214,24 +214,12 @@ class IsolationForest:
         n = df.count()
         self.size = min(self.subsample, n)
         rate = min(1.0, 2.0 * self.subsample / max(n, 1))
-        x = F.array(*self._values(df)).alias("x")
-        if rate * self.trees <= 1.0:
-            # large table: one hash picks the tree (or none), so nothing is multiplied per tree
-            u = uniform(self.key_cols, "iforest", self.seed)
-            drawn = df.select(*self.key_cols, x, u.alias("u")).where(F.col("u") < rate * self.trees)
-            drawn = drawn.select(
-                F.floor(F.col("u") / rate).cast("int").alias("tree"),
-                (F.col("u") - F.floor(F.col("u") / rate) * rate).alias("u"), "x",
-            )
-        else:
-            # small table: every row draws a hash per tree, the lowest hashes stay
-            tree = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree")
-            drawn = (
-                df.select(*self.key_cols, x, tree)
-                .withColumn("u", uniform([*self.key_cols, "tree"], "iforest", self.seed))
-                .where(F.col("u") < rate)
-                .select("tree", "u", "x")
-            )
+        # each row draws a hash per tree inside the row; only the hits are exploded, so nothing is multiplied per tree
+        span = 1 << 40
+        draw = lambda t: F.pmod(F.xxhash64(*self.key_cols, F.lit(self.seed), t), F.lit(span)) / F.lit(float(span))
+        every = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
+        drawn = df.select(F.explode(F.filter(every, lambda s: s["u"] < rate)).alias("d"), F.array(*self._values(df)).alias("x"))
+        drawn = drawn.select("d.tree", "d.u", "x")
         size, seed = self.size, self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -38,11 +38,15 @@ def column_rows(
     return out
 
 
+#: Characters of a text that travel as they are.
+NARROW = 64
+
+
 def _cell(df: DataFrame, c: str, narrow: bool) -> Column:
     v = present(df, c).cast("string")
     if narrow and isinstance(df.schema[c].dataType, T.StringType):
-        # a digest stands for a long text, so that the shuffle carries 32 bytes per value
-        return F.when(F.length(v) > 32, F.md5(v)).otherwise(v)
+        # the first characters and a digest stand for a long text, so that the shuffle carries a bounded cell
+        return F.when(F.length(v) > NARROW, F.concat(F.substring(v, 1, NARROW), F.md5(v))).otherwise(v)
     return v
 
 
@@ -149,15 +153,25 @@ def statistics(df: DataFrame, cols: Sequence[str] | None = None, approx: bool =
     )
 
 
-def top_values(df: DataFrame, cols: Sequence[str], k: int = 5, least: bool = False) -> DataFrame:
-    """Most (or least) frequent values, ties by value; the per-column limit is applied before the shuffle."""
-    counts = value_counts(df, cols).where(F.col("value").isNotNull())
+def top_values(df: DataFrame, cols: Sequence[str], k: int = 5, least: bool = False, texts: bool = True) -> DataFrame:
+    """Most (or least) frequent values, ties by value (of long texts: by their first characters); the per-column limit is
+    applied before the shuffle. Long texts are counted by a digest; those of the few winners are fetched after, unless
+    `texts` is false."""
+    counts = value_counts(df, cols, narrow=True).where(F.col("value").isNotNull())
     by = F.col("count").asc() if least else F.col("count").desc()
     w = Window.partitionBy("column").orderBy(by, F.col("value").asc())
-    return (
+    top = (
         counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select("column", "rank", "value", "count")
     )
+    wide = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts or not wide:
+        return top
+    winners = top.where(F.length("value") > NARROW).select("column", F.col("value").alias("digest"))  # k rows a column
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _cell(df, c, True).alias("digest"), present(df, c).alias("text")) for c in wide])).alias("s")).select("s.*")
+    found = cells.where(F.length("digest") > NARROW).join(F.broadcast(winners), ["column", "digest"]).groupBy("column", "digest").agg(F.min("text").alias("text"))
+    named = top.join(found.withColumnRenamed("digest", "value"), ["column", "value"], "left")
+    return named.select("column", "rank", F.coalesce("text", "value").alias("value"), "count")
 
 
 def normalized_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

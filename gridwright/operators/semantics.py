@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.bisect import edges_passed
-from gridwright.functions.columns import as_number, numeric_columns, scalar_columns
+from gridwright.functions.columns import as_number, numeric_columns, present, scalar_columns
 from gridwright.functions.vectors import cosine
 from gridwright.operators import profile
 from gridwright.operators.encode import uniform_edges
@@ -102,15 +102,16 @@ def with_domain(columns: DataFrame, bonus: DataFrame | None = None) -> DataFrame
 
 
 def pattern_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Share of non-null values that look like an e-mail, a number or a date, over all rows. Tests run
-    once per distinct value."""
-    counts = profile.value_counts(df, cols).where(F.col("value").isNotNull())
-    v, n = F.col("value"), F.col("count")
-    share = lambda ok: F.sum(F.when(ok, n).otherwise(0)) / F.sum(n)
-    return counts.groupBy("column").agg(
-        share(v.rlike(EMAIL)).alias("email"), share(v.rlike(CURRENCY)).alias("currency"),
-        share(F.coalesce(parse_any(v).isNotNull(), F.lit(False))).alias("date"),
-    )
+    """Share of non-null values that look like an e-mail, a number or a date, over all rows: one aggregate, no text is
+    shuffled."""
+    def share(c, test):
+        v = present(df, c).cast("string")
+        return F.avg(F.when(v.isNotNull(), F.coalesce(test(v), F.lit(False)).cast("int")))
+
+    return profile.column_rows(df, list(cols or scalar_columns(df)), {
+        "email": lambda c: share(c, lambda v: v.rlike(EMAIL)), "currency": lambda c: share(c, lambda v: v.rlike(CURRENCY)),
+        "date": lambda c: share(c, lambda v: parse_any(v).isNotNull()),
+    })
 
 
 def data_bonus(shares: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def distribution_vectors(df: DataFrame, cols: Sequence[str] | None = None, bins:
         pairs = F.map_from_entries(F.collect_list(F.struct("b", "v")))  # at most `bins` entries
         parts.append(dens.groupBy("column").agg(filled(pairs).alias("dist")))
     if cats:
-        top = profile.top_values(df, cats, bins)
+        top = profile.top_values(df, cats, bins, texts=False)
         tot = top.groupBy("column").agg(F.sum("count").alias("t"))
         shares = top.join(tot, "column").select("column", (F.col("rank") - 1).alias("b"), (F.col("count") / F.col("t")).alias("v"))
         pairs = F.map_from_entries(F.collect_list(F.struct("b", "v")))

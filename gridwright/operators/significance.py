@@ -66,12 +66,10 @@ def poisson_weight(u: Column, top: int = 12) -> Column:
     return out.otherwise(top)
 
 
-def bootstrap_means(df: DataFrame, value: str, key: str, n: int = 1000, seed: int = 42, blocks: int = 10_000) -> DataFrame:
-    """(replicate, mean). Rows are summed into hash blocks when there are more rows than blocks, so a
-    replicate re-weights at most `blocks` sums and never the raw rows."""
-    unit = F.col(key).cast("string")
-    if df.count() > blocks:
-        unit = F.floor(uniform([key], "block", seed) * blocks).cast("string")
+def bootstrap_means(df: DataFrame, value: str, key: str, n: int = 1000, seed: int = 42, blocks: int = 1000) -> DataFrame:
+    """(replicate, mean). The units that are drawn again are `blocks` blocks of rows by a hash of the key, at every
+    table size, so a replicate re-weights at most `blocks` sums and never the raw rows."""
+    unit = F.floor(uniform([key], "block", seed) * blocks).cast("string")
     sums = df.groupBy(unit.alias("unit")).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     reps = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     w = poisson_weight(uniform(["unit", "replicate"], "boot", seed))

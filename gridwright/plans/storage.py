@@ -1,31 +1,32 @@
-"""Where intermediate tables go: always the shared folder named by ``spark.checkpoint.dir``."""
+"""Where intermediate tables go: the shared folder named by ``spark.checkpoint.dir``, else the session's warehouse."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIR: dict[str, str] = {}
+_READY: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local-mode session without one gets a temp folder."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIR:
-        _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="gridwright-")
-    return _LOCAL_DIR[app]
+    """A folder of this application below the session's shared one, removed when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _READY:
+        jvm = spark.sparkContext._jvm
+        folder = f"{base.rstrip('/')}/gridwright-{key[0]}-{uuid.uuid4().hex[:8]}"
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _READY[key] = folder
+    return _READY[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -34,3 +35,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read again, for tables that several jobs read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

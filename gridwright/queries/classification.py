@@ -31,14 +31,17 @@ def multi(spark, sf):
     )
 
 
-# ten-class probabilities of a vector: softmax of its first ten entries
+# ten-class probabilities of a vector: softmax of the sums of its entries in ten groups
 PROBA = """(SELECT vec_id, label AS y_true, list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda v: exp(v)))) AS proba
-  FROM (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z FROM embeddings))"""
+  FROM (SELECT vec_id, label, list_transform(range(10), lambda j: list_sum(list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x, i: (i - 1) % 10 = j))) AS z FROM embeddings))"""
+
+
+def _z():
+    return F.expr("transform(sequence(0, 9), j -> aggregate(filter(embedding, (x, i) -> i % 10 = j), 0.0D, (a, x) -> a + cast(x as double)))")
 
 
 def proba(spark, sf):
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y_true"), softmax(z).alias("proba"))
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y_true"), _z().alias("z")).select("vec_id", "y_true", softmax(F.col("z")).alias("proba"))
 
 
 def _class_sql(src: str) -> str:
@@ -194,8 +197,7 @@ def mc9(spark, sf):
     f"""SELECT vec_id, list_position(proba, list_max(proba)) - 1 AS label, round(list_max(proba), 6) AS top FROM {PROBA}""",
 )
 def mc10(spark, sf):
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    out = clf.postprocess(table(spark, sf, "embeddings").select("vec_id", z.alias("z")), "z")
+    out = clf.postprocess(table(spark, sf, "embeddings").select("vec_id", _z().alias("z")), "z")
     return rounded(out.select("vec_id", F.col("label").cast("long").alias("label"), F.array_max("proba").alias("top")))
 
 
@@ -291,20 +293,23 @@ def _poisson_sql(u: str) -> str:
     return out + " ELSE 12 END"
 
 
-@query(
-    "st3_bootstrap",
-    f"""SELECT replicate, round(sum(w * s) / sum(w * c), 6) AS mean FROM (SELECT replicate, s, c, {_poisson_sql('u')} AS w FROM (
+_BOOT = f"""SELECT replicate, sum(w * s) / sum(w * c) AS mean FROM (SELECT replicate, s, c, {_poisson_sql('u')} AS w FROM (
       SELECT replicate, s, c, {uniform_sql("unit || '|' || replicate", "boot")} AS u FROM (
-        SELECT CASE WHEN tot > 10000 THEN CAST(CAST(floor({uniform_sql("event_id", "block")} * 10000) AS BIGINT) AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS unit,
-          sum(value) AS s, count(value) AS c FROM events, (SELECT count(*) AS tot FROM events) GROUP BY 1), (SELECT unnest(range(50))::INTEGER AS replicate))) GROUP BY 1""",
-)
+        SELECT CAST(CAST(floor({uniform_sql("event_id", "block")} * 1000) AS BIGINT) AS VARCHAR) AS unit, sum(value) AS s, count(value) AS c FROM events GROUP BY 1),
+        (SELECT unnest(range(1000))::INTEGER AS replicate))) GROUP BY 1"""
+
+
+@query("st3_bootstrap", f"SELECT replicate, round(mean, 6) AS mean FROM ({_BOOT})")
 def st3(spark, sf):
-    return rounded(significance.bootstrap_means(table(spark, sf, "events"), "value", "event_id", 50))
+    return rounded(significance.bootstrap_means(table(spark, sf, "events"), "value", "event_id"))
 
 
-@query("st3_interval")
+@query(
+    "st3_interval",
+    f"""SELECT round((SELECT avg(value) FROM events), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper FROM ({_BOOT})""",
+)
 def st3_interval(spark, sf):
-    return rounded(significance.bootstrap_interval(table(spark, sf, "events"), "value", "event_id", n=50))
+    return rounded(significance.bootstrap_interval(table(spark, sf, "events"), "value", "event_id"))
 
 
 # ---------------------------------------------------------------- experiment results

@@ -196,15 +196,15 @@ _SHARES = """(SELECT {c} AS value, count(*)::DOUBLE / (SELECT count(*) FROM {s})
 @query(
     "jn3_align_distributions",
     f"""SELECT coalesce(a.value, b.value) AS value, round(coalesce(a.share, 0), 6) AS p, round(coalesce(b.share, 0), 6) AS q
-    FROM {_SHARES.format(c="p_brand", s="(SELECT * FROM part WHERE p_size < 5)")} a
-    FULL JOIN {_SHARES.format(c="p_brand", s="(SELECT * FROM part WHERE p_size >= 45)")} b ON a.value = b.value""",
+    FROM {_SHARES.format(c="p_brand", s="(SELECT * FROM part WHERE p_size < 25)")} a
+    FULL JOIN {_SHARES.format(c="p_brand", s="(SELECT * FROM part WHERE p_size >= 25)")} b ON a.value = b.value""",
 )
 def jn3(spark, sf):
     from gridwright.operators import profile
 
     t = table(spark, sf, "part")
-    a = profile.normalized_counts(t.where("p_size < 5"), ["p_brand"])
-    b = profile.normalized_counts(t.where("p_size >= 45"), ["p_brand"])
+    a = profile.normalized_counts(t.where("p_size < 25"), ["p_brand"])
+    b = profile.normalized_counts(t.where("p_size >= 25"), ["p_brand"])
     return rounded(joins.align_distributions(a, b))
 
 

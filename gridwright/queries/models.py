@@ -31,24 +31,28 @@ def _orders(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.month("o_orderdate").alias("month"))
 
 
+def _shown(pred):
+    return pred.withColumn("proba", F.array_join(F.transform("proba", lambda p: F.round(p, 4).cast("string")), ","))
+
+
 def _classifier(name, trees):
     def run(spark, sf):
         df = _orders(spark, sf)
         model = bl.Baseline(name, "classification", "o_orderstatus", ["o_orderkey"], trees=trees).fit(df)
-        return model.predict(df).drop("proba")
+        return _shown(model.predict(df))
 
     return run
 
 
-query("bl1_random_forest")(_classifier("random_forest", 20))
+query("bl1_random_forest")(_classifier("random_forest", 100))
 query("bl1_logistic_regression")(_classifier("logistic_regression", 1))
 
 
 @query("bl1_gradient_boosting")
 def bl1_gbt(spark, sf):
     df = _orders(spark, sf).withColumn("urgent", (F.substring("o_orderpriority", 1, 1) < "3").cast("string")).drop("o_orderpriority")
-    model = bl.Baseline("gradient_boosting", "classification", "urgent", ["o_orderkey"], trees=5).fit(df)
-    return model.predict(df).drop("proba")
+    model = bl.Baseline("gradient_boosting", "classification", "urgent", ["o_orderkey"]).fit(df)
+    return _shown(model.predict(df))
 
 
 # three guesses of a three-class label of an event, as models
@@ -63,10 +67,10 @@ _GUESS = {"a": "event_id % 3", "b": "user_id % 3", "c": "length(event_type) % 3"
 @query(
     "bl2_soft_voting",
     """WITH p AS (SELECT event_id, (value / 500 + (user_id % 7) / 7.0::DOUBLE + 0.4) / 3 AS p0, ((event_id % 10) / 10.0::DOUBLE + value / 1000 + (user_id % 5) / 5.0::DOUBLE) / 3 AS p1, (0.5 + 0.3 + value / 600) / 3 AS p2 FROM events)
-    SELECT event_id, round(greatest(p0, p1, p2), 6) AS confidence FROM p""",
+    SELECT event_id, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::INTEGER AS y_pred, round(greatest(p0, p1, p2), 6) AS confidence FROM p""",
 )
 def bl2_soft(spark, sf):
-    return rounded(bl.vote(_voters(spark, sf), ["event_id"], "soft").drop("y_pred"))
+    return rounded(bl.vote(_voters(spark, sf), ["event_id"], "soft"))
 
 
 def _voters(spark, sf):
@@ -96,42 +100,56 @@ def bl2_mean(spark, sf):
     return rounded(bl.vote(first, ["event_id"], "mean"))
 
 
-def _cv_sql(folds: str) -> str:
-    return f"""WITH f AS ({folds}), m AS (SELECT g.fold, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM (SELECT DISTINCT fold FROM f) g JOIN f ON f.fold <> g.fold GROUP BY 1),
-    e AS (SELECT f.fold, p_retailprice AS y, a + b * p_size - p_retailprice AS e FROM f JOIN m USING (fold)),
-    s AS (SELECT fold, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1)"""
+# all regression metrics of a fold, from (fold, y, p)
+_NAMES = ("mse", "rmse", "mae", "r2", "nrmse", "mape", "max_error", "median_absolute_error", "mean_residual", "std_residual", "std_residual_sample", "explained_variance")
 
 
-_FOLDS = f"SELECT p_size::DOUBLE AS p_size, p_retailprice, CAST((row_number() OVER (ORDER BY {hash_sql('p_partkey')}, p_partkey) - 1) % 3 AS INTEGER) AS fold FROM part"
+def _metrics_sql(pred: str) -> str:
+    return f"""SELECT fold, avg((p - y) ** 2) AS mse, sqrt(avg((p - y) ** 2)) AS rmse, avg(abs(p - y)) AS mae, 1 - sum((p - y) ** 2) / (var_pop(y) * count(*)) AS r2,
+      sqrt(avg((p - y) ** 2)) / stddev_pop(y) AS nrmse, 100 * avg(abs((p - y) / y)) FILTER (y <> 0) AS mape, max(abs(p - y)) AS max_error, quantile_cont(abs(p - y), 0.5) AS median_absolute_error,
+      avg(y - p) AS mean_residual, stddev_pop(y - p) AS std_residual, stddev_samp(y - p) AS std_residual_sample, 1 - var_pop(y - p) / var_pop(y) AS explained_variance
+      FROM ({pred}) GROUP BY fold"""
 
 
-@query(
-    "bl3_cross_validation",
-    _cv_sql(_FOLDS)
-    + """SELECT 'mae' AS metric, round(avg(mae), 4) AS mean, round(stddev_pop(mae), 4) AS std, count(*) AS n FROM s UNION ALL SELECT 'rmse', round(avg(rmse), 4), round(stddev_pop(rmse), 4), count(*) FROM s
-    UNION ALL SELECT 'r2', round(avg(r2), 4), round(stddev_pop(r2), 4), count(*) FROM s""",
-)
+def _cv_sql(train: str, test: str) -> str:
+    """Fold summary of the regression of price on size; ``train`` and ``test`` give (fold, x, y)."""
+    pred = f"SELECT t.fold, t.y, a + b * t.x AS p FROM ({test}) t JOIN (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ({train}) GROUP BY fold) USING (fold)"
+    each = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM m" for m in _NAMES)
+    return f"WITH m AS ({_metrics_sql(pred)}) SELECT metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(*) AS n FROM ({each}) GROUP BY metric"
+
+
+def _linear():
+    return bl.Baseline("linear_regression", "regression", "p_retailprice", ["p_partkey"])
+
+
+_FOLDS = f"SELECT p_size::DOUBLE AS x, p_retailprice AS y, CAST((row_number() OVER (ORDER BY {hash_sql('p_partkey')}, p_partkey) - 1) % 3 AS INTEGER) AS fold FROM part"
+_TIME = "SELECT x, y, k::INTEGER AS fold, i, n - (3 - k) * (n // 4) AS start, n // 4 AS size FROM (SELECT p_size::DOUBLE AS x, p_retailprice AS y, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), range(3) t(k)"
+_HOLD = f"SELECT p_size::DOUBLE AS x, p_retailprice AS y, 0 AS fold, row_number() OVER (ORDER BY {hash_sql('p_partkey')}, p_partkey) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS ev FROM part"
+
+
+@query("bl3_cross_validation", _cv_sql(f"SELECT g.fold, x, y FROM (SELECT DISTINCT fold FROM ({_FOLDS})) g JOIN ({_FOLDS}) f ON f.fold <> g.fold", _FOLDS))
 def bl3_cv(spark, sf):
-    df = part_prices(spark, sf)
-    out = bl.cross_validate(df, lambda: bl.Baseline("linear_regression", "regression", "p_retailprice", ["p_partkey"]), 3)
-    return rounded(out.where(F.col("metric").isin("mae", "rmse", "r2")), 4)
+    return rounded(bl.cross_validate(part_prices(spark, sf), _linear, 3), 4)
 
 
 @query(
     "bl3_holdout",
-    f"""WITH f AS (SELECT p_size::DOUBLE AS p_size, p_retailprice, row_number() OVER (ORDER BY {hash_sql('p_partkey')}, p_partkey) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS ev FROM part),
-    m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM f WHERE NOT ev), e AS (SELECT a + b * p_size - p_retailprice AS e FROM f, m WHERE ev)
-    SELECT 'mae' AS metric, round(avg(abs(e)), 4) AS value FROM e UNION ALL SELECT 'rmse', round(sqrt(avg(e * e)), 4) FROM e""",
+    f"""WITH m AS ({_metrics_sql(f"SELECT 0 AS fold, h.y, a + b * h.x AS p FROM ({_HOLD}) h, (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ({_HOLD}) WHERE NOT ev) WHERE h.ev")})
+    SELECT metric, round(value, 4) AS value FROM ({" UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM m" for m in _NAMES)})""",
 )
 def bl3_holdout(spark, sf):
-    out = bl.holdout(part_prices(spark, sf), lambda: bl.Baseline("linear_regression", "regression", "p_retailprice", ["p_partkey"]))
-    return rounded(out.where(F.col("metric").isin("mae", "rmse")), 4)
+    return rounded(bl.holdout(part_prices(spark, sf), _linear), 4)
 
 
-@query("bl3_time_series")
+@query("bl3_time_series", _cv_sql(f"SELECT * FROM ({_TIME}) WHERE i < start", f"SELECT * FROM ({_TIME}) WHERE i >= start AND i < start + size"))
 def bl3_time(spark, sf):
-    df = part_prices(spark, sf)
-    return rounded(bl.time_series_validate(df, lambda: bl.Baseline("linear_regression", "regression", "p_retailprice", ["p_partkey"]), ["p_partkey"], 3), 4)
+    return rounded(bl.time_series_validate(part_prices(spark, sf), _linear, ["p_partkey"], 3), 4)
+
+
+@query("bl3_classifier_folds")
+def bl3_classifier(spark, sf):
+    make = lambda: bl.Baseline("logistic_regression", "classification", "o_orderstatus", ["o_orderkey"])
+    return rounded(bl.cross_validate(_orders(spark, sf), make, 3, "o_orderstatus"), 4)
 
 
 @query("bl4_suite")
@@ -140,7 +158,7 @@ def bl4(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
     return rounded(bl.run_suite(
         {"parts": (parts, "p_retailprice", "regression", ["p_partkey"]), "customers": (customers, "c_acctbal", "regression", ["c_custkey"])},
-        ["linear_regression", "random_forest", "no_such_model"], trees=5,
+        ["linear_regression", "random_forest", "no_such_model"], times=False,
     ), 4)
 
 

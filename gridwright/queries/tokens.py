@@ -232,15 +232,14 @@ def aug3(spark, sf):
 
 @query(
     "aug4_cutmix",
-    f"""WITH h AS (SELECT k, x, md5(concat_ws('|', k, 'cutmix', '42')) AS h FROM {ROWS}),
-    b AS (SELECT *, CAST(floor(CAST(CAST('0x' || substr(h, 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 * 16) AS INTEGER) AS b FROM h),
-    o AS (SELECT k, x, coalesce(lead(x) OVER w, first_value(x) OVER w) AS o FROM b WINDOW w AS (PARTITION BY b ORDER BY h)),
+    f"""WITH h AS (SELECT k, x, md5(concat_ws('|', k, '', '42')) AS h FROM {ROWS}),
+    o AS (SELECT k, x, coalesce(lead(x) OVER (ORDER BY h), first_value(x) OVER (ORDER BY h)) AS o FROM h),
     l AS (SELECT k, unnest(range(8))::INT AS i, unnest(x) AS v, unnest(o) AS ov FROM o),
     r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {_h('cutmix')}) AS rk FROM l)
     SELECT k, i, round(CASE WHEN {_gate('cutmix')} < 0.5 AND rk <= 2 THEN ov ELSE v END, 6) AS x FROM r""",
 )
 def aug4(spark, sf):
-    return exploded(aug.cutmix(rows(spark, sf), ["k"], probability=0.5, buckets=16), ["x"])
+    return exploded(aug.cutmix(rows(spark, sf), ["k"], probability=0.5), ["x"])
 
 
 @query(
