@@ -199,7 +199,7 @@ def mask_token_id(vocab: DataFrame) -> int:
 
 def string_code(c: Column) -> Column:
     """Deterministic number in [0, 1) for a string; 0 when missing."""
-    return F.when(c.isNull(), F.lit(0.0)).otherwise(F.pmod(F.crc32(c), F.lit(10000)) / 10000.0)
+    return F.when(c.isNull(), F.lit(0.0)).otherwise(F.pmod(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long"), F.lit(10000)) / 10000.0)
 
 
 MISSING = "missing"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridwright.operators import profile
 from gridwright.plans.storage import scratch_path
-from gridwright.queries.base import MESSY_NUMS, messy, query, rounded, table
+from gridwright.queries.base import MESSY, MESSY_NUMS, messy, query, rounded, table
 from gridwright.sources import generators as gen
 from gridwright.sources import readers, sinks
 from gridwright.sources.catalog import Catalog
@@ -131,7 +131,11 @@ def cat4(spark, sf):
     return _catalog(spark, sf).by_task("regression").select("name")
 
 
-@query("cat5_load_many")
+# a registered table that is not there is generated in its registered shape
+@query(
+    "cat5_load_many",
+    "SELECT 'part' AS name, 'p_retailprice' AS target, count(*) AS n_rows FROM part UNION ALL SELECT 'orders', 'o_orderpriority', count(*) FROM orders UNION ALL SELECT 'gone', 'target', count(*) FROM part",
+)
 def cat5(spark, sf):
     cat = _catalog(spark, sf)
     n = table(spark, sf, "part").count()
@@ -167,12 +171,19 @@ def snk2(spark, sf):
     return out
 
 
-@query("snk3_profile", "SELECT 'quantity' AS \"column\", count(*)::DOUBLE AS n_rows FROM lineitem UNION ALL SELECT unnest(['price', 'discount', 'tax']), n FROM (SELECT count(*)::DOUBLE AS n FROM lineitem)")
+@query(
+    "snk3_profile",
+    f"""WITH c AS (UNPIVOT (SELECT quantity::DOUBLE AS quantity, price::DOUBLE AS price, discount::DOUBLE AS discount, tax::DOUBLE AS tax FROM {MESSY}) ON quantity, price, discount, tax INTO NAME "column" VALUE v),
+    n AS (SELECT count(*)::DOUBLE AS n FROM lineitem), s AS (SELECT "column", count(*)::DOUBLE AS k, count(DISTINCT v)::DOUBLE AS u, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, quantile_cont(v, 0.25) AS q25,
+      quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS hi, skewness(v) AS skew, kurtosis(v) AS kurt FROM c GROUP BY 1)
+    SELECT "column", unnest(['n_rows', 'n_missing', 'missing_pct', 'n_unique', 'completeness_pct', 'mostly_missing', 'is_constant', 'nearly_unique', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max', 'skew', 'kurtosis']) AS metric,
+      round(unnest([n, n - k, 100 * (n - k) / n, u, 100 - 100 * (n - k) / n, (100 * (n - k) / n > 50)::INT, (u <= 1)::INT, (u > 0.9 * n)::INT, mean, std, lo, q25, q50, q75, hi, skew, kurt]), 4) AS value FROM s, n""",
+)
 def snk3(spark, sf):
     path = scratch_path(spark, "profile")
     sinks.save_profile(profile.full_profile(messy(spark, sf), MESSY_NUMS), path)
     back = spark.read.schema("column string, metrics map<string, double>").json(path)
-    return back.select("column", F.col("metrics")["n_rows"].alias("n_rows"))
+    return rounded(back.select("column", F.explode("metrics").alias("metric", "value")), 4)
 
 
 # ---------------------------------------------------------------- generators: ids come from a table
@@ -188,7 +199,43 @@ def _g_sql(salt: str, seed: int = 42, key: str = "id") -> str:
     return f"(sqrt(-2 * ln(greatest({u(1)}, 2.0 ** -52))) * cos(2 * pi() * {u(17)}))"
 
 
-@query("gen1_classification")
+def _u_sql(salt: str, seed: int = 42) -> str:
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws('|', id, '{salt}', '{seed}')), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0)"
+
+
+def _pick_sql(n: int, salt: str, seed: int = 42) -> str:
+    return f"CAST(floor({_u_sql(salt, seed)} * {n}) AS INTEGER)"
+
+
+_GEN_IDS = "(SELECT o_orderkey AS id FROM orders)"
+
+
+def _class_sql(n_features: int, n_classes: int, sep: float, flip: float, seed: int, more: str = "") -> str:
+    """Gaussian classes around corners whose signs are fixed numbers."""
+    signs = lambda j: "[" + ", ".join("1.0" if gen._weight("corner", c, j, seed=seed) >= 0 else "-1.0" for c in range(n_classes)) + "]"
+    y = _pick_sql(n_classes, "class", seed)
+    cells = ", ".join(f"round({_g_sql(f'x{j}', seed)} + {sep!r} * ({signs(j)})[{y} + 1], 6) AS feature_{j}" for j in range(n_features))
+    return f"SELECT id, {cells}, CASE WHEN {_u_sql('flip', seed)} < {flip!r} THEN {_pick_sql(n_classes, 'redraw', seed)} ELSE {y} END AS target{more} FROM {_GEN_IDS}"
+
+
+def _mixed_sql(n_numeric: int, n_categorical: int, n_values: int) -> str:
+    nums = ", ".join(f"{_g_sql(f'n{j}')} AS num_feature_{j}" for j in range(n_numeric))
+    cats = ", ".join(f"'category_' || {_pick_sql(n_values, f'c{j}')} AS cat_feature_{j}" for j in range(n_categorical))
+    score = " + ".join(_g_sql(f"n{j}") for j in range(min(3, n_numeric)))
+    return f"""(SELECT * EXCLUDE (s, cut), (s > cut)::INTEGER AS target FROM (SELECT *, quantile_cont(s, 0.5) OVER () AS cut FROM (
+      SELECT id, {nums}, {cats}, {score} + 0.1 * {_g_sql('score')} AS s FROM {_GEN_IDS})))"""
+
+
+def _messy_sql(n_numeric: int, n_categorical: int) -> str:
+    cells = [
+        f"CASE WHEN {_u_sql(f'null-num_feature_{j}')} >= 0.1 THEN round(CASE WHEN {_u_sql(f'out-num_feature_{j}')} < 0.05 THEN num_feature_{j} * 10 ELSE num_feature_{j} END, 6) END AS num_feature_{j}" for j in range(n_numeric)
+    ] + [f"CASE WHEN {_u_sql(f'null-cat_feature_{j}')} >= 0.1 THEN cat_feature_{j} END AS cat_feature_{j}" for j in range(n_categorical)]
+    return f"""SELECT id, {', '.join(cells)}, target,
+      CASE WHEN {_u_sql('mixed')} < 0.7 THEN CAST(round({_g_sql('mt')}, 3) + 0.0 AS VARCHAR) WHEN {_u_sql('mixed')} < 0.9 THEN 'text' ELSE 'N/A' END AS mixed_types,
+      CASE WHEN {_u_sql('bad-date')} < 0.01 THEN 'invalid_date' ELSE strftime(DATE '2023-01-01' + {_pick_sql(365, 'day')}, '%Y-%m-%d') END AS datetime_col FROM {_mixed_sql(n_numeric, n_categorical, 100)}"""
+
+
+@query("gen1_classification", _class_sql(5, 3, 1.0, 0.01, 42))
 def gen1(spark, sf):
     return rounded(gen.classification(_ids(spark, sf), "id", 5, 3))
 
@@ -202,16 +249,16 @@ def gen1_regression(spark, sf):
     return rounded(gen.regression(_ids(spark, sf), "id", 3), 5)
 
 
-@query("gen2_mixed")
+@query("gen2_mixed", f"SELECT id, {', '.join(f'round(num_feature_{j}, 6) AS num_feature_{j}' for j in range(3))}, cat_feature_0, cat_feature_1, target FROM {_mixed_sql(3, 2, 5)}")
 def gen2(spark, sf):
     return rounded(gen.mixed(_ids(spark, sf), "id", 3, 2))
 
 
-@query("gen3_domains")
+@query("gen3_domains", " UNION ALL ".join(_class_sql(3, 2, 0.5 + 0.25 * i, 0.01 * (i + 1), 42 + i, f", '{d}' AS domain") for i, d in enumerate("abc")))
 def gen3(spark, sf):
     return rounded(gen.domains(_ids(spark, sf), "id", ["a", "b", "c"], 3))
 
 
-@query("gen4_messy")
+@query("gen4_messy", _messy_sql(3, 2))
 def gen4(spark, sf):
     return rounded(gen.messy(_ids(spark, sf), "id", 3, 2))

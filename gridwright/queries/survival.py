@@ -91,7 +91,15 @@ def ms5(spark, sf):
     return rounded(a.join(b, "k").drop("k"))
 
 
-@query("ms5_log_normal")
+_ERFC = """CASE WHEN abs(x) < 1 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(40), lambda n: pow(-1, n) * pow(x, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))
+  ELSE CASE WHEN x < 0 THEN 2.0 ELSE 0.0 END + sign(x) * exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(abs(x), list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda a, k: abs(x) + k / 2 / a) END"""
+
+
+@query(
+    "ms5_log_normal",
+    f"""SELECT round(-avg(CASE WHEN event = 1 THEN -ln("time") - 0.5 * ln(2 * pi()) - x * x ELSE ln(0.5 * ({_ERFC}) + 1e-8) END), 6) AS nll
+    FROM (SELECT *, (ln("time" + 1e-8) - (2 + risk / 10)) / sqrt(2) AS x FROM {SURV})""",
+)
 def ms5_log_normal(spark, sf):
     return rounded(srv.parametric_nll(_params(surv(spark, sf)), "log_normal"))
 

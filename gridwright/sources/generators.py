@@ -79,7 +79,7 @@ def messy(ids: DataFrame, key: str, n_numeric: int = 5, n_categorical: int = 2,
             v = F.when(uniform([key], f"null-{c}", seed) >= 0.1, v)
         cells.append(v.alias(c))
     u = uniform([key], "mixed", seed)
-    mixed_types = F.when(u < 0.7, F.round(gaussian([key], "mt", seed), 3).cast("string")).when(u < 0.9, F.lit("text")).otherwise(F.lit("N/A"))
+    mixed_types = F.when(u < 0.7, (F.round(gaussian([key], "mt", seed), 3) + F.lit(0.0)).cast("string")).when(u < 0.9, F.lit("text")).otherwise(F.lit("N/A"))
     day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), pick([key], 365, "day", seed)), "yyyy-MM-dd")
     dates = F.when(uniform([key], "bad-date", seed) < 0.01, F.lit("invalid_date")).otherwise(day)
     return df.select(*cells, mixed_types.alias("mixed_types"), dates.alias("datetime_col"))
