@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,31 +34,45 @@ def _poly(x: Column, c: Sequence[float]) -> Column:
     return reduce(lambda a, b: a * x + F.lit(b), c[1:], F.lit(c[0]))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function, to about 1e-15 of its value; null stays null."""
-    x = x.cast("double")
-    y = F.abs(x)
-    square = x * x
-    centre = F.lit(1.0) - x * _poly(square, _ERF_P) / _poly(square, _ERF_Q)
-    middle = F.exp(-square) * _poly(y, _MID_P) / _poly(y, _MID_Q)
-    small = F.lit(1.0) / square
-    far = F.exp(-square) / y * (F.lit(1 / math.sqrt(math.pi)) - small * _poly(small, _FAR_P) / _poly(small, _FAR_Q))
-    tail = F.when(y <= 4.0, middle).when(y < 27.0, far).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
-    return F.when(F.isnan(x), x).when(y <= 0.46875, centre).when(x < 0, F.lit(2.0) - tail).otherwise(tail)
+
+    def body(x):
+        y, square = F.abs(x), x * x
+        centre = F.lit(1.0) - x * _poly(square, _ERF_P) / _poly(square, _ERF_Q)
+        middle = F.exp(-square) * _poly(y, _MID_P) / _poly(y, _MID_Q)
+        small = F.lit(1.0) / square
+        far = F.exp(-square) / y * (F.lit(1 / math.sqrt(math.pi)) - small * _poly(small, _FAR_P) / _poly(small, _FAR_Q))
+        tail = F.when(y <= 4.0, middle).when(y < 27.0, far).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
+        return F.when(F.isnan(x), x).when(y <= 0.46875, centre).otherwise(_let(tail, lambda t: F.when(x < 0, F.lit(2.0) - t).otherwise(t)))
+
+    return _let(x.cast("double"), body)
 
 
 def normal_quantile(p: Column) -> Column:
     """Inverse of the normal distribution, by a rational approximation and one Halley step; null outside (0, 1)."""
-    p = p.cast("double")
-    q = F.lit(0.5) - F.abs(p - F.lit(0.5))  # the nearer tail
-    r = p - F.lit(0.5)
-    centre = -F.abs(r * _poly(r * r, _CENTRE_P) / _poly(r * r, _CENTRE_Q))
-    t = F.sqrt(F.lit(-2.0) * F.log(q))
-    x = F.when(q < _TAIL, _poly(t, _TAIL_P) / _poly(t, _TAIL_Q)).otherwise(centre)
-    e = F.lit(0.5) * erfc(-x / F.lit(math.sqrt(2.0))) - q
-    u = e * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(x * x / 2.0)
-    better = x - u / (F.lit(1.0) + x * u / 2.0)
-    return F.when((p > 0) & (p < 1), F.when(p > 0.5, -better).otherwise(better))
+
+    def tail(q):
+        """Of the lower half."""
+        r = q - F.lit(0.5)
+        t = F.sqrt(F.lit(-2.0) * F.log(q))
+        return F.when(q < _TAIL, _poly(t, _TAIL_P) / _poly(t, _TAIL_Q)).otherwise(r * _poly(r * r, _CENTRE_P) / _poly(r * r, _CENTRE_Q))
+
+    def better(x, q):
+        step = (F.lit(0.5) * erfc(-x / F.lit(math.sqrt(2.0))) - q) * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(x * x / 2.0)
+        return _let(step, lambda u: x - u / (F.lit(1.0) + x * u / 2.0))
+
+    def body(p):
+        q = F.when(p > 0.5, F.lit(1.0) - p).otherwise(p)
+        half = _let(q, lambda q: _let(tail(q), lambda x: better(x, q)))
+        return F.when((p > 0) & (p < 1), half * F.when(p > 0.5, -1.0).otherwise(1.0))
+
+    return _let(p.cast("double"), body)
 
 
 def normal_two_sided(z: float) -> float:
