@@ -57,6 +57,7 @@ NAME_PATTERNS = {
     "status": r"\b(status|state|condition|flag|active|enabled)\b",
     "category": r"\b(category|type|class|group|kind|genre)\b",
 }
+# What counts as an e-mail address and as an amount.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 CURRENCY = r"^\$?\d+\.?\d*$"
 

@@ -125,7 +125,8 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("token", "token_id")
 
 
-def fit_vocabulary(df: DataFrame, cols: Sequence[str], binned: Sequence[str] = (), n_bins: int = 100, max_size: int = 50_000) -> TableVocabulary:
+def fit_vocabulary(df: DataFrame, cols: Sequence[str], binned: Sequence[str] = (), n_bins: int = 100, max_size: int = 10_000) -> TableVocabulary:
+    """Values below the `max_size` most frequent ones become the UNK token, as in the original vocabulary."""
     edges = encode.quantile_edges(df, list(binned), n_bins) if binned else {}
     texts = df.select(F.explode(F.array(*[text_token(df, c, edges) for c in cols])).alias("token")).where("token is not null")
     top = texts.groupBy("token").count().orderBy(F.col("count").desc(), "token").limit(max_size - len(SPECIALS)).select("token")
@@ -184,12 +185,12 @@ def pad_to_group(df: DataFrame, arr: str, by: Sequence[str], value=0) -> DataFra
 
 
 def ids_to_tokens(df: DataFrame, key_cols: Sequence[str], ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """Tokens of an id array joined by blanks; an unknown id becomes the UNK token. A row's ids meet
-    again by key, so the group is as long as the array."""
-    cells = df.select(*key_cols, F.posexplode(ids).alias("i", "__id"))
-    named = cells.join(vocab.select("token", "token_id"), F.col("__id") == F.col("token_id"), "left")
-    pairs = F.array_sort(F.collect_list(F.struct("i", F.coalesce("token", F.lit(SPECIALS[UNK])).alias("t"))))
-    return named.groupBy(*key_cols).agg(F.array_join(F.transform(pairs, lambda s: s["t"]), " ").alias(out))
+    """Tokens of an id array joined by blanks; an unknown id becomes the UNK token. The vocabulary, whose ids run from 0 and
+    whose size has a documented maximum, travels as one array; the rows are not shuffled."""
+    names = vocab.agg(F.array_sort(F.collect_list(F.struct("token_id", "token"))).alias("__v")).select(F.col("__v.token").alias("__names"))
+    word = lambda i: F.coalesce(F.get("__names", i), F.lit(SPECIALS[UNK]))
+    named = df.select(*key_cols, ids).join(F.broadcast(names))
+    return named.select(*key_cols, F.array_join(F.transform(ids, word), " ").alias(out))
 
 
 def batches(df: DataFrame, shard: str, order_cols: Sequence[str], fields: Sequence[str], size: int) -> DataFrame:
