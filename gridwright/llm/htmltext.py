@@ -24,7 +24,7 @@ from gridwright.llm.dom import FEATURES, GROUPS, TAGS, Page, decode, features
 from gridwright.llm.storage import stored
 
 #: Pages the trees learn from at most, layouts made of each, trees and their depth.
-SAMPLE_PAGES, LAYOUTS, TREES, DEPTH = 240, 6, 24, 5
+SAMPLE_PAGES, LAYOUTS, TREES, DEPTH = 240, 6, 48, 5
 PARSE_PAGES = 256  # pages whose nodes are held at once
 
 _NAMES = list(GROUPS)
@@ -80,12 +80,22 @@ def training_pages(blocks: list[str], rest: list[str], others: list[str], seed:
             return f"<{(t := pick(['section', 'div']))} data-y=0{named('comment', 1)}>{pick(['', '<h3>' + short(2) + '</h3>'])}{''.join(item() for _ in range(rng.randint(1, 6)))}</{t}>"
         return f"<div data-y=0{named(kind, 1)}>{pick([short(20), '<p>' + short(30) + '</p>', links(3)])}</div>"
 
+    def inline(text: str) -> str:
+        """The text with a few of its words in links or emphasis, as articles have them."""
+        parts = [escape(w) for w in text.split()]
+        if len(parts) > 6 and rng.random() < 0.5:
+            for _ in range(rng.randint(1, 4)):
+                at, mark = rng.randrange(len(parts)), pick(["a", "a", "a", "em", "strong", "span"])
+                if "<" not in parts[at]:
+                    parts[at] = f"<{mark} href='/y'>{parts[at]}</{mark}>"
+        return " ".join(parts)
+
     out = []
     for _ in range(LAYOUTS):
         tag, name = pick([("article", ""), ("article", named("content")), ("main", ""), ("div", named("content", 1)), ("section", named("content")), ("div", named("content", 0.5)), ("td", "")])
         body, head = [], True
         for text in blocks:
-            body.append(f"<h1>{escape(text)}</h1>" if head and len(text) < 300 and rng.random() < 0.8 else f"{pick(['<p>', '<p>', '<p>', '<p><b>', '<blockquote>', '<div>'])}{escape(text)}")
+            body.append(f"<h1>{escape(text)}</h1>" if head and len(text) < 300 and rng.random() < 0.8 else f"{pick(['<p>', '<p>', '<p>', '<p><b>', '<blockquote>', '<div>'])}{inline(text)}")
             body[-1] += pick(["</p>", "", "</p>"]) if body[-1].startswith("<p>") else "</blockquote>" if body[-1].startswith("<blockquote>") else "</div>" if body[-1].startswith("<div>") else ""
             head = False
         if rng.random() < 0.3:
