@@ -24,16 +24,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached. Nulls and loops are
-    left out; an empty table gives an empty table."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    left out; an empty table gives an empty table. ``parts``: files an intermediate table has at most."""
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", parts)
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(_star(now, True), False), "edges", parts)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark or state[0] == 0:
             break
         mark = state
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    return stored(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "roots", parts)

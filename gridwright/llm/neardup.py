@@ -4,11 +4,12 @@ A document's signature is ``CHUNKS * CHUNK`` values of 16 bits, the minima of as
 shingles; the distance of two signatures is the number of places at which they differ. Cut into ``CHUNKS`` chunks, two
 signatures at distance ``2 * CHUNKS - 1`` or less have a chunk with at most one error (pigeonhole). Every allowed error
 is enumerated: a chunk gives one key for each of its places, made of the other places, so all such pairs share a key.
-At the similarity of 0.85 a pair of documents misses every key with probability 2e-5.
+At the similarity of 0.85 a pair of documents misses every key with probability 4e-5.
 
-Documents with the same set form one class; only classes are compared. Within a key, candidates are compared with one
-leader, in rounds with other leaders, and what is already connected is not compared again; only what is left over is
-paired, under a bound of the signature distance. Every link is confirmed on the full sets.
+Documents with the same set form one class; only classes are compared. Within a key, candidates are compared with a
+few leaders first. Members of keys that then still hold several components are paired if they share a shingle of their sets'
+prefixes (rarest first; two sets that are similar enough always do), but never two members of one component. Candidates
+must also be within a bound of the signature distance. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from gridwright.llm.storage import stored
 from gridwright.llm.textblocks import U, blocks, grams, lowered, mix, prefix_sums, span_hash, words
 
 SHINGLE = 5
-CHUNKS, CHUNK = 6, 5
-#: Signature distance up to which left-over pairs are confirmed; at similarity 0.85 the mean is 4.5, the deviation 2.
-MAX_DISTANCE = 13
-ROUNDS = 3
-#: Pairs a posting for which no leaders are needed.
-DIRECT = 8
+CHUNKS, CHUNK = 8, 7
+#: Signature distance up to which candidates are confirmed; at similarity 0.85 the mean is 8, the deviation 2.6.
+MAX_DISTANCE = 21
+#: Shingles before its own that a posting of a left-over set carries.
+BEFORE = 16
 _VALUES = CHUNKS * CHUNK
+_NUMBERS = 4  # a signature's low bits, four of each value, 14 values to a number
 _SEEDS = mix(np.arange(1, _VALUES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _SCALES = mix(_SEEDS + U(7)) | U(1)
 
@@ -82,10 +83,10 @@ def _keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _nibbles(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each value, 15 values to a number."""
-    half = _VALUES // 2
-    shift = (np.arange(half, dtype=U) * U(4))[None, :]
-    return np.stack([((sig[:, i * half : (i + 1) * half] & U(15)) << shift).sum(axis=1, dtype=U) for i in (0, 1)], axis=1)
+    """Four bits of each value, as a few numbers."""
+    each = _VALUES // _NUMBERS
+    shift = (np.arange(each, dtype=U) * U(4))[None, :]
+    return np.stack([((sig[:, i * each : (i + 1) * each] & U(15)) << shift).sum(axis=1, dtype=U) for i in range(_NUMBERS)], axis=1)
 
 
 def _digests(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -99,29 +100,31 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offs in blocks(batch.column("text")):
             ids, rows = shingle_sets(data, offs)
             has, begin = _by_row(rows)
-            sig = _signatures(ids, begin)
+            sig, digest = _signatures(ids, begin).astype(np.uint16), _digests(ids, begin)
             n = hi - lo
-            size = np.bincount(rows, minlength=n).astype(np.int64)
-            none = np.ones(n, bool)
-            none[has] = False
-            digest = np.zeros((n, 2), U)
-            digest[has] = _digests(ids, begin)
-            keys, near = np.zeros((n, _VALUES), U), np.zeros((n, 2), U)
-            keys[has], near[has] = _keys(sig), _nibbles(sig)
+            names, signatures, ids64 = [None] * n, [None] * n, [None] * n
+            for i, row in enumerate(has.tolist()):
+                names[row], signatures[row], ids64[row] = digest[i].tobytes(), sig[i].tobytes(), int(digest[i, 0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(lo, n),
-                    batch.column("k").slice(lo, n),
-                    pa.array(size),
-                    pa.array([None if e else d.tobytes() for e, d in zip(none, digest, strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, n * _VALUES + 1, _VALUES, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
-                    pa.array(near[:, 0].view(np.int64)),
-                    pa.array(near[:, 1].view(np.int64)),
-                ],
-                ["doc_id", "k", "n_shingles", "cls", "keys", "s1", "s2"],
+                [batch.column("doc_id").slice(lo, n), batch.column("k").slice(lo, n), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(names, pa.binary()), pa.array(ids64, pa.int64()), pa.array(signatures, pa.binary())],
+                ["doc_id", "k", "n_shingles", "cls", "id", "sig"],
             )
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, _VALUES).astype(U)
+        ids = np.repeat(batch.column("id").to_numpy(), _VALUES)
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(sig).ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, _VALUES).astype(U)
+        near = _nibbles(sig)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(near[:, i].view(np.int64)) for i in range(_NUMBERS))], ["id", "n", *(f"s{i}" for i in range(_NUMBERS))])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in blocks(batch.column("text")):
@@ -129,33 +132,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has, begin = _by_row(rows)
             ends = np.append(begin, len(ids)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d.tobytes() for d in _digests(ids, begin)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int64)))],
-                ["cls", "ids"],
+                [pa.array(_digests(ids, begin)[:, 0].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int64)))],
+                ["id", "ids"],
             )
 
 
 def _distance(a: str, b: str) -> str:
     """SQL: places at which two signatures differ, as far as four bits a value show it."""
     parts = []
-    for s in ("s1", "s2"):
+    for s in (f"s{i}" for i in range(_NUMBERS)):
         x = f"({a}.{s} ^ {b}.{s})"
-        parts.append(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111})")
+        parts.append(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x11111111111111})")
     return " + ".join(parts)
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    reps = stored(classes.join(need, "cls", "left_semi").select(F.col("first").alias("rep")).distinct(), "reps")
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """(id, ids): the full shingle set of each class named by ``ids``, from the text of its first document."""
+    reps = stored(classes.join(ids, "id").select(F.col("first").alias("rep")).distinct(), "reps", parts)
     texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "cls binary, ids array<bigint>").join(need, "cls", "left_semi").groupBy("cls").agg(F.first("ids").alias("ids"))
-    sets = stored(sets, "sets")
+    sets = texts.mapInArrow(_sets, "id bigint, ids array<bigint>").join(ids, "id", "left_semi")
+    return stored(sets.groupBy("id").agg(F.first("ids").alias("ids")), "sets", parts)
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     both = (
-        pairs.join(sets.select(F.col("cls").alias("a"), F.col("ids").alias("x")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("ids").alias("y")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("ids").alias("x")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("ids").alias("y")), "b")
         .select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
     )
-    return stored(both.where(F.col("same") * 100 >= percent * (F.col("all") - F.col("same"))).select("a", "b"), "links")
+    return stored(both.where(F.col("same") * 100 >= percent * (F.col("all") - F.col("same"))).select("a", "b"), "links", parts)
+
+
+def _rare_members(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle, place, before): of each set the shingles of its prefix, rarest first, that another set has too, with
+    its place in this order and a few before it. Two sets that are similar enough share a shingle of their prefixes, for an
+    order common to all; so no link is lost."""
+    rows = sets.select("id", F.size("ids").alias("n"), F.explode("ids").alias("shingle"))
+    many = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = rows.join(many, "shingle").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("v"))
+    # the shingles of this set alone come first and match nothing
+    length = F.expr(f"n - cast(ceil(n * {percent} / 100D) as int) + 1 - (n - size(v))")
+    own = own.withColumn("length", length).where("length > 0")
+    each = own.select("id", "n", "v", F.posexplode(F.expr("slice(v, 1, length)")).alias("i", "s"))
+    before = F.expr(f"transform(slice(v, greatest(1, i - {BEFORE - 1}), least(i, {BEFORE})), x -> x.shingle)")
+    return each.select("id", F.col("s.shingle").alias("shingle"), F.expr("n - size(v) + i").alias("place"), before.alias("before"))
+
+
+def _left_pairs(members: DataFrame, close: str, percent: int) -> DataFrame:
+    """Pairs of members of one shingle with different roots. Of each shingle, the members of its largest root stand on one
+    side only, so a large connected group is never paired with itself. If the shingle is the first two sets share, no more
+    than what follows it can be common to both: a pair for which that is too little is none. A pair that shares one of the
+    shingles just before was met there."""
+    roots = members.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    main = roots.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1").select("shingle", "main")
+    both = members.join(main, "shingle")
+    few = both.where("root <> main").alias("p")
+    on = f"p.shingle = q.shingle and p.root <> q.root and (q.root = q.main or p.id < q.id) and {close}"
+    on += f" and {100 + percent} * least(p.n - p.place, q.n - q.place) >= {percent} * (p.n + q.n) and not arrays_overlap(p.before, q.before)"
+    return few.join(both.alias("q"), F.expr(on))
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame | None, percent: int, links: DataFrame | None = None):
+    """The confirmed pairs and, with the ``links`` known before, the root of each linked class; None twice if there are no
+    pairs."""
+    many = pairs.count()
+    if not many:
+        return None, None
+    parts = 8 + many // 20_000
+    if sets is None:
+        need = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = _sets_of(docs, classes, need, parts)
+    found = _confirmed(sets, pairs, parts, percent)
+    return found, components(found if links is None else found.unionAll(links), parts).withColumnRenamed("node", "id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -168,50 +217,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id is component_id. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("k"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id bigint, k int, n_shingles bigint, cls binary, keys array<bigint>, s1 bigint, s2 bigint"), "sketch")
-    classes = stored(
-        sketch.where("cls is not null").groupBy("cls")
-        .agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
-        "classes",
-    )
-    postings = classes.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    info = classes.select("cls", "n", "s1", "s2")
-    # of each class only the keys it shares go on
-    postings = stored(postings.join(shared, "key").join(info, "cls"), "postings")
-    links = None
-    root = postings.select("cls").distinct().withColumn("root", F.col("cls"))
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id bigint, k int, n_shingles bigint, cls binary, id bigint, sig binary"), "sketch")
+    classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("id").alias("id"), F.first("sig").alias("sig"))
+    classes = stored(classes, "classes")  # id: the first half of the digest
+    found = classes.select("id", "sig").mapInArrow(_postings, "key bigint, id bigint")
+    shared = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    postings = stored(found.join(shared, "key").distinct(), "postings")
+    info = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", "sig")
+    info = stored(info.mapInArrow(_near, f"id bigint, n bigint, {', '.join(f's{i} bigint' for i in range(_NUMBERS))}"), "info")
     close = f"least(p.n, q.n) * 100 >= {percent} * greatest(p.n, q.n) and {_distance('p', 'q')} <= {MAX_DISTANCE}"
-    for turn in range(ROUNDS + 1):
-        here = postings.join(root, "cls")
-        alive = here.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root", "n", "s1", "s2")).alias("l"),
-            F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-        ).where("r0 <> r1").select("key", "l", "c")
-        alive = stored(alive, "alive")
-        rows, work = alive.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
-        if not rows:
-            break
-        # few pairs in all: every pair is compared at once; the links are the same either way
-        last = turn == ROUNDS or work <= DIRECT * rows
-        if last:
-            left = stored(here.join(alive.select("key"), "key", "left_semi"), "left")
-            pairs = left.alias("p").join(left.alias("q"), F.expr(f"p.key = q.key and p.cls < q.cls and p.root <> q.root and {close}"))
-        else:
-            lead = alive.select("key", F.col("l.*")).drop("h")
-            pairs = here.alias("p").join(lead.alias("q"), F.expr(f"p.key = q.key and p.root <> q.root and {close}"))
-        pairs = stored(pairs.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct(), "pairs")
-        found = None if pairs.isEmpty() else _confirmed(docs, classes, pairs, percent)
-        if found is not None and not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            moved = stored(components(links), "roots")
-            root = postings.select("cls").distinct().join(moved.withColumnRenamed("node", "cls"), "cls", "left")
-            root = stored(root.select("cls", F.coalesce("root", "cls").alias("root")), "root")
-        if last:
-            break
-    named = classes.join(root, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "root").select("cls", "component_id")
+    pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
+    # first each member of a key with the leaders of the key: the member that meets most others in all its keys, and two
+    # by a hash
+    met = postings.join(postings.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("id").agg(F.sum("c").alias("met"))
+    info = stored(info.join(met, "id"), "info")
+    full = postings.join(info, "id")
+    member = [F.col(c) for c in info.columns]
+    heads = [F.max(F.struct("met", F.xxhash64("id").alias("h"), F.struct(*member).alias("m"))).alias("l0")]
+    heads += [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), F.struct(*member).alias("m"))).alias(f"l{i}") for i in (1, 2)]
+    lead = full.groupBy("key").agg(*heads).select("key", F.explode(F.array_distinct(F.array("l0.m", "l1.m", "l2.m"))).alias("m")).select("key", "m.*")
+    pairs = stored(full.alias("p").join(lead.alias("q"), F.expr(f"p.key = q.key and p.id <> q.id and {close}")).select(*pair).distinct(), "pairs")
+    links, root = _linked(docs, classes, pairs, None, percent)
+    # then what is left: members of keys that hold more than one component
+    here = postings.withColumn("root", F.col("id")) if root is None else postings.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    alive = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    left = stored(here.join(alive, "key", "left_semi").select("id", "root").distinct(), "left")
+    count = left.count()
+    if count:
+        sets = _sets_of(docs, classes, left.select("id"), 8 + count // 20_000)
+        members = stored(_rare_members(sets, percent).join(left, "id").join(info, "id"), "members")
+        pairs = stored(_left_pairs(members, close, percent).select(*pair).distinct(), "pairs")
+        more, last = _linked(docs, classes, pairs, sets, percent, links)
+        root = last if more is not None else root
+    if root is None:
+        named = classes.select("cls", F.col("first").alias("component_id"))
+    else:
+        named = classes.join(root, "id", "left").select("cls", "first", F.coalesce("root", "id").alias("root"))
+        lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = named.join(lowest, "root").select("cls", "component_id")
     ids = sketch.select("doc_id", "k", "n_shingles", "cls")
     linked = ids.join(named, "cls", "left").select("doc_id", "k", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

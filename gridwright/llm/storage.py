@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from gridwright.plans.storage import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Written as Parquet and read again: the lineage ends here, lost executors repeat nothing before it, and the
-    optimizer knows the table's size, so that only tables below the broadcast threshold are broadcast."""
+    optimizer knows the table's size, so that only tables below the broadcast threshold are broadcast. ``parts``: at most so many
+    files, for a table whose size is known to be small."""
+    df = df if parts is None else df.coalesce(parts)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
