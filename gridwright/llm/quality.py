@@ -172,7 +172,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder:
                     ["x", "label", "part"],
                 )
 
-    seen = sample.mapInArrow(run, "x array<float>, label int, part int").orderBy("part", "label", "x").toPandas()  # at most ``rows`` rows
+    seen = sample.mapInArrow(run, "x array<float>, label int, part int").toPandas()  # at most ``rows`` rows
+    seen = seen.assign(key=[np.asarray(v, np.float32).tobytes() for v in seen["x"]]).sort_values(["part", "label", "key"])  # the same order in every run
     size = 2 * DIMS + 5
     if not len(seen):
         zero = (np.zeros((size, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1))

@@ -215,7 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder
             for lo, hi, data, offs in blocks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(model.passages(data, offs)[0]), batch.column("label").slice(lo, hi - lo)], ["x", "label"])
 
-    seen = sample.select("text", "label").mapInArrow(run, "x double, label int").orderBy("x", "label").toPandas()  # at most ``rows`` rows
+    seen = sample.select("text", "label").mapInArrow(run, "x double, label int").toPandas().sort_values(["x", "label"])  # at most ``rows`` rows
     if not len(seen):
         return model
     slope, offset = _logistic(seen["x"].to_numpy(float), (seen["label"].to_numpy() > 0).astype(float))

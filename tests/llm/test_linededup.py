@@ -17,7 +17,7 @@ def plain_lines(text):
             out.append([m.start() if out else 0, m.end(), m.start(), 1])
         else:
             out[-1][1], out[-1][3] = m.end(), out[-1][3] + 1
-        last, stop = m.end(), m[0][-1] in ".!?"
+        last, stop = m.end(), re.search(r"(^|[^.!?])[.!?]$", m[0]) is not None
     begins = [x[0] for x in out] + [len(text or "")]
     return [(b, begins[i + 1], fx.lower(text[s:e]), n) for i, (b, e, s, n) in enumerate(out)]
 
@@ -122,7 +122,7 @@ def test_awkward_rows(spark):
 def test_lines_of_plain_python_agree():
     r = fx.rng()
     for _ in range(50):
-        t = re.sub(" ", lambda m: r.choice([" ", " ", "\n", "  \n", "\t"]), fx.text(r, 5))
+        t = re.sub(" ", lambda m: r.choice([" ", " ", "\n", "  \n", "\t", "!! ", "? ", " . "]), fx.text(r, 5))
         (_, _, data, offs), = blocks(pa.array([t]))
         begin, _, _, count = ld.lines(data, offs)
         assert begin.tolist() == [b for b, *_ in plain_lines(t)] and count.tolist() == [n for *_, n in plain_lines(t)]
