@@ -1,7 +1,7 @@
 """Repeated runs of lines, by winnowing over line hashes.
 
-A line ends at a line break or, so that passages set inside a paragraph are found, at a full stop, question or exclamation
-mark before white space. Lines are compared lower-cased (A-Z) without white space at the ends; lines without text are part
+A line ends at a line break or, so that passages set inside a paragraph are found, at a single full stop, question or
+exclamation mark before white space. Lines are compared lower-cased (A-Z) without white space at the ends; lines without text are part
 of the line before them.
 
 Fingerprints are grams of ``GRAM`` lines; of every ``WINDOW`` successive grams the least by (fewer words last, hash) is
@@ -37,11 +37,13 @@ def lines(data: np.ndarray, offs: np.ndarray):
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U), none
-    # a word begins a line if a line break or the end of a sentence comes before it
+    # a word begins a line if a line break or the end of a sentence (one mark, not several) comes before it
     breaks = np.concatenate([[0], np.cumsum(low == 10)])
+    end = ends[:-1] - 1
+    sentence = _STOP[low[end]] & ~(_STOP[low[np.maximum(end - 1, 0)]] & (end > starts[:-1]))
     first = np.ones(len(starts), bool)
     same = rows[1:] == rows[:-1]
-    first[1:] = ~same | (breaks[starts[1:]] > breaks[ends[:-1]]) | _STOP[low[ends[:-1] - 1]]
+    first[1:] = ~same | (breaks[starts[1:]] > breaks[ends[:-1]]) | sentence
     at = np.flatnonzero(first)
     last = np.append(at[1:], len(starts)) - 1
     hashes = span_hash(prefix_sums(low), starts[at], ends[last])
@@ -122,20 +124,22 @@ def repeated_runs(hashes: np.ndarray, first: np.ndarray, shift: int, places: np.
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each match: the run that goes, in code points and lines."""
+    """Of each pair of documents: the runs that go from the later one, in code points."""
     for batch in batches:
         doc, key, own = (batch.column(c).to_pylist() for c in ("doc_id", "k", "own"))
-        shift = batch.column("shift").to_pylist()
         array = lambda c, i: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
         out = []
         for i in range(batch.num_rows):
-            count, sizes = array("words", i).astype(np.int64), array("lengths", i).astype(np.int64)
-            for a, b in repeated_runs(array("hashes", i), array("first", i), shift[i], np.sort(array("at", i)), own[i]):
-                if count[a:b].sum() >= MIN_WORDS:
-                    s = int(sizes[:a].sum())
-                    out.append((doc[i], key[i], s, s + int(sizes[a:b].sum()), a, b))
+            count, ends = np.cumsum(np.append(0, array("words", i).astype(np.int64))), np.cumsum(np.append(0, array("lengths", i).astype(np.int64)))
+            hashes, first, found = array("hashes", i), array("first", i), set()
+            places = np.array([(x["shift"], x["at"]) for x in batch.column("at")[i].as_py()])
+            places = places[np.lexsort(places.T[::-1])]
+            for part in np.split(places, np.flatnonzero(np.diff(places[:, 0])) + 1):
+                found.update(repeated_runs(hashes, first, int(part[0, 0]), part[:, 1], own[i]))
+            out += [(doc[i], key[i], int(ends[a]), int(ends[b])) for a, b in sorted(found) if count[b] - count[a] >= MIN_WORDS]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "k", "s", "e", "a", "b"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "s", "e"])
 
 
 _MERGE = """aggregate(array_sort(spans), cast(array() as array<struct<s:int,e:int>>), (acc, x) ->
@@ -153,25 +157,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         rows.mapInArrow(_lines, "doc_id bigint, k int, hashes array<bigint>, words array<smallint>, lengths array<int>, places array<int>, sizes array<tinyint>"),
         "lines",
     )
-    marks = table.select("doc_id", "k", "hashes", F.explode(F.arrays_zip("places", "sizes")).alias("m"))
+    marks = table.select("doc_id", "k", "hashes", "words", F.explode(F.arrays_zip("places", "sizes")).alias("m"))
+    beside = lambda i: F.expr(f"shiftright(get(hashes, {i}), 33)").cast("int")
     marks = marks.select(
         "doc_id", "k", F.col("m.places").alias("at"),
         F.when(F.col("m.sizes") == 1, F.xxhash64(F.expr("hashes[m.places]"), F.lit(1))).otherwise(F.xxhash64(*[F.expr(f"hashes[m.places + {j}]") for j in range(GRAM)])).alias("h"),
+        F.expr(f"aggregate(slice(words, m.places + 1, m.sizes), 0, (a, x) -> a + x) >= {MIN_WORDS}").alias("enough"),
+        beside("m.places - 1").alias("prev"), beside("m.places + m.sizes").alias("next"),
     )
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "at")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "at", "prev", "next")
     heads = marks.groupBy("h").agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", "f")
-    pairs = marks.join(heads, "h").select("doc_id", "k", "at", F.col("f.doc_id").alias("d0"), F.col("f.k").alias("k0"), (F.col("at") - F.col("f.at")).alias("shift"))
+    # a short match that grows on neither side is dropped at once: it has not enough words
+    pairs = marks.join(heads.hint("merge"), "h").where("enough or prev = f.prev or next = f.next")
+    pairs = pairs.select("doc_id", "k", "at", F.col("f.doc_id").alias("d0"), F.col("f.k").alias("k0"), (F.col("at") - F.col("f.at")).alias("shift"))
     own = F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("k") == F.col("k0"))
     pairs = pairs.withColumn("own", own).where("not own or shift > 0")
-    pairs = stored(pairs.groupBy("doc_id", "k", "d0", "k0", "shift", "own").agg(F.collect_set("at").alias("at")), "matches")
+    # a list is as long as the later document has fingerprints, at most
+    pairs = stored(pairs.groupBy("doc_id", "k", "d0", "k0", "own").agg(F.collect_set(F.struct("shift", "at")).alias("at")), "matches")
     need = pairs.select("doc_id", "k").unionAll(pairs.select(F.col("d0").alias("doc_id"), F.col("k0").alias("k"))).distinct()
-    arrays = table.select("doc_id", "k", "hashes", "words", "lengths").alias("t").join(need.alias("n"), F.expr("t.doc_id <=> n.doc_id and t.k = n.k"), "left_semi").dropDuplicates(["doc_id", "k"])
+    arrays = table.select("doc_id", "k", "hashes", "words", "lengths").alias("t").join(need.hint("merge").alias("n"), F.expr("t.doc_id <=> n.doc_id and t.k = n.k"), "left_semi").dropDuplicates(["doc_id", "k"])
     arrays = stored(arrays, "arrays")
     first = arrays.select(F.col("doc_id").alias("d1"), F.col("k").alias("k1"), F.col("hashes").alias("first"))
-    both = pairs.join(first, F.expr("d0 <=> d1 and k0 = k1")).drop("d0", "k0", "d1", "k1")
+    both = pairs.join(first.hint("merge"), F.expr("d0 <=> d1 and k0 = k1")).drop("d0", "k0", "d1", "k1")
     later = arrays.select(F.col("doc_id").alias("d1"), F.col("k").alias("k1"), "hashes", "words", "lengths")
-    both = both.join(later, F.expr("doc_id <=> d1 and k = k1")).drop("d1", "k1")
-    runs = both.mapInArrow(_extend, "doc_id bigint, k int, s int, e int, a int, b int")
+    both = both.join(later.hint("merge"), F.expr("doc_id <=> d1 and k = k1")).drop("d1", "k1")
+    runs = both.mapInArrow(_extend, "doc_id bigint, k int, s int, e int")
     spans = runs.groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return stored(spans.select("doc_id", "k", F.expr(_MERGE).alias("spans")), "spans")
 
@@ -188,7 +198,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.col("doc_id").cast("bigint").alias("d"), F.hash("text").alias("h"))
     spans = spans.select(F.col("doc_id").alias("d0"), F.col("k").alias("h0"), "spans")
-    joined = rows.join(spans, F.expr("d <=> d0 and h = h0"), "left")
+    joined = rows.join(spans.hint("merge"), F.expr("d <=> d0 and h = h0"), "left")
     joined = joined.withColumn("cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(_CUT)))
     kept = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
     emptied = F.col("spans").isNotNull() & ~F.col("cut").rlike("[^ \\t-\\r]")
