@@ -136,10 +136,12 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = places[np.lexsort(places.T[::-1])]
             for part in np.split(places, np.flatnonzero(np.diff(places[:, 0])) + 1):
                 found.update(repeated_runs(hashes, first, int(part[0, 0]), part[:, 1], own[i]))
-            out += [(doc[i], key[i], int(ends[a]), int(ends[b])) for a, b in sorted(found) if count[b] - count[a] >= MIN_WORDS]
+            spans = [{"s": int(ends[a]), "e": int(ends[b])} for a, b in sorted(found) if count[b] - count[a] >= MIN_WORDS]
+            if spans:
+                out.append((doc[i], key[i], spans))
         if out:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "s", "e"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "spans"])
 
 
 _MERGE = """aggregate(array_sort(spans), cast(array() as array<struct<s:int,e:int>>), (acc, x) ->
@@ -181,8 +183,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     both = pairs.join(first.hint("merge"), F.expr("d0 <=> d1 and k0 = k1")).drop("d0", "k0", "d1", "k1")
     later = arrays.select(F.col("doc_id").alias("d1"), F.col("k").alias("k1"), "hashes", "words", "lengths")
     both = both.join(later.hint("merge"), F.expr("doc_id <=> d1 and k = k1")).drop("d1", "k1")
-    runs = both.mapInArrow(_extend, "doc_id bigint, k int, s int, e int")
-    spans = runs.groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    runs = both.mapInArrow(_extend, "doc_id bigint, k int, spans array<struct<s:int,e:int>>")
+    spans = runs.groupBy("doc_id", "k").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     return stored(spans.select("doc_id", "k", F.expr(_MERGE).alias("spans")), "spans")
 
 
