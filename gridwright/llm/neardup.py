@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature is ``CHUNKS * CHUNK`` values of 16 bits, the minima of as many hash functions over its word
-shingles; the distance of two signatures is the number of places at which they differ. Cut into ``CHUNKS`` chunks, two
-signatures at distance ``2 * CHUNKS - 1`` or less have a chunk with at most one error (pigeonhole). Every allowed error
+A document's signature is ``chunks * chunk`` values of 16 bits, the minima of as many hash functions over its word
+shingles; the distance of two signatures is the number of places at which they differ. Cut into ``chunks`` chunks, two
+signatures at distance ``2 * chunks - 1`` or less have a chunk with at most one error (pigeonhole). Every allowed error
 is enumerated: a chunk gives one key for each of its places, made of the other places, so all such pairs share a key.
-At the similarity of 0.85 a pair of documents misses every key with probability 4e-5.
+The chunks are set by the least similarity (``layout``), so that a pair at it misses every key with probability 4e-5
+or less: 8 chunks of 7 at 0.85, 10 chunks of 6 at 0.80.
 
 Documents with the same set form one class; only classes are compared. Within a key, candidates are compared with a
 few leaders first. Members of keys that then still hold several components are paired if they share a shingle of their sets'
@@ -14,7 +15,9 @@ must also be within a bound of the signature distance. Every link is confirmed o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,42 @@ SHINGLE = 5
 CHUNKS, CHUNK = 8, 7
 #: Signature distance up to which candidates are confirmed; at similarity 0.85 the mean is 8, the deviation 2.6.
 MAX_DISTANCE = 21
+#: Probability with which a pair at the least similarity may miss every key, and deviations of its signature distance.
+MISS, DEVIATIONS = 4.5e-5, 5
 #: Shingles before its own that a posting of a left-over set carries.
 BEFORE = 16
-_VALUES = CHUNKS * CHUNK
-_NUMBERS = 4  # a signature's low bits, four of each value, 14 values to a number
-_SEEDS = mix(np.arange(1, _VALUES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-_SCALES = mix(_SEEDS + U(7)) | U(1)
+_NIBBLES = 15  # of a number of a signature's low bits, four of each value
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How signatures are cut into chunks, and the distance up to which candidates are confirmed."""
+
+    chunks: int = CHUNKS
+    chunk: int = CHUNK
+    most: int = MAX_DISTANCE
+
+    @property
+    def values(self) -> int:
+        return self.chunks * self.chunk
+
+    @property
+    def numbers(self) -> int:
+        return -(-self.values // _NIBBLES)
+
+
+def layout(percent: int) -> Layout:
+    """For links of this similarity: chunks are shorter where errors are more, and as many as ``MISS`` asks for."""
+    s = min(max(percent, 1), 99) / 100
+    chunk = CHUNK if percent >= 85 else CHUNK - 1 if percent >= 75 else CHUNK - 3
+    shares = s**chunk + chunk * s ** (chunk - 1) * (1 - s)
+    chunks = max(CHUNKS, math.ceil(math.log(MISS) / math.log1p(-shares)))
+    n = chunks * chunk
+    return Layout(chunks, chunk, max(MAX_DISTANCE, math.floor(n * (1 - s) + DEVIATIONS * math.sqrt(n * s * (1 - s)))))
+
+
+_DEFAULT = Layout()
+_VALUES = _DEFAULT.values
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,33 +93,35 @@ def _by_row(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[begin], begin
 
 
-def _signatures(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    out = np.empty((len(begin), _VALUES), U)
-    for k in range(_VALUES):
-        h = (ids ^ _SEEDS[k]) * _SCALES[k]
+def _signatures(ids: np.ndarray, begin: np.ndarray, cut: Layout = _DEFAULT) -> np.ndarray:
+    seeds = mix(np.arange(1, cut.values + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    scales = mix(seeds + U(7)) | U(1)
+    out = np.empty((len(begin), cut.values), U)
+    for k in range(cut.values):
+        h = (ids ^ seeds[k]) * scales[k]
         h ^= h >> U(29)
         out[:, k] = np.minimum.reduceat(h, begin) if len(begin) else 0
     return mix(out) & U(0xFFFF)
 
 
-def _keys(sig: np.ndarray) -> np.ndarray:
+def _keys(sig: np.ndarray, cut: Layout = _DEFAULT) -> np.ndarray:
     """One key for each chunk and place left out."""
-    out = np.empty((len(sig), _VALUES), U)
-    for c in range(CHUNKS):
-        for p in range(CHUNK):
-            h = np.full(len(sig), c * CHUNK + p + 1, U)
-            for j in range(CHUNK):
+    out = np.empty((len(sig), cut.values), U)
+    for c in range(cut.chunks):
+        for p in range(cut.chunk):
+            h = np.full(len(sig), c * cut.chunk + p + 1, U)
+            for j in range(cut.chunk):
                 if j != p:
-                    h = h * U(0xA24BAED4963EE407) + sig[:, c * CHUNK + j] + U(1)
-            out[:, c * CHUNK + p] = mix(h)
+                    h = h * U(0xA24BAED4963EE407) + sig[:, c * cut.chunk + j] + U(1)
+            out[:, c * cut.chunk + p] = mix(h)
     return out
 
 
-def _nibbles(sig: np.ndarray) -> np.ndarray:
+def _nibbles(sig: np.ndarray, cut: Layout = _DEFAULT) -> np.ndarray:
     """Four bits of each value, as a few numbers."""
-    each = _VALUES // _NUMBERS
-    shift = (np.arange(each, dtype=U) * U(4))[None, :]
-    return np.stack([((sig[:, i * each : (i + 1) * each] & U(15)) << shift).sum(axis=1, dtype=U) for i in range(_NUMBERS)], axis=1)
+    shift = (np.arange(_NIBBLES, dtype=U) * U(4))[None, :]
+    parts = [sig[:, i * _NIBBLES : (i + 1) * _NIBBLES] & U(15) for i in range(cut.numbers)]
+    return np.stack([(x << shift[:, : x.shape[1]]).sum(axis=1, dtype=U) for x in parts], axis=1)
 
 
 def _digests(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -95,12 +130,12 @@ def _digests(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(np.stack(parts, axis=1))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], cut: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in blocks(batch.column("text")):
             ids, rows = shingle_sets(data, offs)
             has, begin = _by_row(rows)
-            sig, digest = _signatures(ids, begin).astype(np.uint16), _digests(ids, begin)
+            sig, digest = _signatures(ids, begin, cut).astype(np.uint16), _digests(ids, begin)
             n = hi - lo
             names, signatures, ids64 = [None] * n, [None] * n, [None] * n
             for i, row in enumerate(has.tolist()):
@@ -111,18 +146,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _values(batch: pa.RecordBatch, cut: Layout) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, cut.values).astype(U)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], cut: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, _VALUES).astype(U)
-        ids = np.repeat(batch.column("id").to_numpy(), _VALUES)
-        yield pa.RecordBatch.from_arrays([pa.array(_keys(sig).ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+        ids = np.repeat(batch.column("id").to_numpy(), cut.values)
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(_values(batch, cut), cut).ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], cut: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, _VALUES).astype(U)
-        near = _nibbles(sig)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(near[:, i].view(np.int64)) for i in range(_NUMBERS))], ["id", "n", *(f"s{i}" for i in range(_NUMBERS))])
+        near = _nibbles(_values(batch, cut), cut)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(near[:, i].view(np.int64)) for i in range(cut.numbers))], ["id", "n", *(f"s{i}" for i in range(cut.numbers))])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +174,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _distance(a: str, b: str) -> str:
+def _distance(a: str, b: str, cut: Layout) -> str:
     """SQL: places at which two signatures differ, as far as four bits a value show it."""
     parts = []
-    for s in (f"s{i}" for i in range(_NUMBERS)):
+    for s in (f"s{i}" for i in range(cut.numbers)):
         x = f"({a}.{s} ^ {b}.{s})"
-        parts.append(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x11111111111111})")
+        parts.append(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111})")
     return " + ".join(parts)
 
 
@@ -217,15 +254,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id is component_id. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("k"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id bigint, k int, n_shingles bigint, cls binary, id bigint, sig binary"), "sketch")
+    cut = layout(percent)
+    sketch = stored(docs.mapInArrow(lambda it: _sketch(it, cut), "doc_id bigint, k int, n_shingles bigint, cls binary, id bigint, sig binary"), "sketch")
     classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("id").alias("id"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")  # id: the first half of the digest
-    found = classes.select("id", "sig").mapInArrow(_postings, "key bigint, id bigint")
+    found = classes.select("id", "sig").mapInArrow(lambda it: _postings(it, cut), "key bigint, id bigint")
     shared = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     postings = stored(found.join(shared, "key").distinct(), "postings")
     info = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", "sig")
-    info = stored(info.mapInArrow(_near, f"id bigint, n bigint, {', '.join(f's{i} bigint' for i in range(_NUMBERS))}"), "info")
-    close = f"least(p.n, q.n) * 100 >= {percent} * greatest(p.n, q.n) and {_distance('p', 'q')} <= {MAX_DISTANCE}"
+    info = stored(info.mapInArrow(lambda it: _near(it, cut), f"id bigint, n bigint, {', '.join(f's{i} bigint' for i in range(cut.numbers))}"), "info")
+    close = f"least(p.n, q.n) * 100 >= {percent} * greatest(p.n, q.n) and {_distance('p', 'q', cut)} <= {cut.most}"
     pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
     # first each member of a key with the leaders of the key: the member that meets most others in all its keys, and two
     # by a hash

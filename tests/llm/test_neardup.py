@@ -101,3 +101,30 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in rows} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_pipeline_stage_matches_brute_force_at_80(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    rows = []
+    for i in range(400):  # three or four edits of 150 words: a similarity of 0.75 to 0.86
+        w = [f"p{i}w{j}" for j in range(150)]
+        rows.append((2 * i, " ".join(w)))
+        for at in r.sample(range(150), r.choice([3, 3, 4])):
+            w[at] = f"e{r.random()}"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = {d: shingles(t) for d, t in rows}
+    like = [len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d, _ in rows[::2]]
+    assert sum(0.8 <= x < 0.85 for x in like) > 150 and min(like) < 0.8
+    want = sorted([d for d, _ in rows[::2]] + [2 * i + 1 for i, x in enumerate(like) if x < 0.8])
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in left.collect()) == want
+
+
+def test_layouts_miss_hardly_any_pair():
+    assert neardup.layout(85) == neardup.Layout()
+    for percent in (70, 80, 85, 90, 100):
+        cut, s = neardup.layout(percent), percent / 100
+        shares = s**cut.chunk + cut.chunk * s ** (cut.chunk - 1) * (1 - s)
+        assert (1 - shares) ** cut.chunks <= neardup.MISS and cut.most >= cut.values * (1 - s) + 4.5 * (cut.values * s * (1 - s)) ** 0.5
