@@ -1,21 +1,25 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words are counted over all training texts, in every task first; then pairs and triples, level by level: an n-gram can
-only be frequent if its parts are, so each level counts only what the level before left (exact, and far fewer rows).
-N-grams that make up ``SHARE`` of all tokens or more (and occur twice) become arcs, so there are at most ``1 / SHARE`` an
-order, at any size of the corpus: the automaton has a proven bound, while all counts cover all data.
+Words, pairs and triples are counted over all training texts, and every one that occurs ``LEAST`` times becomes an arc, at
+any size of the corpus: the counts are tables in Spark, dealt by a hash, that grow with the corpus.
 
 States are histories of one or two words. An arc carries the discounted log-probability of its word and leads to the
 longest history that is a state; the failure arc of a state carries its backoff weight and leads to the history without
-its first word. The root gives every word ``(c + 1) / (N + V + 1)``. For an order of three the state before a token is
-fixed by two tokens, so one left-to-right pass finds all states of a block of texts at once.
-
-Words of the root too rare to be held in memory are scored by a join with the full count table; they reset the state.
+its first word. The root gives every word ``(c + 1) / (N + V + 1)``.
+
+The automaton's score of a text is a sum over the words, pairs and triples that stand in it, each with a weight of its
+own: a word that of the root and of its failure arc; a pair what its arc gives beyond the failure and the root, and its
+own failure arc; a triple what its arc gives beyond the failure and the pair's arc. An n-gram without an arc weighs
+nothing. So texts are scored by joins with the tables of weights; no state is followed. Frequent words and n-grams are
+held in memory only to spare rows of the join. N-grams travel as packed arrays, by buckets of a hash; a bitmap a bucket
+(of bounded size, exact or not) leaves out most that occur once.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.storage import stored
-from gridwright.llm.textblocks import U, blocks, held_out_ids, lowered, prefix_sums, span_hash, text_hash, words
+from gridwright.llm.textblocks import U, blocks, held_out_ids, lowered, mix, prefix_sums, span_hash, text_hash, words
 
-#: Least share of all tokens of an n-gram with an arc, and of a word whose count is held in memory.
+#: Occurrences from which on an n-gram has an arc.
+LEAST = 2
+#: Least share of all tokens of an n-gram, and of a word, whose weight is held in memory; scores do not depend on it.
 SHARE, WORD_SHARE = 1e-6, 1e-7
+#: Tokens for each bucket of n-grams; bits of a bucket's bitmap, and of all bitmaps of an order, at most.
+BUCKET, BITS, ALL_BITS = 1 << 20, 1 << 20, 1 << 29
 DISCOUNT = 0.75
 END, BEGIN = text_hash(" end of text "), text_hash(" begin of text ")
 _BITS = 20
-_HELD = 2_000_000  # counts a task gathers before it passes them on
+_HELD, _HELD_GRAMS = 2_000_000, 1_500_000  # counts a task gathers before it passes them on
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +107,10 @@ def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """States 0 (root), 1.. (one word), then two words. Arrays are sorted by key."""
+    """The plain form with states and failure arcs, all in memory, for small tables; ``language_scores`` does without.
+
+    States 0 (root), 1.. (one word), then two words. Arrays are sorted by key.
+    """
 
     total: int  # training tokens
     types: int
@@ -114,40 +125,6 @@ class Automaton:
     fail_state: np.ndarray
     fail_log: np.ndarray
 
-    def score(self, data: np.ndarray, offs: np.ndarray):
-        """Per text: tokens, known tokens held in memory, their base score, the automaton's score without rare words;
-        then the rare tokens (hash, row)."""
-        n = len(offs) - 1
-        token, row = _tokens(data, offs)
-        mark = token == U(BEGIN)
-        name = _lookup(self.names, token)
-        # the state before each token: two words back, else one, else the root
-        one = np.where(name >= 0, self.word_state[name], 0) if len(self.names) else np.zeros(len(token), np.int64)
-        after = one.copy()
-        if len(self.pair_keys):
-            pair = (name[:-1].astype(U) << U(_BITS)) | name[1:].astype(U)
-            at = np.where((name[:-1] >= 0) & (name[1:] >= 0) & (row[1:] == row[:-1]), _lookup(self.pair_keys, pair), -1)
-            after[1:] = np.where(at >= 0, at + self.pair_first, one[1:])
-        state = np.zeros(len(token), np.int64)
-        state[1:] = after[:-1]
-        state, name, token, row = (x[~mark] for x in (state, name, token, row))
-        held = _lookup(self.held, token)
-        base = np.where(held >= 0, self.root[held], 0.0) if len(self.held) else np.zeros(len(token))
-        log = np.zeros(len(token))
-        open_ = np.arange(len(token))
-        while len(open_):  # at most two failures
-            s = state[open_]
-            at = np.where((s > 0) & (name[open_] >= 0), _lookup(self.arc_keys, (s.astype(U) << U(_BITS)) | np.maximum(name[open_], 0).astype(U)), -1)
-            hit, at_root = at >= 0, s == 0
-            log[open_[hit]] += self.arc_logs[at[hit]]
-            log[open_[at_root]] += base[open_[at_root]]
-            open_ = open_[~hit & ~at_root]
-            log[open_] += self.fail_log[state[open_]]
-            state[open_] = self.fail_state[state[open_]]
-        rare = held < 0
-        per = lambda w: np.bincount(row, w, n)
-        return np.bincount(row, minlength=n), per(~rare).astype(np.int64), per(base), per(log), token[rare], row[rare]
-
 
 def _arc_states(keys: np.ndarray, counts: np.ndarray, history: np.ndarray, history_counts: np.ndarray, lower: np.ndarray):
     """Log-probabilities of the arcs (sorted by history) and the backoff weight of each history that has arcs."""
@@ -159,7 +136,7 @@ def _arc_states(keys: np.ndarray, counts: np.ndarray, history: np.ndarray, histo
 
 
 def fit_automaton(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton of a table's column ``text`` and the table (k, n) of all word counts. Null texts count as empty; an
+    """The automaton of a small table's column ``text`` and the table (k, n) of all word counts. Null texts count as empty; an
     empty table gives the root alone."""
     texts = texts.select("text")
 
@@ -224,6 +201,254 @@ def fit_automaton(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     ), counts
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) * U(0xA24BAED4963EE407) + b)
+
+
+def _grams(data: np.ndarray, offs: np.ndarray):
+    """Per order (2, 3) of the n-grams of a block: key, first part, second part, row. A triple's parts are its pairs."""
+    token, row = _tokens(data, offs)
+    pair = _joined(token[:-1], token[1:])
+    same = row[1:] == row[:-1]
+    both = same[1:] & same[:-1]
+    triple = (_joined(pair[:-1], pair[1:]), pair[:-1], pair[1:], row[2:])
+    return (pair[same], token[:-1][same], token[1:][same], row[1:][same]), tuple(x[both] for x in triple)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> U(32)) % U(buckets)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Bitmaps:
+    """May a key be one of a table's? Never a wrong no."""
+
+    bits: int  # a bucket
+    table: np.ndarray  # bytes by bucket
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & U(self.bits - 1)
+        return (self.table[_bucket(keys, len(self.table)), (slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def _bitmaps(table: DataFrame, buckets: int) -> Bitmaps:
+    """Of the column k of a table whose files hold few buckets each."""
+    bits = min(BITS, 1 << max(6, int(math.log2(ALL_BITS / buckets))))
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            keys = batch.column("k").to_numpy().view(U)
+            where = _bucket(keys, buckets)
+            for b in np.unique(where).tolist():
+                bit = held.setdefault(b, np.zeros(bits, bool))
+                bit[(keys[where == b] & U(bits - 1)).astype(np.int64)] = True
+                if len(held) > 64:
+                    yield from out(held)
+                    held = {}
+        yield from out(held)
+
+    def out(held):
+        for b, bit in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bit, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
+    found = np.zeros((buckets, bits // 8), np.uint8)
+    for r in table.select("k").mapInArrow(run, "bucket int, bits binary").toLocalIterator():
+        found[r.bucket] |= np.frombuffer(r.bits, np.uint8)
+    return Bitmaps(bits, found)
+
+
+def _dealt(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, columns of its keys) for each bucket that has some; the order within it stays."""
+    where = _bucket(keys, buckets)
+    order = np.argsort(where, kind="stable")
+    some, begin = np.unique(where[order], return_index=True)
+    ends = np.append(begin[1:], len(order))
+    columns = [c[order] for c in columns]
+    for b, lo, hi in zip(some.tolist(), begin.tolist(), ends.tolist(), strict=True):
+        yield b, [c[lo:hi] for c in columns]
+
+
+def _packed(rows: list[tuple[int, list[np.ndarray]]], names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([b for b, _ in rows], pa.int32())]
+    columns += [pa.array([np.ascontiguousarray(x[i]).tobytes() for _, x in rows], pa.binary()) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", *names])
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; the shuffle files of steps before go, which else stay until the driver happens to collect its garbage.
+    The driver's Python tells the JVM what it has dropped only after the first round."""
+    df = stored(df, name)
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return df
+
+
+def _repeated(texts: DataFrame, order: int, buckets: int, parts) -> DataFrame:
+    """(k, a, b, n): the n-grams that occur ``LEAST`` times. ``parts``: bitmaps their parts must pass, or None."""
+
+    def count(batches):
+        def summed(held):
+            k, a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            some, first, place = np.unique(k, return_index=True, return_inverse=True)
+            return some, a[first], b[first], np.bincount(place, n, len(some)).astype(np.uint32)
+
+        def rows(k, a, b, n):
+            return _packed(list(_dealt(k, buckets, [a, b, n])), ["a", "b", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offs in blocks(batch.column("text")):
+                k, a, b, _ = _grams(data, offs)[order - 2]
+                if parts is not None:
+                    ok = parts.value.has(a) & parts.value.has(b)
+                    k, a, b = k[ok], a[ok], b[ok]
+                held.append((k, a, b, np.ones(len(k), np.uint32)))
+                size += len(k)
+                if size > _HELD_GRAMS:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > _HELD_GRAMS // 2:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if size:
+            yield rows(*summed(held))
+
+    def total(table: pa.Table) -> pa.Table:
+        a, b, n = (_column(table, c, kind) for c, kind in (("a", U), ("b", U), ("n", np.uint32)))
+        some, first, place = np.unique(_joined(a, b), return_index=True, return_inverse=True)
+        n = np.bincount(place, n, len(some)).astype(np.int64)
+        often = n >= LEAST
+        return pa.table({"k": some[often].view(np.int64), "a": a[first[often]].view(np.int64), "b": b[first[often]].view(np.int64), "n": n[often]})
+
+    dealt = texts.mapInArrow(count, "bucket int, a binary, b binary, n binary")
+    return _kept(dealt.groupBy("bucket").applyInArrow(total, "k bigint, a bigint, b bigint, n bigint"), f"grams{order}")
+
+
+def _rest(up: str, down: str):
+    """The logarithm of a failure arc: mass left by the arcs over mass left below."""
+    return F.log10(F.greatest(1 - F.sum(up), F.lit(1e-12)) / F.greatest(1 - F.sum(down), F.lit(1e-12)))
+
+
+def _hot(table: DataFrame, least: int, *names: str) -> list[np.ndarray]:
+    got = table.where(F.col("n") >= least).select("k", *names).toArrow()
+    k, *rest = (got.column(c).to_numpy() for c in ("k", *names))
+    order = np.argsort(k.view(U))
+    return [k.view(U)[order], *(x[order] for x in rest)]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What a task holds of the weights: all frequent ones, and bitmaps of the others."""
+
+    buckets: int
+    words: list  # keys, logarithms at the root, failure arcs
+    hot: list  # by order: keys, weights
+    maps: list  # by order
+
+
+def fit_weights(texts: DataFrame):
+    """The weights: (total, types, what tasks hold, words (k, n, fail), n-grams (k, e) that are not held)."""
+    texts = texts.select("text")
+    every = _kept(_counts(texts, lambda data, offs: _tokens(data, offs)[0]), "words")
+    begin = F.lit(int(np.array(BEGIN, U).view(np.int64)))
+    total, types = every.where(F.col("k") != begin).agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
+    spark, bottom, buckets = texts.sparkSession, float(total + types + 1), 1 + total // BUCKET
+    pairs = _repeated(texts, 2, buckets, None)
+    maps = [_bitmaps(pairs, buckets)]
+    triples = _repeated(texts, 3, buckets, spark.sparkContext.broadcast(maps[0]))
+    maps.append(_bitmaps(triples, buckets))
+    # pairs: probability of the arc and of its word at the root
+    heads = every.select(F.col("k").alias("a"), F.col("n").alias("c"))
+    tails = every.select(F.col("k").alias("b"), ((F.col("n") + 1) / F.lit(bottom)).alias("low"))
+    pairs = pairs.join(heads, "a").join(tails, "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
+    pairs = _kept(pairs, "pairs")
+    fail1 = _kept(pairs.groupBy("a").agg(_rest("p", "low").alias("fail")), "fail1")
+    heads = pairs.select(F.col("k").alias("a"), F.col("n").alias("c"))
+    tails = pairs.select(F.col("k").alias("b"), F.col("p").alias("low"))
+    triples = triples.join(heads, "a").join(tails, "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
+    triples = _kept(triples, "triples")
+    fail2 = _kept(triples.groupBy("a").agg(_rest("p", "low").alias("fail")), "fail2")
+    beyond = F.log10("p") - F.log10("low") - F.col("fail")
+    two = pairs.join(fail1, "a").select("k", "n", beyond.alias("e")).join(fail2.select(F.col("a").alias("k"), "fail"), "k", "left")
+    two = two.select("k", "n", (F.col("e") + F.coalesce("fail", F.lit(0.0))).alias("e"))
+    two = _kept(two, "two")
+    three = _kept(triples.join(fail2, "a").select("k", "n", beyond.alias("e")), "three")
+    least = max(LEAST, math.ceil(SHARE * total))
+    words = _kept(every.join(fail1.select(F.col("a").alias("k"), "fail"), "k", "left").select("k", "n", F.coalesce("fail", F.lit(0.0)).alias("fail")), "fails")
+    # the begin mark is a history only: it has a failure arc and no place at the root
+    root = F.when(F.col("k") == begin, 0.0).otherwise(F.log10(F.col("n") + 1.0) - F.lit(math.log10(bottom))).alias("root")
+    held = _hot(words.select("k", "n", root, "fail").where((F.col("n") >= _word_least(total)) | (F.col("k") == begin)), 0, "root", "fail")
+    hot = [_hot(x, least, "e") for x in (two, three)]
+    rest = two.where(F.col("n") < least).select("k", "e").unionAll(three.where(F.col("n") < least).select("k", "e"))
+    return total, types, Weights(buckets, held, hot, maps), words.where(F.col("k") != begin), rest
+
+
+def _word_least(total: int) -> int:
+    return max(2, math.ceil(WORD_SHARE * total))
+
+
+def _rare_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
+    """(k1, more): the weights, summed, of the n-grams of the texts that are not held in memory."""
+    buckets = cast.value.buckets
+
+    def occur(batches):
+        def rows(held):
+            keys, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = []
+            for b, (k, d) in _dealt(keys, buckets, [keys, at]):
+                ids, place = np.unique(d, return_inverse=True)
+                out.append((b, [k, ids, place.astype(np.uint32)]))
+            return _packed(out, ["keys", "ids", "place"])
+
+        held, size = [], 0
+        for batch in batches:
+            name = batch.column("k1").to_numpy()
+            for lo, hi, data, offs in blocks(batch.column("text")):
+                for (k, _, _, row), (top, _), may in zip(_grams(data, offs), cast.value.hot, cast.value.maps, strict=True):
+                    k, row = k[ok := may.has(k)], row[ok]
+                    k, row = k[ok := _lookup(top, k) < 0], row[ok]
+                    held.append((k, name[lo:hi][row]))
+                    size += len(k)
+                if size > _HELD:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
+
+    def pack(batches):
+        for batch in batches:
+            k, e = batch.column("k").to_numpy().view(U), batch.column("e").to_numpy()
+            if len(k):
+                yield _packed(list(_dealt(k, buckets, [k, e])), ["k", "e"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, e = _column(right, "k", U), _column(right, "e", np.float64)
+        order = np.argsort(k)
+        k, e = k[order], e[order]
+        names, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(left.num_rows):
+            keys, ids, place = (np.frombuffer(left.column(c)[i].as_py(), kind) for c, kind in (("keys", U), ("ids", np.int64), ("place", np.uint32)))
+            at = _lookup(k, keys)
+            more = np.bincount(place[at >= 0], e[at[at >= 0]], len(ids))
+            names.append(ids)
+            sums.append(more)
+        some, where = np.unique(np.concatenate(names), return_inverse=True)
+        more = np.bincount(where, np.concatenate(sums), len(some))
+        return pa.table({"k1": some[more != 0], "more": more[more != 0]})
+
+    dealt = docs.select("k1", "text").mapInArrow(occur, "bucket int, keys binary, ids binary, place binary")
+    weights = rest.mapInArrow(pack, "bucket int, k binary, e binary")
+    return dealt.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(score, "k1 bigint, more double")
+
+
 def language_scores(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text), learned from
     the rows where the column ``held_out`` is false.
@@ -232,38 +457,52 @@ def language_scores(docs: DataFrame, held_out) -> DataFrame:
     word is unknown and has the probability 1 of the one type there is.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out"))
-    model, counts = fit_automaton(docs.where(~F.col("held_out")))
-    cast = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see SHARE and WORD_SHARE
+    total, types, weights, counts, rest = fit_weights(docs.where(~F.col("held_out")))
+    cast = docs.sparkSession.sparkContext.broadcast(weights)  # bounded: see SHARE, WORD_SHARE and ALL_BITS
     keyed = docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, root, fail = cast.value.words
         for batch in batches:
             for lo, hi, data, offs in blocks(batch.column("text")):
-                n, known, base, log, rare, row = cast.value.score(data, offs)
-                both, times = np.unique(np.stack([row.astype(U), rare], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), U), np.zeros(0, np.int64))
+                token, row = _tokens(data, offs)
+                mark, at = token == U(BEGIN), _lookup(held, token)
+                known = at >= 0
+                per = lambda rows, w=None: np.bincount(rows, w, hi - lo)  # noqa: B023, E731
+                n, seen = per(row[~mark]), per(row[known & ~mark])
+                base, log = per(row[known], root[at[known]]), per(row[known], (root + fail)[at[known]])
+                for (k, _, _, where), (top, e) in zip(_grams(data, offs), cast.value.hot, strict=True):
+                    place = _lookup(top, k)
+                    log = log + per(where[place >= 0], e[place[place >= 0]])
+                rare, where = token[~known & ~mark], row[~known & ~mark]
+                both, times = np.unique(np.stack([where.astype(U), rare], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), U), np.zeros(0, np.int64))
                 cuts = pa.array(np.searchsorted(both[:, 0], np.arange(hi - lo + 1).astype(U)).astype(np.int32))
                 part = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out", "k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*part, pa.array(n), pa.array(known), pa.array(base), pa.array(log), pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))],
+                    [*part, *(pa.array(x, t) for x, t in ((n, pa.int64()), (seen, pa.int64()), (base, pa.float64()), (log, pa.float64()))), pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))],
                     ["doc_id", "held_out", "k1", "k2", "n_tokens", "known", "base", "log", "rare", "times"],
                 )
 
-    found = stored(
+    found = _kept(
         keyed.mapInArrow(run, "doc_id bigint, held_out boolean, k1 bigint, k2 bigint, n_tokens bigint, known bigint, base double, log double, rare array<bigint>, times array<bigint>"),
         "scored",
     )
     tokens = found.select("k1", "k2", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("k1", "k2", F.col("t.rare").alias("k"), F.col("t.times").alias("m"))
-    seen = counts.where(F.col("n") < max(2, math.ceil(WORD_SHARE * model.total)))
-    bottom = math.log10(model.total + model.types + 1)
+    seen = counts.where(F.col("n") < _word_least(total))
+    bottom = math.log10(total + types + 1)
     logs = F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(bottom))
-    sums = tokens.join(seen, "k", "left").groupBy("k1", "k2").agg(F.sum(logs).alias("more"), F.sum("m").alias("all"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("hit"))
+    fails = F.col("m") * F.coalesce("fail", F.lit(0.0))
+    sums = tokens.join(seen, "k", "left").groupBy("k1", "k2").agg(F.sum(logs).alias("more"), F.sum(fails).alias("fails"), F.sum("m").alias("all"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("hit"))
+    grams = _rare_sums(keyed, rest, cast).select("k1", "more", F.lit(0).alias("c")).unionAll(found.select("k1", F.lit(0.0), F.lit(1)))
+    grams = _kept(grams.groupBy("k1").agg((F.sum("more") / F.sum("c")).alias("grams")), "gram_sums")
     # of repeated rows, each has its share of the sums
-    out = found.drop("times").withColumn("own", F.col("n_tokens") - F.col("known")).drop("rare").join(sums, ["k1", "k2"], "left")
+    out = found.drop("times").withColumn("own", F.col("n_tokens") - F.col("known")).drop("rare").join(sums, ["k1", "k2"], "left").join(grams, "k1")
     share = F.when(F.col("own") > 0, F.col("own") / F.col("all")).otherwise(F.lit(0.0))
     more = F.coalesce(F.col("more") * share, F.lit(0.0))
+    fail = F.coalesce(F.col("fails") * share, F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.round(F.col("hit") * share), F.lit(0.0)).cast("bigint")).alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("log") + more).alias("score"),
+        F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("log") + more + fail + F.col("grams")).alias("score"),
     )
 
 

@@ -164,6 +164,23 @@ def test_language_model_matches_a_sequential_automaton(spark):
         assert abs(g.base_score - base) < 1e-6 and abs(g.score - score) < 1e-6
 
 
+def test_rare_pairs_and_triples_score_as_frequent_ones(spark, monkeypatch):
+    r = fx.rng()
+    rows = [(i, " ".join(r.choice("abcdefghij") + r.choice(["", "x"]) for _ in range(40))) for i in range(30)]
+    rows += [(100 + i, f"only{i // 2} twice{i // 2} here{i // 2} and there") for i in range(8)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    repeated = [*rows, rows[0], rows[0]]
+    want = brute_lm(repeated, held)
+    monkeypatch.setattr(lm, "SHARE", 0.01)  # as in a large corpus, where few n-grams have such a share
+    monkeypatch.setattr(lm, "WORD_SHARE", 0.05)
+    got = lm.language_model(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+    assert len(got) == len(repeated)
+    for g in got:
+        n, known, total, base, score = want[g.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, total)
+        assert abs(g.base_score - base) < 1e-6 and abs(g.score - score) < 1e-6
+
+
 def test_rare_words_come_from_the_count_table(spark, monkeypatch):
     rows = [(i, f"the same words here {i} and the rare{i % 9} the same") for i in range(40)] + [(3, "the same words here 3 and the rare3 the same")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
