@@ -63,3 +63,10 @@ def op6(spark, sf):
     from gridwright.llm.htmltext import main_text
 
     return main_text(table(spark, sf, "pages"))
+
+
+@query("op13_imatch_fingerprints")
+def op13(spark, sf):
+    from gridwright.llm.imatch import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf, "documents"))
