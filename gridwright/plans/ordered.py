@@ -154,16 +154,16 @@ def prefix_sums(
     segments: int | None = None,
     how: str = "sum",
 ) -> DataFrame:
-    """Running sums (or minima / maxima, `how`) in the given order without a one-task window.
+    """Running sums (or minima, maxima, exclusive-ors: `how`) in the given order without a one-task window.
 
     `sums` maps an output column to the expression to accumulate; `totals` optionally maps it to
     an output column with its group total. An exclusive minimum has no value on a group's first row.
     """
     groups = list(group_cols)
     totals = totals or {}
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    zero = (lambda c: F.coalesce(c, F.lit(0))) if how == "sum" else (lambda c: c)
-    merge = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how]
+    agg = {"sum": F.sum, "min": F.min, "max": F.max, "xor": F.bit_xor}[how]
+    zero = (lambda c: F.coalesce(c, F.lit(0))) if how in ("sum", "xor") else (lambda c: c)
+    merge = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "xor": lambda a, b: a.bitwiseXOR(b)}[how]
     work = df
     for name, expr in sums.items():
         work = work.withColumn(f"__v_{name}", expr)
