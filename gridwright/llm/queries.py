@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("query_text", "query_models", "query_vectors")
+MODULES = ("query_text", "query_models", "query_vectors", "query_conversations")
 
 
 def query(name: str, sql: str | None = None):
