@@ -5,8 +5,8 @@ from __future__ import annotations
 from gridwright.llm.queries import query, table
 
 _ROUND = "CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END"
-_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> ord(x)::BIGINT)),
-  (s, x) -> list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], (u, v) -> {_ROUND})), 4294967295)"""
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+  lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: {_ROUND})), 4294967295)"""
 
 OP11_SQL = f"""
 WITH rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
