@@ -5,7 +5,7 @@ frequency lies in a band: neither names and typing errors nor words that stand e
 of lexicon subsets are drawn by hashing: family r is nested, its subset of level l holds a term with probability 4**-l. Of
 each family a text takes the sparsest subset that still holds one of its terms and hashes its distinct terms in it. So each
 part of the fingerprint depends on few terms, whatever the length of the text: two texts agree in about as many parts as
-their terms overlap, and equal texts in all. The hash of a set of terms is the exclusive-or of their 64-bit hashes, which is
+their terms overlap, and equal texts in all. The hash of a set of terms is the exclusive-or of their hashes, which is
 the same for every order of the terms; the sort that the method names would cost more and tell no two sets apart that this
 does not.
 
@@ -26,11 +26,12 @@ from gridwright.llm.storage import stored
 #: Band of the document frequency as shares of the documents: idf from ln(50) to ln(500).
 LOW, HIGH = 1 / 500, 1 / 50
 REPLICATES, TOP_LEVEL = 16, 4
-_BITS = 3  # of a level in the packed number
+_LANE, _LANES = 16, 4  # a family's hash has 16 bits, four families share a number
+_WHOLE = 15  # instead of a level: hash of a whole text
 #: A text with more copies than this share of the documents counts as one document in the frequencies.
 HEAVY = LOW / 5
 #: Terms of a lexicon that is sent to every task; a larger one is met by a shuffle.
-BROADCAST_TERMS = 2_000_000
+BROADCAST_TERMS = 500_000
 BLOCK_ROWS, MOST_BLOCKS = 1000, 200_000
 _SEPARATOR = r"[^\p{L}\p{N}]+"
 _EVERY = 0  # stands in each text's list and in the lexicon: keeps texts without lexicon terms
@@ -42,14 +43,23 @@ def term_hashes(text: Column) -> Column:
     return F.array_remove(F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit(""))), F.lit(_EVERY))
 
 
-def _level(term: Column, r: int) -> Column:
-    """The sparsest subset of family r that holds the term: half the trailing zeros of a hash."""
-    h = F.xxhash64(term, F.lit(r))
-    return F.least(F.shiftright(F.bit_count(h.bitwiseAND(F.bitwise_not(h - F.lit(1))) - F.lit(1)), 1), F.lit(TOP_LEVEL)).cast("bigint")
+def _lane(number: Column, j: int) -> Column:
+    return F.shiftrightunsigned(number, _LANE * j).bitwiseAND(F.lit((1 << _LANE) - 1))
 
 
-def _at(levels: Column, r: int) -> Column:
-    return F.shiftright(levels, _BITS * r).bitwiseAND(F.lit((1 << _BITS) - 1))
+def _subsets(term: Column) -> list[Column]:
+    """x<level>_<k>: of the families 4k to 4k + 3 a hash of the term each, 0 where their subset of that level lacks it. It is in the
+    subset of level l if 2 l bits drawn for it are all 0."""
+    out = []
+    for k in range(REPLICATES // _LANES):
+        value, drawn = F.xxhash64(term, F.lit(1), F.lit(k)), F.xxhash64(term, F.lit(2), F.lit(k))
+        for level in range(TOP_LEVEL + 1):
+            kept = F.lit(0).cast("bigint")
+            for j in range(_LANES):
+                inside = _lane(drawn, j).bitwiseAND(F.lit((1 << 2 * level) - 1)) == 0
+                kept = kept.bitwiseOR(F.when(inside, F.shiftleft(_lane(value, j), _LANE * j)).otherwise(F.lit(0).cast("bigint")))
+            out.append(kept.alias(f"x{level}_{k}"))
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def fit_lexicon(rows: DataFrame, keys: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, levels) of the band. ``rows``: (o, d, h, text); ``keys``: (o, d, h), the same rows. The frequencies are over all
+    """(term, x<level>_<k> ...) of the band. ``rows``: (o, d, h, text); ``keys``: (o, d, h), the same rows. The frequencies are over all
     documents; of a text with very many copies the one with the least id counts."""
     total = keys.count()
     copies = keys.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("o", "d")).alias("first"))
@@ -68,11 +78,9 @@ def fit_lexicon(rows: DataFrame, keys: DataFrame, low: float = LOW, high: float
     met = rows.join(F.broadcast(heavy.select("h", "first")), "h", "left").where(F.col("first").isNull() | (F.struct("o", "d") == F.col("first")))
     frequency = met.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     band = frequency.where((F.col("n") >= low * counted) & (F.col("n") <= max(high * counted, 1.0))).select("term")
-    levels = F.lit(0).cast("bigint")
-    for r in range(REPLICATES):
-        levels = levels.bitwiseOR(F.shiftleft(_level(F.col("term"), r), _BITS * r))
-    every = rows.sparkSession.range(1).select(F.lit(_EVERY).cast("bigint").alias("term"), F.lit(0).cast("bigint").alias("levels"))
-    return stored(band.select("term", levels.alias("levels")).unionAll(every), "lexicon")
+    drawn = band.select("term", *_subsets(F.col("term")))
+    every = rows.sparkSession.range(1).select(*[F.lit(_EVERY).cast("bigint").alias(c) for c in drawn.columns])
+    return stored(drawn.unionAll(every), "lexicon")
 
 
 def _met(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def _met(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _text(parts: Column) -> Column:
-    return F.concat_ws("", F.transform(parts, lambda p: F.lpad(F.lower(F.hex(p)), 8, "0")))
+    return F.concat_ws("", F.transform(parts, lambda p: F.lpad(F.lower(F.hex(p)), 5, "0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,13 +103,13 @@ def _fingerprinted(rows: DataFrame, keys: list[str], lexicon: DataFrame) -> Data
     # Computed before the explode, else once a term.
     listed = rows.select(*keys, F.xxhash64(F.lower("text")).alias("whole"), F.array_append(term_hashes(F.col("text")), F.lit(_EVERY).cast("bigint")).alias("terms"))
     each = listed.select(*keys, "whole", F.explode("terms").alias("term"))
-    # ``_EVERY`` is 0 and so changes no exclusive-or.
-    sets = [F.bit_xor(F.when(_at(F.col("levels"), r) >= level, F.col("term"))).alias(f"x{r}_{level}") for r in range(REPLICATES) for level in range(TOP_LEVEL + 1)]
-    got = _met(each, lexicon).groupBy(*keys, "whole").agg(*sets)
+    # ``_EVERY`` has 0 in all subsets and so changes no exclusive-or.
+    got = _met(each, lexicon).groupBy(*keys, "whole").agg(*[F.bit_xor(c).alias(c) for c in lexicon.columns if c != "term"])
     parts = []
     for r in range(REPLICATES):
-        found = [F.when(F.col(f"x{r}_{level}") != 0, F.xxhash64(F.lit(level), F.col(f"x{r}_{level}"))) for level in reversed(range(TOP_LEVEL + 1))]
-        parts.append(F.coalesce(*found, F.xxhash64(F.lit(r), F.col("whole"))).bitwiseAND(F.lit(0xFFFFFFFF)))
+        k, j = divmod(r, _LANES)
+        found = [F.when(_lane(F.col(f"x{level}_{k}"), j) != 0, _lane(F.col(f"x{level}_{k}"), j) + (level << _LANE)) for level in reversed(range(TOP_LEVEL + 1))]
+        parts.append(F.coalesce(*found, _lane(F.xxhash64(F.lit(r), F.col("whole")), 0) + (_WHOLE << _LANE)).cast("int"))
     return got.select(*keys, F.array(*parts).alias("parts"))
 
 

@@ -28,25 +28,22 @@ def terms(value):
     return {h64(t) for t in re.split(r"[\W_]+", value.lower()) if t}
 
 
-def level(term, r):
-    h = h64(Int(r), h64(term)) & ((1 << 64) - 1)
-    zeros = (h & -h).bit_length() - 1 if h else 64
-    return min(zeros // 2, imatch.TOP_LEVEL)
+def drawn(term, salt, r):
+    """16 bits for a term and a family."""
+    return (h64(Int(r // 4), h64(Int(salt), h64(term))) >> 16 * (r % 4)) & 0xFFFF
 
 
 def brute_parts(value, lexicon):
     kept, parts = terms(value) & lexicon, []
     for r in range(imatch.REPLICATES):
-        top = max((level(t, r) for t in kept), default=None)
-        if top is None:
-            part = h64(h64(value.lower()), h64(Int(r)))
-        else:
+        part = (15 << 16) + (h64(h64(value.lower()), h64(Int(r))) & 0xFFFF)
+        for level in range(imatch.TOP_LEVEL + 1):
             x = 0
             for t in kept:
-                if level(t, r) >= top:
-                    x ^= t
-            part = h64(x, h64(Int(top)))
-        parts.append(part & 0xFFFFFFFF)
+                if drawn(t, 2, r) % 4**level == 0:
+                    x ^= drawn(t, 1, r)
+            part = (level << 16) + x if x else part
+        parts.append(part)
     return parts
 
 
@@ -67,7 +64,7 @@ def brute(rows):
         edited = t[: len(t) - k] + after[:k]
         a, b, c = (brute_parts(x, lexicon) for x in (t, edited, after))
         same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / imatch.REPLICATES
-        out.append((d if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:08x}" for x in a), "".join(f"{x:08x}" for x in b), same(a, b), same(a, c)))
+        out.append((d if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:05x}" for x in a), "".join(f"{x:05x}" for x in b), same(a, b), same(a, c)))
     return out
 
 
@@ -120,7 +117,7 @@ def test_likeness_follows_the_overlap(spark):
     near = [" ".join(["changed", *t.split()[1:]]) for t in texts[:50]]
     rows = [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(near)), *((2000 + i, texts[7]) for i in range(300))]
     prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    parts = lambda d: [prints[d][i : i + 8] for i in range(0, len(prints[d]), 8)]
+    parts = lambda d: [prints[d][i : i + 5] for i in range(0, len(prints[d]), 5)]
     same = lambda a, b: sum(x == y for x, y in zip(parts(a), parts(b), strict=True)) / imatch.REPLICATES
     assert sum(same(i, 1000 + i) for i in range(50)) / 50 > 0.9
     assert sum(same(i, i + 1) for i in range(50)) / 50 < 0.1
