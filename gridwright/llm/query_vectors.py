@@ -22,3 +22,10 @@ def op4(spark, sf):
 
     rows = table(spark, sf, "embeddings").where(usable("embedding")).select(F.col("vec_id").alias("id"), whole("embedding").alias("v"))
     return top_k(rows, rows.where(F.col("id") % 20 == 0))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf):
+    from gridwright.llm.whitening import whiten
+
+    return whiten(table(spark, sf, "embeddings"))
