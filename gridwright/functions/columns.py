@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +66,12 @@ def dtype_family(dtype: T.DataType) -> str:
     return "other"
 
 
+def number_array(values: Sequence[float]) -> Column:
+    """Sorted or unsorted numbers as one array literal; one call, however many there are."""
+    text = (f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)!r}')" for v in values)
+    return F.expr(f"array({', '.join(text)})")
+
+
 def literal_map(mapping: dict) -> Column:
     """A small driver-side dict as a map literal."""
     cells = []

@@ -18,9 +18,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _each(a: Column, whole, cell) -> Column:
+    """``cell(x, w)`` of every entry x, with w = ``whole(a)``. What a lambda takes from outside is computed for every entry, so the
+    array and w are bound first and computed once."""
+    bound = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), whole(v).alias("w")))
+    return F.flatten(F.transform(bound, lambda s: F.transform(s["v"], lambda x: cell(x, s["w"]))))
+
+
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return _each(a, lambda v: F.greatest(norm(v), F.lit(eps)), lambda x, n: x.cast("double") / n)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,9 +45,8 @@ def softplus(x: Column) -> Column:
 
 
 def softmax(a: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) / F.lit(temperature)))
-    return F.transform(e, lambda x: x / fold_sum(e))
+    e = _each(a, F.array_max, lambda x, top: F.exp((x - top) / F.lit(temperature)))
+    return _each(e, fold_sum, lambda x, total: x / total)
 
 
 def argmax(a: Column) -> Column:

@@ -7,7 +7,6 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from gridwright.operators import encode, impute, outlier, scale, schema
 from gridwright.operators.profile import column_rows, missing_count
 from gridwright.operators.types import general_types, normalizer_types, type_facts
 from gridwright.plans.quantiles import fit_quantiles
+from gridwright.plans.storage import written
 
 
 @dataclass(frozen=True)
@@ -83,34 +83,30 @@ def fit_prepare(
     cols = [c for c in (feature_cols or scalar_columns(df)) if c not in key_cols]
     base = df
     if config.drop_duplicates:
-        # the fit reads this table several times; the de-duplication shuffle runs once
-        base = df.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        facts = {r["column"]: r for r in general_types(type_facts(base, cols)).collect()}  # one row per column
-        types = {c: facts[c]["semantic_type"] for c in cols if c in facts}
-        constant = [c for c in types if facts[c]["n_unique"] <= 1] if config.drop_constant else []
-        live = [c for c in types if c not in constant]
-        texts = set(string_columns(df))
-        nums = [c for c in live if types[c] == "numerical"]
-        words = [c for c in live if types[c] in ("categorical", "boolean") and c in texts]
-        flags = [c for c in live if types[c] == "boolean" and c not in texts]
-        fill: dict[str, object] = {}
-        bounds: dict[str, tuple] = {}
-        if nums and config.numeric_fill == "median" and config.outlier_method == "iqr":
-            q = fit_quantiles(base, nums, [0.25, 0.5, 0.75])
-            fill = {c: v[1] for c, v in q.items()}
-            bounds = {c: (a - 1.5 * (d - a), d + 1.5 * (d - a)) for c, (a, _, d) in q.items() if a is not None}
-        elif nums:
-            fill = impute.fit_fill(base, {c: config.numeric_fill for c in nums})
-            bounds = outlier.fit_bounds(base, nums, config.outlier_method)
-        fill |= impute.fit_fill(base, {c: config.categorical_fill for c in words} | {c: "mode" for c in flags})
-        if not config.remove_outliers:
-            bounds = {}
-        bounds = {c: b for c, b in bounds.items() if b[0] is not None}
-        scaler = scale.fit_scaler(base, nums, config.scaling, config.null_as_zero) if config.scaling else {}
-    finally:
-        if base is not df:
-            base.unpersist()
+        # the fit reads these columns several times; the de-duplication shuffle runs once, into the shared folder
+        base = written(df.dropDuplicates().select(*cols), "distinct")
+    facts = {r["column"]: r for r in general_types(type_facts(base, cols)).collect()}  # one row per column
+    types = {c: facts[c]["semantic_type"] for c in cols if c in facts}
+    constant = [c for c in types if facts[c]["n_unique"] <= 1] if config.drop_constant else []
+    live = [c for c in types if c not in constant]
+    texts = set(string_columns(df))
+    nums = [c for c in live if types[c] == "numerical"]
+    words = [c for c in live if types[c] in ("categorical", "boolean") and c in texts]
+    flags = [c for c in live if types[c] == "boolean" and c not in texts]
+    fill: dict[str, object] = {}
+    bounds: dict[str, tuple] = {}
+    if nums and config.numeric_fill == "median" and config.outlier_method == "iqr":
+        q = fit_quantiles(base, nums, [0.25, 0.5, 0.75])
+        fill = {c: v[1] for c, v in q.items()}
+        bounds = {c: (a - 1.5 * (d - a), d + 1.5 * (d - a)) for c, (a, _, d) in q.items() if a is not None}
+    elif nums:
+        fill = impute.fit_fill(base, {c: config.numeric_fill for c in nums})
+        bounds = outlier.fit_bounds(base, nums, config.outlier_method)
+    fill |= impute.fit_fill(base, {c: config.categorical_fill for c in words} | {c: "mode" for c in flags})
+    if not config.remove_outliers:
+        bounds = {}
+    bounds = {c: b for c, b in bounds.items() if b[0] is not None}
+    scaler = scale.fit_scaler(base, nums, config.scaling, config.null_as_zero) if config.scaling else {}
     return Prepared(config, types, constant, fill, bounds, scaler, list(key_cols))
 
 

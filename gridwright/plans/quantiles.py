@@ -1,18 +1,28 @@
-"""Exact quantiles (linear interpolation) that do not depend on one task holding every value."""
+"""Exact quantiles (linear interpolation) in two scans of the table, for any number of columns and probabilities.
+
+The first scan keeps a mergeable KLL sketch per column, from which every wanted rank gets a bracket of values. The second counts
+the rows between the brackets and keeps, by distinct value, those inside: a few hundredths of the table. A rank is then looked up
+in its bracket; brackets with many values are cut further by sketches of their own values first.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import as_number
-from gridwright.plans.ordered import SEG, prefix_sums, segmented
+from gridwright.functions.bisect import passed_in
+from gridwright.functions.columns import as_number, number_array
+from gridwright.plans.ordered import prefix_sums
+from gridwright.plans.storage import written
 
 MAX_DISTINCT = 1_000_000
-MAX_HISTOGRAM_WORK = 5_000_000  # distinct values x probabilities
+#: Share of the rows that all brackets of a column may hold, and numbers the sketches of all columns hold in a task.
+INSIDE, SKETCH_NUMBERS = 0.05, 1 << 22
+#: Values the driver looks through at most, and pieces that a larger bracket is cut into.
+COLLECTED, CUTS = 500_000, 512
 
 
 def grouped_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str, n: str, probs: Sequence[float]) -> DataFrame:
@@ -32,60 +42,131 @@ def grouped_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str,
     return picked.select(*groups, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
 
 
-def quantiles_by_rank(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Count distinct values, cut them into range segments, and look for each wanted rank only in the
-    segment that holds it. The driver sees one row per (column, segment) and at most two values per
-    probability and column."""
-    counts = (
-        df.select(*[as_number(df, c).alias(c) for c in cols])
-        .unpivot([], list(cols), "column", "v")
-        .where(F.col("v").isNotNull())
-        .groupBy("column", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    seg = segmented(counts, ["column"], ["v"])
-    sizes = seg.groupBy("column", SEG).agg(F.sum("n").alias("n")).orderBy("column", SEG).collect()
-    totals: dict[str, int] = {}
-    starts: list[tuple[str, int, int, int]] = []
-    for r in sizes:
-        at = totals.get(r["column"], 0)
-        starts.append((r["column"], r[SEG], at, at + r["n"]))
-        totals[r["column"]] = at + r["n"]
-    places = {c: [p * (totals[c] - 1) for p in probs] for c in cols if c in totals}
-    out: dict[str, list[float]] = {c: [None] * len(probs) for c in cols}
-    if not places:
-        return out
-    ranks = {c: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))}) for c, hs in places.items()}
-    wanted = [(c, s, lo, [r for r in ranks[c] if lo <= r < hi]) for c, s, lo, hi in starts]
-    side = df.sparkSession.createDataFrame(
-        [w for w in wanted if w[3]], "c string, s int, lo long, ranks array<long>"
-    )
-    local = Window.partitionBy("column", SEG).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    near = seg.join(side, (F.col("column") == F.col("c")) & (F.col(SEG) == F.col("s")))
-    near = near.withColumn("hi", F.col("lo") + F.sum("n").over(local))
-    held = F.filter("ranks", lambda r: (r < F.col("hi")) & (r >= F.col("hi") - F.col("n")))
-    hits = near.select("column", "v", F.explode(held).alias("rank")).collect()
-    found = {(r["column"], r["rank"]): r["v"] for r in hits}
-    for c, hs in places.items():
-        for i, h in enumerate(hs):
-            a, b = found[c, math.floor(h)], found[c, math.ceil(h)]
-            out[c][i] = a + (b - a) * (h - math.floor(h))
+def _sketch_size(n_probs: int, n_cols: int) -> tuple[int, float]:
+    """k of the sketches and the error of a rank, as a share of the rows, that they exceed once in a hundred times."""
+    wanted = INSIDE / (4 * n_probs)
+    k = int(min((2.296 / wanted) ** (1 / 0.9021), 65535, max(200, SKETCH_NUMBERS // (3 * n_cols))))
+    return max(k, 200), 2.296 / max(k, 200) ** 0.9021
+
+
+def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], wide: float) -> dict[str, tuple[int, list[tuple[float, float]]]]:
+    """Column -> rows with a value, disjoint closed intervals of values that hold the wanted ranks, most likely. One scan."""
+    k, error = _sketch_size(len(probs), len(cols))
+    numbers = df.select(*[as_number(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    aggs = []
+    for i in range(len(cols)):
+        x = F.col(f"x{i}")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.kll_sketch_agg_double(x, k).alias(f"s{i}")]
+    slack = 1.5 * wide * error
+    ranks = number_array([min(max(p + sign * slack, 0.0), 1.0) for p in probs for sign in (-1, 1)])
+    ends = [F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), ranks)).alias(f"q{i}") for i in range(len(cols))]
+    row = numbers.agg(*aggs).select(*[f"{v}{i}" for i in range(len(cols)) for v in "nab"], *ends).first()
+    out = {}
+    for i, c in enumerate(cols):
+        n, spans = row[f"n{i}"], []
+        if n and 4 / n > slack:  # few rows: all of them
+            spans = [(row[f"a{i}"], row[f"b{i}"])]
+        elif n:
+            for j, p in enumerate(probs):
+                spans.append((row[f"a{i}"] if p <= slack else row[f"q{i}"][2 * j], row[f"b{i}"] if p >= 1 - slack else row[f"q{i}"][2 * j + 1]))
+        merged: list[tuple[float, float]] = []
+        for lo, hi in sorted(spans):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+            else:
+                merged.append((lo, hi))
+        out[c] = (n, merged)
+    return out
+
+
+def _held(df: DataFrame, brackets: dict[str, tuple[int, list[tuple[float, float]]]]) -> DataFrame:
+    """(c, cell, v, n): row counts of column number c. Cell 2 i + 1 is bracket i, by value; cell 2 i lies below it, without values."""
+    cells = []
+    for i, (c, (n, spans)) in enumerate(brackets.items()):
+        if n:
+            x = as_number(df, c).cast("double")
+            at = passed_in(x, number_array([lo for lo, _ in spans]), len(spans))
+            inside = x <= F.get(number_array([hi for _, hi in spans]), at - 1)
+            cell = F.when(F.coalesce(inside, F.lit(False)), 2 * at - 1).otherwise(2 * at)
+            cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), cell.alias("cell"), x.alias("x"))))
+    rows = df.select(F.explode(F.array(*cells)).alias("e")).where("e is not null").select("e.c", "e.cell", F.when(F.col("e.cell") % 2 == 1, F.col("e.x")).alias("v"))
+    return written(rows.groupBy("c", "cell", "v").agg(F.count("*").alias("n")), "brackets")
+
+
+def _picked(held: DataFrame, wanted: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], float]:
+    """(c, cell, rank in the cell) -> value. Cells that hold too many values together are cut first."""
+    spark, offsets = held.sparkSession, {key: 0 for key in wanted}
+    names = {key: key for key in wanted}  # present (c, cell) -> the one asked for
+    ranks = {key: sorted(set(r)) for key, r in wanted.items()}
+    while True:
+        held = held.join(F.broadcast(spark.createDataFrame(list(ranks), "c int, cell int")), ["c", "cell"])  # two cells a probability and column
+        if held.count() <= COLLECTED:
+            break
+        points = number_array([(i + 1) / CUTS for i in range(CUTS - 1)])
+        cuts = held.groupBy("c", "cell").agg(F.kll_sketch_agg_double("v", 4096).alias("s")).select("c", "cell", F.array_sort(F.kll_sketch_get_quantile_double("s", points)).alias("cuts"))
+        held = written(held.join(F.broadcast(cuts), ["c", "cell"]).select("c", F.col("cell").alias("was"), passed_in(F.col("v"), F.col("cuts"), CUTS).alias("sub"), "v", "n"), "cuts")
+        sizes = held.groupBy("c", "was", "sub").agg(F.sum("n").alias("n")).orderBy("c", "was", "sub").collect()  # CUTS a cell
+        below: dict[tuple[int, int], int] = {}
+        more: dict[tuple[int, int], list[int]] = {}
+        moved, starts = {}, {}
+        for r in sizes:
+            key = (r["c"], r["was"])
+            lo = below.get(key, 0)
+            below[key] = lo + r["n"]
+            here = [x for x in ranks[key] if lo <= x < lo + r["n"]]
+            if here:
+                new = (r["c"], r["was"] * CUTS + r["sub"])
+                more[new], moved[new], starts[new] = [x - lo for x in here], names[key], offsets[key] + lo
+        ranks, names, offsets = more, moved, starts
+        held = held.select("c", (F.col("was") * CUTS + F.col("sub")).cast("int").alias("cell"), "v", "n")
+    out, below = {}, {}
+    for r in held.orderBy("c", "cell", "v").collect():
+        key = (r["c"], r["cell"])
+        lo = below.get(key, 0)
+        below[key] = lo + r["n"]
+        for x in ranks[key]:
+            if lo <= x < lo + r["n"]:
+                out[(*names[key], offsets[key] + x)] = r["v"]
     return out
 
 
-def fit_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    approx: bool = False,
-    max_distinct: int = MAX_DISTINCT,
-) -> dict[str, list[float]]:
-    """Quantiles per column on the driver (columns x probabilities numbers).
+def bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], wide: float = 1.5) -> dict[str, list[float]]:
+    """Exact quantiles: two scans; a rank outside its bracket, which is rare, has its column done again with wider ones."""
+    found = _brackets(df, cols, probs, wide)
+    out: dict[str, list[float]] = {c: [None] * len(probs) for c in cols}
+    live = [c for c in cols if found[c][0]]
+    if not live:
+        return out
+    held = _held(df, {c: found[c] for c in live})
+    places = {c: [p * (found[c][0] - 1) for p in probs] for c in live}
+    sizes = held.groupBy("c", "cell").agg(F.sum("n").alias("n")).orderBy("c", "cell").collect()
+    wanted: dict[tuple[int, int], list[int]] = {}
+    where: dict[tuple[str, int], tuple[int, int, int]] = {}
+    missed = set()
+    for i, c in enumerate(live):
+        spans, at = [], 0
+        for r in sizes:
+            if r["c"] == i:
+                spans.append((at, at + r["n"], r["cell"]))
+                at += r["n"]
+        for rank in {r for h in places[c] for r in (math.floor(h), math.ceil(h))}:
+            lo, _, cell = next(s for s in spans if s[0] <= rank < s[1])
+            if cell % 2 == 0:
+                missed.add(c)
+            else:
+                wanted.setdefault((i, cell), []).append(rank - lo)
+                where[c, rank] = (i, cell, rank - lo)
+    values = _picked(held, wanted) if wanted else {}
+    for c in live:
+        if c not in missed:
+            for j, h in enumerate(places[c]):
+                a, b = values[where[c, math.floor(h)]], values[where[c, math.ceil(h)]]
+                out[c][j] = a + (b - a) * (h - math.floor(h))
+    return out | (bracketed_quantiles(df, sorted(missed), probs, 4 * wide) if missed else {})
 
-    Spark's `percentile` keeps a histogram of distinct values in one task; it is used only when the
-    sketch count of distinct values is below `max_distinct` (and few probabilities are asked of many
-    values), else the rank-based plan.
-    """
+
+def fit_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False) -> dict[str, list[float]]:
+    """Quantiles per column on the driver (columns x probabilities numbers)."""
     cols = list(cols)
     if not cols:
         return {}
@@ -94,18 +175,7 @@ def fit_quantiles(
             *[F.percentile_approx(as_number(df, c), list(probs), 100_000).alias(c) for c in cols]
         ).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    sizes = df.agg(*[F.approx_count_distinct(as_number(df, c)).alias(c) for c in cols]).first()
-    limit = min(max_distinct, MAX_HISTOGRAM_WORK // max(len(probs), 1))
-    small = [c for c in cols if sizes[c] <= limit]
-    large = [c for c in cols if sizes[c] > limit]
-    out: dict[str, list[float]] = {}
-    if small:
-        p = F.array(*[F.lit(float(x)) for x in probs])
-        row = df.agg(*[F.percentile(as_number(df, c), p).alias(c) for c in small]).first()
-        out = {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small}
-    if large:
-        out |= quantiles_by_rank(df, large, probs)
-    return out
+    return bracketed_quantiles(df, cols, probs)
 
 
 def fit_median(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float]:

@@ -79,11 +79,38 @@ def test_early_stops(hot):
     assert rows(small, "g", "stop_at", "best_at", "best") == rows(big, "g", "stop_at", "best_at", "best")
 
 
-def test_quantiles_by_rank(hot):
+def test_quantiles_from_brackets(hot, monkeypatch):
+    """The driver may look at few values: brackets are cut by their own sketches first."""
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    ranked, built_in = quantiles.quantiles_by_rank(hot, ["v", "t"], probs), quantiles.fit_quantiles(hot, ["v", "t"], probs)
-    for c in ("v", "t"):
-        assert ranked[c] == pytest.approx(built_in[c])
+    plain = hot.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c) for c in ("v", "t")]).first()
+    for collected in (quantiles.COLLECTED, 40):
+        monkeypatch.setattr(quantiles, "COLLECTED", collected)
+        found = quantiles.fit_quantiles(hot, ["v", "t"], probs)
+        for c in ("v", "t"):
+            assert found[c] == pytest.approx(plain[c], rel=1e-12)
+
+
+def test_quantiles_of_ten_million_values(spark):
+    """Two scans; the brackets hold a few hundredths of the values."""
+    n, probs = 10_000_000, [i / 100 for i in range(101)]
+    df = spark.range(0, n, 1, 8).select((F.col("id") * 7_368_787 % n).cast("double").alias("x"))  # a permutation
+    spans = quantiles._brackets(df, ["x"], probs, 1.5)["x"][1]
+    assert sum(hi - lo for lo, hi in spans) < 0.1 * n
+    assert quantiles.fit_quantiles(df, ["x"], probs)["x"] == pytest.approx([p * (n - 1) for p in probs], rel=1e-12)
+
+
+def test_missed_brackets_are_widened(spark, monkeypatch):
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    real, calls = quantiles._brackets, []
+
+    def narrow(df, cols, probs, wide):
+        calls.append(wide)
+        out = real(df, cols, probs, wide)
+        return {c: (n, [(hi, hi) for _, hi in spans]) for c, (n, spans) in out.items()} if len(calls) == 1 else out
+
+    monkeypatch.setattr(quantiles, "_brackets", narrow)
+    want = df.agg(F.percentile("x", F.lit(0.5))).first()[0]
+    assert quantiles.fit_quantiles(df, ["x"], [0.5])["x"] == [want] and len(calls) == 2
 
 
 def test_splits_do_not_depend_on_partitioning(hot):
