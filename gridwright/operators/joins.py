@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.plans.blocks import block_pairs, packed
 from gridwright.plans.ordered import prefix_sums
 
 
@@ -51,17 +52,12 @@ def align_distributions(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def domain_pairs(results: DataFrame, domain: str, limit: int = 10_000) -> DataFrame:
-    """Every ordered pair of two different domains. Only the distinct names are paired, and their
-    number is checked first."""
-    names = [r[0] for r in results.select(domain).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} domains")
-    targets = F.array(*[F.lit(n) for n in sorted(names)])
-    return (
-        results.select(F.col(domain).alias("source")).distinct()
-        .withColumn("target", F.explode(targets)).where(F.col("source") != F.col("target"))
-    )
+def domain_pairs(results: DataFrame, domain: str) -> DataFrame:
+    """Every ordered pair of two different domains; only the distinct names are paired, block by block."""
+    names = results.select(F.col(domain).alias("name")).where(F.col(domain).isNotNull()).distinct()
+    blocks, n = packed(names, "name", ["name"])
+    pairs = block_pairs(blocks, blocks, n).select(F.explode("a.name").alias("source"), "b")
+    return pairs.select("source", F.explode("b.name").alias("target")).where(F.col("source") != F.col("target"))
 
 
 def comparable_counts(df: DataFrame, key: str, time: str, event: str) -> DataFrame:

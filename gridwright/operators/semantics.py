@@ -3,17 +3,19 @@ through the profile aggregates; what follows has one row per column."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.bisect import edges_passed
 from gridwright.functions.columns import as_number, numeric_columns, present, scalar_columns
-from gridwright.functions.vectors import cosine
 from gridwright.operators import profile
 from gridwright.operators.encode import uniform_edges
 from gridwright.operators.types import parse_any, tokenizer_types, type_facts
+from gridwright.plans.blocks import block_pairs, packed
 
 # Domain words, in the order in which ties are broken.
 DOMAINS = {
@@ -231,33 +233,81 @@ def column_blocks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return with_domain(joined).withColumn("patterns", F.array(*[low.rlike(p).cast("int") for p in NAME_PATTERNS.values()]))
 
 
-def similarities(blocks: DataFrame, other: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
-    """Similarity of column pairs: cosines of the blocks, of all blocks together, and the combined
-    score 0.6 overall + 0.3 same domain + 0.1 pattern agreement. Metadata sized: the partner list
-    has one entry per column and its size is checked."""
-    right = other if other is not None else blocks
-    names = right.columns
-    n = right.count()
-    if n > limit:
-        raise ValueError(f"{n} columns on one side")
-    partners = right.agg(F.collect_list(F.struct(*names)).alias("__all")).withColumn("__k", F.lit(1))
-    pairs = blocks.withColumn("__k", F.lit(1)).join(partners, "__k").withColumn("o", F.explode("__all")).drop("__all", "__k")
-    pairs = pairs.where(F.col("column") != F.col("o.column"))
-    whole = lambda p: F.concat(*[F.col(f"{p}{b}") for b in ("name_block", "stats_block", "type_block", "dist_block")])
-    same = (F.col("domain") == F.col("o.domain")).cast("double")
-    agree = F.aggregate(
-        F.zip_with("patterns", "o.patterns", lambda a, b: (a == b).cast("double")), F.lit(0.0), lambda s, x: s + x
-    ) / len(NAME_PATTERNS)
-    overall = cosine(whole(""), whole("o."))
-    return pairs.select(
-        F.col("column").alias("column_a"), F.col("o.column").alias("column_b"),
-        cosine(F.col("name_block"), F.col("o.name_block")).alias("name_similarity"),
-        cosine(F.col("stats_block"), F.col("o.stats_block")).alias("statistical_similarity"),
-        cosine(F.col("type_block"), F.col("o.type_block")).alias("type_similarity"),
-        cosine(F.col("dist_block"), F.col("o.dist_block")).alias("distribution_similarity"),
-        overall.alias("overall_similarity"), same.alias("domain_similarity"), agree.alias("pattern_similarity"),
-        (0.6 * overall + 0.3 * same + 0.1 * agree).alias("combined_similarity"),
-    )
+_VECTORS = ("name_block", "stats_block", "type_block", "dist_block")
+_SCORES = ("name_similarity", "statistical_similarity", "type_similarity", "distribution_similarity", "overall_similarity", "domain_similarity", "pattern_similarity", "combined_similarity")
+
+
+def _side(items: pa.Array) -> dict[str, np.ndarray]:
+    """The columns of a block as arrays."""
+    get = lambda c: items.field(items.type.get_field_index(c))
+    wide = lambda c: get(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(items), -1)
+    return {"column": get("column").to_numpy(zero_copy_only=False), "domain": get("domain").to_numpy(zero_copy_only=False)} | {c: wide(c) for c in (*_VECTORS, "patterns")}
+
+
+def _cosines(dots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
+    return np.clip(np.divide(dots, size, out=np.zeros_like(dots), where=size > 0), -1.0, 1.0)
+
+
+def _compared(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """All scores of two blocks, as matrices in the order of ``_SCORES``: cosines of the parts, of all parts together, same domain,
+    share of equal patterns, and 0.6 overall + 0.3 domain + 0.1 patterns."""
+    dots, left, right = ([f(c) for c in _VECTORS] for f in (lambda c: a[c] @ b[c].T, lambda c: (a[c] ** 2).sum(axis=1), lambda c: (b[c] ** 2).sum(axis=1)))
+    scores = [_cosines(d, x, y) for d, x, y in zip(dots, left, right, strict=True)]
+    overall = _cosines(sum(dots), sum(left), sum(right))
+    same = (a["domain"][:, None] == b["domain"][None, :]).astype(float)
+    p, q = a["patterns"], b["patterns"]  # 0 or 1
+    agree = (p @ q.T + (1 - p) @ (1 - q).T) / p.shape[1]
+    return [*scores, overall, same, agree, 0.6 * overall + 0.3 * same + 0.1 * agree]
+
+
+def _all_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b = _side(batch.column("a")[i].values), _side(batch.column("b")[i].values)
+            for at in range(0, len(a["column"]), 64):
+                part = {k: v[at : at + 64] for k, v in a.items()}
+                row, col = np.nonzero(part["column"][:, None] != b["column"][None, :])
+                cells = [pa.array(m[row, col]) for m in _compared(part, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(part["column"][row], pa.string()), pa.array(b["column"][col], pa.string()), *cells], ["column_a", "column_b", *_SCORES])
+
+
+def _best_scores(k: int, score: str):
+    """Of each left column the k best of a right block: by score (12 digits), then name."""
+    at = _SCORES.index(score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _side(batch.column("a")[i].values), _side(batch.column("b")[i].values)
+                scores = np.where(a["column"][:, None] == b["column"][None, :], -np.inf, np.round(_compared(a, b)[at], 12))
+                names = np.argsort(b["column"], kind="stable")
+                order = names[np.argsort(-scores[:, names], axis=1, kind="stable")[:, :k]]
+                best = np.take_along_axis(scores, order, axis=1)
+                row, col = np.nonzero(best > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(a["column"][row], pa.string()), pa.array(b["column"][order[row, col]], pa.string()), pa.array(best[row, col])], ["column_a", "column_b", score])
+
+    return run
+
+
+def _met(blocks: DataFrame, other: DataFrame | None) -> DataFrame:
+    cols = ["column", "domain", "patterns", *_VECTORS]
+    left, n = packed(blocks, "column", cols)
+    right, m = (left, n) if other is None else packed(other, "column", cols)
+    return block_pairs(left, right, m)
+
+
+def similarities(blocks: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Similarity of all pairs of differently named columns: cosines of the blocks, of all blocks together, and the combined
+    score 0.6 overall + 0.3 same domain + 0.1 pattern agreement."""
+    return _met(blocks, other).mapInArrow(_all_scores, ", ".join(["column_a string", "column_b string", *[f"{c} double" for c in _SCORES]]))
+
+
+def most_similar(blocks: DataFrame, k: int, other: DataFrame | None = None, score: str = "overall_similarity") -> DataFrame:
+    """column_a, rank, column_b and the score of each column's k best partners, ties by name. Each pair of blocks gives at most k
+    partners a column, and a task keeps k of those before they are shuffled: all pairs are never there at once."""
+    best = _met(blocks, other).mapInArrow(_best_scores(k, score), f"column_a string, column_b string, {score} double")
+    return top_similar(best, k, score)
 
 
 def top_similar(pairs: DataFrame, k: int, score: str = "overall_similarity") -> DataFrame:

@@ -222,4 +222,4 @@ def sem9(spark, sf):
     FROM (SELECT column_a, column_b, 0.6 * overall_similarity + 0.3 * domain_similarity + 0.1 * pattern_similarity AS combined_similarity FROM {_SIMS})) WHERE rank <= 2""",
 )
 def ord3(spark, sf):
-    return rounded(sem.top_similar(_pairs(spark, sf), 2, "combined_similarity"))
+    return rounded(sem.most_similar(sem.column_blocks(table(spark, sf, "orders"), list(_SIM)), 2, score="combined_similarity"))
