@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -244,6 +245,12 @@ def _side(items: pa.Array) -> dict[str, np.ndarray]:
     return {"column": get("column").to_numpy(zero_copy_only=False), "domain": get("domain").to_numpy(zero_copy_only=False)} | {c: wide(c) for c in (*_VECTORS, "patterns")}
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of equal texts."""
+    codes = pd.factorize(np.concatenate([a, b]))[0]
+    return codes[: len(a), None] == codes[None, len(a) :]
+
+
 def _cosines(dots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     size = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
     return np.clip(np.divide(dots, size, out=np.zeros_like(dots), where=size > 0), -1.0, 1.0)
@@ -255,7 +262,7 @@ def _compared(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> list[np.nda
     dots, left, right = ([f(c) for c in _VECTORS] for f in (lambda c: a[c] @ b[c].T, lambda c: (a[c] ** 2).sum(axis=1), lambda c: (b[c] ** 2).sum(axis=1)))
     scores = [_cosines(d, x, y) for d, x, y in zip(dots, left, right, strict=True)]
     overall = _cosines(sum(dots), sum(left), sum(right))
-    same = (a["domain"][:, None] == b["domain"][None, :]).astype(float)
+    same = _same(a["domain"], b["domain"]).astype(float)
     p, q = a["patterns"], b["patterns"]  # 0 or 1
     agree = (p @ q.T + (1 - p) @ (1 - q).T) / p.shape[1]
     return [*scores, overall, same, agree, 0.6 * overall + 0.3 * same + 0.1 * agree]
@@ -267,7 +274,7 @@ def _all_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = _side(batch.column("a")[i].values), _side(batch.column("b")[i].values)
             for at in range(0, len(a["column"]), 64):
                 part = {k: v[at : at + 64] for k, v in a.items()}
-                row, col = np.nonzero(part["column"][:, None] != b["column"][None, :])
+                row, col = np.nonzero(~_same(part["column"], b["column"]))
                 cells = [pa.array(m[row, col]) for m in _compared(part, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(part["column"][row], pa.string()), pa.array(b["column"][col], pa.string()), *cells], ["column_a", "column_b", *_SCORES])
 
@@ -280,12 +287,14 @@ def _best_scores(k: int, score: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = _side(batch.column("a")[i].values), _side(batch.column("b")[i].values)
-                scores = np.where(a["column"][:, None] == b["column"][None, :], -np.inf, np.round(_compared(a, b)[at], 12))
-                names = np.argsort(b["column"], kind="stable")
-                order = names[np.argsort(-scores[:, names], axis=1, kind="stable")[:, :k]]
-                best = np.take_along_axis(scores, order, axis=1)
-                row, col = np.nonzero(best > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(a["column"][row], pa.string()), pa.array(b["column"][order[row, col]], pa.string()), pa.array(best[row, col])], ["column_a", "column_b", score])
+                scores = np.where(_same(a["column"], b["column"]), -np.inf, np.round(_compared(a, b)[at], 12))
+                last = max(scores.shape[1] - k, 0)
+                row, col = np.nonzero((scores >= np.partition(scores, last, axis=1)[:, last, None]) & (scores > -np.inf))
+                order = np.lexsort([b["column"][col].astype(str), -scores[row, col], row])
+                row, col = row[order], col[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                row, col = row[top], col[top]
+                yield pa.RecordBatch.from_arrays([pa.array(a["column"][row], pa.string()), pa.array(b["column"][col], pa.string()), pa.array(scores[row, col])], ["column_a", "column_b", score])
 
     return run
 
