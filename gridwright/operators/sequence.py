@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import is_numeric, is_temporal
-from gridwright.plans.ordered import MAX_GROUP_ROWS, order_position, prefix_sums, row_frames
+from gridwright.plans.ordered import MAX_GROUP_ROWS, carry_last, order_position, prefix_sums, row_frames
+from gridwright.plans.storage import written
 
 # Words that make a column name a time column, and the smallest epoch-like number.
 TIME_WORDS = (
@@ -184,56 +187,111 @@ def metric_table(log: DataFrame, keys: Sequence[str], metric: str, value: str, m
     return log.groupBy(*keys).pivot(metric, list(metrics)).agg(F.first(value))
 
 
+#: Evaluations of a run that one task looks at together.
+STOP_SEGMENT = 1_000_000
+
+
+def accepted_chain(x: np.ndarray, p: np.ndarray, patience: int, min_delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """For falling values ``x`` at places ``p``: from each of them, taken as the best so far, the last value that is accepted in turn,
+    and the place of the stop on the way there (0: none). A value is accepted if it is below the best less ``min_delta``."""
+    after = np.searchsorted(-x, -(x - min_delta), side="right")
+    inside = after < len(x)
+    ahead = np.where(inside, after, np.arange(len(x)))
+    stops = np.where(inside & (p[ahead] - p > patience), p + patience, 0)
+    to = np.where(stops > 0, np.arange(len(x)), ahead)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to, stops[to]
+        to = further
+
+
+def _segment_chains(patience: int, min_delta: float, size: int):
+    """Rows in order of run, segment and place; a task holds one segment and a batch at a time."""
+    names = ["run", "seg", "n", "p", "x", "t_p", "t_x", "stop"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, p = pdf["x"].to_numpy(float), pdf["p"].to_numpy(np.int64)
+        to, stops = accepted_chain(x, p, patience, min_delta)
+        out = pdf.assign(t_p=p[to], t_x=x[to], stop=stops)
+        return out if out["n"].iloc[0] > size else out.head(1)  # of a run in one segment only its first value
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            before = pdf[["run", "seg"]].shift()
+            same = ((pdf["run"] == before["run"]) | (pdf["run"].isna() & before["run"].isna())) & (pdf["seg"] == before["seg"])
+            starts = np.flatnonzero(~same.to_numpy(bool) | (np.arange(len(pdf)) == 0))
+            done = [one(pdf.iloc[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
+            if done:
+                yield pd.concat(done)[names]
+            held = pdf.iloc[starts[-1] :].reset_index(drop=True) if len(starts) else None
+        if held is not None and len(held):
+            yield one(held)[names]
+
+    return run
+
+
+def _linked(chains: DataFrame, patience: int, min_delta: float, max_group: int) -> DataFrame:
+    """(run, t_p, t_x, to_p, to_x, stop): from where a segment's chain ends to where it ends in the segment that takes it up; itself
+    if none does or training stops before. What takes it up is the next value in falling order after its own less ``min_delta``."""
+    value = F.struct(F.col("p"), F.col("t_p").alias("to_p"), F.col("t_x").alias("to_x"), "stop")
+    ends = chains.where("stop = 0").select("run", "t_p", "t_x").distinct()
+    values = chains.select("run", (-F.col("x")).alias("o"), F.lit(0).alias("asks"), F.col("p").alias("k"), value.alias("v"), F.lit(None).cast("long").alias("t_p"), F.lit(None).cast("double").alias("t_x"))
+    asks = ends.select("run", (-(F.col("t_x") - F.lit(float(min_delta)))).alias("o"), F.lit(1).alias("asks"), F.col("t_p").alias("k"), F.lit(None).cast(values.schema["v"].dataType).alias("v"), "t_p", "t_x")
+    met = carry_last(values.unionAll(asks), ["run"], ["o", "asks", "k"], {"ahead": F.col("v")}, backward=True, max_group=max_group).where("asks = 1")
+    a = F.col("ahead")
+    late = a.isNotNull() & (a["p"] - F.col("t_p") > patience)
+    go = a.isNotNull() & ~late
+    return met.select(
+        "run", "t_p", "t_x", F.when(go, a["to_p"]).otherwise(F.col("t_p")).alias("to_p"), F.when(go, a["to_x"]).otherwise(F.col("t_x")).alias("to_x"),
+        F.when(late, F.col("t_p") + patience).when(go, a["stop"]).otherwise(0).cast("long").alias("stop"),
+    )
+
+
 def early_stops(
     log: DataFrame, run: str, order_cols: Sequence[str], value: str, patience: int, min_delta: float = 0.0,
-    lower_is_better: bool = True, max_group: int = MAX_GROUP_ROWS,
+    lower_is_better: bool = True, max_group: int = MAX_GROUP_ROWS, segment: int = STOP_SEGMENT,
 ) -> DataFrame:
     """Per run the 1-based evaluation at which training stops (null: never), and the best one then.
 
-    Only a new running minimum can be an accepted improvement, so the history is first reduced to
-    those rows by a prefix minimum; the fold that applies `min_delta` then streams over them,
-    keeping two numbers per run.
+    Only a new running minimum can be an accepted improvement, so the history is first reduced to those rows by a prefix
+    minimum. A run is then cut in segments. A segment's rule is a function of the best value it is entered with, known from
+    where the chains of accepted values that begin at each of its own values end; the ends are linked across segments and the
+    links composed by doubling, so a run of any length takes a logarithmic number of joins. Missing values are no evaluations
+    that improve; a run without any value is left out.
     """
     v = F.col(value).cast("double")
     signed = v if lower_is_better else -v
     placed = order_position(log.withColumn("__x", signed), [run], order_cols, "__p", "__n", max_group)
     scanned = prefix_sums(placed, [run], ["__p"], {"__low": F.col("__x")}, inclusive=False, how="min")
-    records = scanned.where(F.col("__low").isNull() | (F.col("__x") < F.col("__low")))
-    records = records.select(F.col(run).alias("run"), "__p", "__x", "__n")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run_id = best = at = n = stop = None
-        started = False
-        out: list[tuple] = []
-
-        def close():
-            end = stop if stop is not None else (at + patience if at + patience <= n else None)
-            out.append((run_id, end, at, best))
-
-        for pdf in batches:
-            for r, p, x, total in zip(pdf["run"], pdf["__p"], pdf["__x"], pdf["__n"]):
-                if not started or r != run_id:
-                    if started:
-                        close()
-                    run_id, best, at, n, stop, started = r, x, p, total, None, True
-                elif stop is None:
-                    if p - at > patience:
-                        stop = at + patience
-                    elif x < best - min_delta:
-                        best, at = x, p
-            yield pd.DataFrame(out, columns=["run", "stop_at", "best_at", "best"])
-            out = []
-        if started:
-            close()
-            yield pd.DataFrame(out, columns=["run", "stop_at", "best_at", "best"])
-
+    records = scanned.where(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.col("__low").isNull() | (F.col("__x") < F.col("__low"))))
+    records = records.select(F.col(run).alias("run"), F.floor((F.col("__p") - 1) / segment).alias("seg"), F.col("__p").cast("long").alias("p"), F.col("__x").alias("x"), F.col("__n").cast("long").alias("n"))
     dtype = log.schema[run].dataType.simpleString()
-    folded = (
-        records.repartition("run").sortWithinPartitions("run", "__p")
-        .mapInPandas(fold, f"run {dtype}, stop_at double, best_at long, best double")
+    chains = records.repartition("run", "seg").sortWithinPartitions("run", "seg", "p").mapInPandas(
+        _segment_chains(patience, min_delta, segment), f"run {dtype}, seg long, n long, p long, x double, t_p long, t_x double, stop long"
     )
-    sign = 1.0 if lower_is_better else -1.0
-    return folded.select(
-        F.col("run").alias(run), F.col("stop_at").cast("long").alias("stop_at"), "best_at",
-        (F.col("best") * F.lit(sign)).alias("best"),
+    chains = written(chains, "chains")
+    first = chains.groupBy("run").agg(F.max("n").alias("n"), F.min_by(F.struct("t_p", "t_x", "stop"), "p").alias("t")).select("run", "n", "t.*")
+    longest = chains.agg(F.max("n")).first()[0] or 0
+    if longest > segment:
+        links = written(_linked(chains.where(F.col("n") > segment), patience, min_delta, max_group), "links")
+        for _ in range(math.ceil(math.log2(longest / segment + 1)) + 1):
+            ahead = links.select(F.col("run"), F.col("t_p").alias("to_p"), F.col("to_p").alias("far_p"), F.col("to_x").alias("far_x"), F.col("stop").alias("far_stop"))
+            met = links.join(ahead, ["run", "to_p"], "left")
+            go = (F.col("stop") == 0) & F.col("far_p").isNotNull()
+            links = written(met.select(
+                "run", "t_p", "t_x", F.when(go, F.col("far_p")).otherwise(F.col("to_p")).alias("to_p"), F.when(go, F.col("far_x")).otherwise(F.col("to_x")).alias("to_x"),
+                F.when(go, F.col("far_stop")).otherwise(F.col("stop")).alias("stop"),
+            ), "links")
+        reached = first.join(links.select("run", "t_p", "to_p", "to_x", F.col("stop").alias("far_stop")), ["run", "t_p"], "left")
+        go = (F.col("stop") == 0) & F.col("to_p").isNotNull()
+        first = reached.select(
+            "run", "n", F.when(go, F.col("to_p")).otherwise(F.col("t_p")).alias("t_p"), F.when(go, F.col("to_x")).otherwise(F.col("t_x")).alias("t_x"),
+            F.when(go, F.col("far_stop")).otherwise(F.col("stop")).alias("stop"),
+        )
+    end = F.when(F.col("stop") > 0, F.col("stop")).when(F.col("t_p") + patience <= F.col("n"), F.col("t_p") + patience)
+    return first.select(
+        F.col("run").alias(run), end.cast("long").alias("stop_at"), F.col("t_p").alias("best_at"), (F.col("t_x") * F.lit(1.0 if lower_is_better else -1.0)).alias("best")
     )

@@ -79,6 +79,41 @@ def test_early_stops(hot):
     assert rows(small, "g", "stop_at", "best_at", "best") == rows(big, "g", "stop_at", "best_at", "best")
 
 
+def fold(values, patience, delta):
+    """The rule, one evaluation after another."""
+    best = at = stop = None
+    for p, x in enumerate(values, 1):
+        if stop is None:
+            if best is None or x < best - delta:
+                best, at = x, p
+            elif p - at >= patience:
+                stop = p
+    return stop, at, best
+
+
+def test_early_stops_of_a_long_run(spark):
+    """One run with two thirds of the rows, falling slowly so that most values are new minima, in segments of few places."""
+    import random
+
+    r = random.Random(3)
+    runs = {0: [], 1: [5.0], 2: [3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0]}
+    for i in range(2000):
+        runs[0].append(1000 - 0.2 * i + r.uniform(-0.3, 0.3))
+    for k in range(3, 40):
+        level = 100.0
+        runs[k] = [level := level - r.choice([0.0, 0.1, 0.5, 2.0]) + r.choice([0.0, 0.3]) for _ in range(r.randint(1, 60))]
+    rows_ = [(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)]
+    r.shuffle(rows_)
+    log = spark.createDataFrame(rows_, "g long, t long, v double")
+    for patience, delta in ((4, 0.0), (5, 1.0), (40, 7.5), (3000, 2.0)):
+        want = {k: fold(xs, patience, delta) for k, xs in runs.items()}
+        for segment in (sequence.STOP_SEGMENT, 37, 5):
+            got = sequence.early_stops(log, "g", ["t"], "v", patience, delta, max_group=50, segment=segment)
+            assert {x["g"]: (x["stop_at"], x["best_at"], x["best"]) for x in got.collect()} == want
+    chain = sequence.early_stops(log, "g", ["t"], "v", 5, 1.0, max_group=50, segment=37)
+    assert chain.count() == len(runs)
+
+
 def test_quantiles_from_brackets(hot, monkeypatch):
     """The driver may look at few values: brackets are cut by their own sketches first."""
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
