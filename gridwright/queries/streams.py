@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from gridwright.operators import encode, tokenize
@@ -117,8 +119,10 @@ def str5(spark, sf):
 def str5_early(spark, sf):
     stream = st.read_stream(spark, dripped(spark, sf), SCHEMA, "parquet", FILES)
     out = scratch_path(spark, "stops")
-    st.run_available(st.early_stop_stream(stream, "user_id", "ts", "value", 10, 1.0), scratch_path(spark, "ckpt"), st.batch_writer(out), "update")
-    return st.latest_update(st.read_batches(spark, out), ["run"])
+    with st.state_store(spark):
+        stops = st.early_stop_stream(stream, "user_id", "ts", "value", 10, 1.0, "40 days", timedelta(days=400))
+        st.run_available(stops, scratch_path(spark, "ckpt"), st.batch_writer(out), "update")
+    return st.latest_update(st.read_batches(spark, out), ["run"]).drop("late", "closed")
 
 
 @query("str6_scoring", "SELECT event_id, round(value * 3 - 1, 6) AS prediction FROM events")

@@ -6,16 +6,20 @@ Anything fitted is fitted in batch and handed in as a parameter object; a stream
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gridwright.functions.statistics import ratio
 from gridwright.operators.encode import bin_id
 from gridwright.operators.logs import request_metrics
+from gridwright.operators.sequence import accepted_chain
 from gridwright.operators.tokenize import FeatureTokenizer
 from gridwright.plans.prepare import Prepared
 
@@ -118,32 +122,90 @@ def latest_update(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("r")).select(*keys, "r.*")
 
 
-def early_stop_stream(stream: DataFrame, run: str, order: str, value: str, patience: int, min_delta: float = 0.0) -> DataFrame:
-    """Live early stopping: state per run is (evaluations, best, place of the best, stopped at).
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    Emits the state after each micro-batch. A micro-batch holds the next evaluations of a run in any
-    order; they are sorted inside the batch.
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk and as change logs in the checkpoint; `early_stop_stream` needs it."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+class EarlyStop(StatefulProcessor):
+    """State per run: evaluations, best value, its place, the place of the stop, late rows, time of the last row (microseconds).
+
+    A run without rows for `idle_ms` of event time is closed: its state is given out once more and removed.
     """
-    dtype = stream.schema[run].dataType.simpleString()
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, best, at, stop = state.get if state.exists else (0, float("inf"), 0, 0)
-        rows = pd.concat(list(frames)).sort_values("o")  # bounded by the micro-batch
-        for v in rows["v"]:
-            n += 1
-            if stop:
-                continue
-            if v < best - min_delta:
-                best, at = float(v), n
-            elif n - at >= patience:
-                stop = n
-        state.update((n, best, at, stop))
-        yield pd.DataFrame({"run": [key[0]], "n": [n], "best": [best], "best_at": [at], "stop_at": [stop]})
-
-    rows = stream.select(F.col(run).alias("run"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("run").applyInPandasWithState(
-        step, f"run {dtype}, n long, best double, best_at long, stop_at long", "n long, best double, best_at long, stop_at long",
-        "update", GroupStateTimeout.NoTimeout,
+    names = ("n", "best", "best_at", "stop_at", "late")
+
+    def __init__(self, patience: int, min_delta: float, idle_ms: int):
+        self.patience, self.min_delta, self.idle_ms = patience, min_delta, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", "n long, best double, best_at long, stop_at long, late long, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, best, at, stop, late, last = tuple(self.state.get()) if self.state.exists() else (0, float("inf"), 0, 0, 0, -(2**62))
+        frame = pd.concat(list(rows))  # bounded by the micro-batch
+        frame = frame.assign(t=frame["t"].astype("datetime64[us]").astype("int64")).sort_values("t", kind="stable")
+        new = frame[frame["t"] >= last]
+        late += len(frame) - len(new)
+        if len(new):
+            n, best, at, stop = self._fold(new["v"].to_numpy(float), n, best, at, stop)
+            last = int(new["t"].iloc[-1])
+        self.state.update((n, best, at, stop, late, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, (n, best, at, stop, late), 0)
+
+    def _fold(self, v: np.ndarray, n: int, best: float, at: int, stop: int) -> tuple[int, float, int, int]:
+        """The rule over the next values; only those below all before can be accepted."""
+        if not stop:
+            low = np.fmin.accumulate(np.concatenate([[best], v]))[:-1]
+            found = np.flatnonzero(v < low)
+            x, p = v[found], found + n + 1
+            enter = int(np.searchsorted(-x, -(best - self.min_delta), side="right")) if n else 0
+            if enter < len(x) and not (at and p[enter] - at > self.patience):
+                to, stops = accepted_chain(x, p, self.patience, self.min_delta)
+                best, at, stop = float(x[to[enter]]), int(p[to[enter]]), int(stops[enter])
+            if not stop and n + len(v) - at >= self.patience:
+                stop = at + self.patience
+        return n + len(v), best, at, stop
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state = tuple(self.state.get())
+        self.state.clear()
+        yield self._row(key, state[:-1], 1)
+
+    def _row(self, key, state, closed: int) -> pd.DataFrame:
+        return pd.DataFrame({"run": [key[0]], **{c: [x] for c, x in zip(self.names, state)}, "closed": [closed]})
+
+    def close(self) -> None:
+        pass
+
+
+def early_stop_stream(
+    stream: DataFrame, run: str, ts: str, value: str, patience: int, min_delta: float = 0.0, delay: str = "1 hour", idle: timedelta = timedelta(days=1)
+) -> DataFrame:
+    """Live early stopping: run, n, best, best_at, stop_at (0: not yet), late, closed after each micro-batch that has rows of the run.
+
+    A micro-batch holds the next evaluations of a run in any order; they are sorted by `ts` inside it. A row older than the last
+    one already folded is late: it is counted and changes nothing; Spark leaves out rows behind the watermark (`delay`) altogether.
+    Run it inside `state_store`.
+    """
+    dtype = stream.schema[run].dataType.simpleString()
+    rows = stream.select(F.col(run).alias("run"), F.col(ts).alias("t"), F.col(value).cast("double").alias("v")).withWatermark("t", delay)
+    return rows.groupBy("run").transformWithStateInPandas(
+        EarlyStop(patience, min_delta, int(idle.total_seconds() * 1000)), f"run {dtype}, n long, best double, best_at long, stop_at long, late long, closed int",
+        "Update", "EventTime",
     )
 
 
