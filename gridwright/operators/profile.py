@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gridwright.functions.columns import as_number, numeric_columns, present, scalar_columns
 from gridwright.functions.statistics import ratio, sample_kurtosis, sample_skewness
+from gridwright.plans.comoments import means, pair_sums
 from gridwright.plans.quantiles import fit_quantiles
 
 BLOCK = 60  # columns per fused aggregate, to stay below the code-generation limits
@@ -183,23 +184,27 @@ def normalized_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def _named_pairs(sums: DataFrame, cols: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.withColumn("column_a", F.get(names, F.col("a"))).withColumn("column_b", F.get(names, F.col("b")))
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations in long form; pairs are aggregated in blocks."""
+    """Pairwise-complete Pearson correlations in long form, in two scans: means, then the sums of all pairs about them. Null without
+    a common row, NaN where a column does not vary over the common rows."""
     cols = list(cols or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    parts = []
-    for at in range(0, len(pairs), 200):
-        block = pairs[at : at + 200]
-        wide = df.agg(*[F.corr(as_number(df, a), as_number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(block)])
-        cells = [
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("corr"))
-            for i, (a, b) in enumerate(block)
-        ]
-        parts.append(wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+    shift = means(df, cols)
+    s = _named_pairs(pair_sums(df, cols, shift), cols).where("a < b")
+    scale = F.array(*[F.lit(1e-28 * x * x) for x in shift])  # what rounding leaves of a constant column
+    n = F.when(F.col("n") > 0, F.col("n"))
+    spread = lambda ss, x: F.col(ss) - F.col(x) * F.col(x) / n
+    flat = lambda ss, x, i: spread(ss, x) <= n * F.get(scale, F.col(i))
+    both = F.col("sab") - F.col("sa") * F.col("sb") / n
+    corr = F.when(F.col("n") == 0, None).when(flat("saa", "sa", "a") | flat("sbb", "sb", "b"), F.lit(float("nan")))
+    corr = corr.otherwise(both / F.sqrt(spread("saa", "sa") * spread("sbb", "sb")))
+    return s.select("column_a", "column_b", corr.alias("corr"))
 
 
 def column_metadata(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -269,29 +274,13 @@ def statistics_vector(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 
 
 def column_cosines(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Cosine between numeric columns seen as vectors of rows (missing counts as 0)."""
+    """Cosine between numeric columns seen as vectors of rows (missing counts as 0); one scan for all pairs."""
     cols = list(cols or numeric_columns(df))
-    x = {c: F.coalesce(as_number(df, c), F.lit(0.0)) for c in cols}
-    parts = []
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    squares = [F.sum(x[c] * x[c]).alias(f"s{i}") for i, c in enumerate(cols)]
-    for at in range(0, len(pairs), 200):
-        block = pairs[at : at + 200]
-        wide = df.agg(*squares, *[F.sum(x[a] * x[b]).alias(f"p{i}") for i, (a, b) in enumerate(block)])
-        cells = []
-        for i, (a, b) in enumerate(block):
-            d = F.sqrt(F.col(f"s{cols.index(a)}")) * F.sqrt(F.col(f"s{cols.index(b)}"))
-            cells.append(
-                F.struct(
-                    F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                    ratio(F.col(f"p{i}"), d).alias("cosine"),
-                )
-            )
-        parts.append(wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sums = _named_pairs(pair_sums(df, cols), cols)
+    squares = sums.where("a = b").select("a", "saa")
+    size = lambda i: squares.select(F.col("a").alias(i), F.sqrt("saa").alias(f"size_{i}"))
+    both = sums.join(size("a"), "a").join(size("b"), "b")
+    return both.select("column_a", "column_b", ratio(F.col("sab"), F.col("size_a") * F.col("size_b")).alias("cosine"))
 
 
 def full_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.functions.columns import number_array
 from gridwright.plans.ordered import MAX_GROUP_ROWS, order_position
 
 
@@ -16,10 +18,23 @@ def ranked(df: DataFrame, query: str, score: str, relevance: str, key: str, max_
     return order_position(out, [query], [F.col(relevance).desc(), F.col(key).asc()], "ideal", max_group=max_group)
 
 
-def ndcg(df: DataFrame, query: str, relevance: str, k: int) -> DataFrame:
-    """Mean NDCG@k with linear gains; a query without any gain counts 0. `df` has rank and ideal."""
+def ndcg(df: DataFrame, query: str, relevance: str, k: int, score: str | None = None) -> DataFrame:
+    """Mean NDCG@k with linear gains; a query without any gain counts 0. `df` has rank and ideal.
+
+    With `score`, rows of one score share their places: each gains the mean of its group at every place the group takes, so no
+    order among ties counts. Without it they stand in the order of `rank`.
+    """
     gain = lambda place: F.when(F.col(place) <= k, F.col(relevance) / F.log2(F.col(place) + 1.0)).otherwise(0.0)
-    per = df.groupBy(query).agg(F.sum(gain("rank")).alias("dcg"), F.sum(gain("ideal")).alias("best"))
+    best = F.sum(gain("ideal")).alias("best")
+    if score is None:
+        per = df.groupBy(query).agg(F.sum(gain("rank")).alias("dcg"), best)
+    else:
+        # discounts of the first places, summed: those of a group are the difference at its ends
+        upto = number_array(np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(2, k + 2)))]))
+        at = lambda place: F.get(upto, F.least(place, F.lit(k)).cast("int"))
+        groups = df.groupBy(query, score).agg(F.count("*").alias("c"), F.sum(relevance).alias("r"), F.min("rank").alias("first"), best)
+        dcg = F.col("r") / F.col("c") * (at(F.col("first") + F.col("c") - 1) - at(F.col("first") - 1))
+        per = groups.groupBy(query).agg(F.sum(dcg).alias("dcg"), F.sum("best").alias("best"))
     value = F.when(F.col("best") > 0, F.col("dcg") / F.when(F.col("best") > 0, F.col("best"))).otherwise(0.0)
     return per.agg(F.avg(value).alias("ndcg")).select(F.lit(k).alias("k"), "ndcg")
 

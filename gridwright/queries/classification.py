@@ -238,6 +238,26 @@ def mk1(spark, sf):
     return rounded(ranking.ndcg(r, "q", "rel", 5).unionByName(ranking.ndcg(r, "q", "rel", 10)))
 
 
+# scores in steps of 50,000: many orders of a customer share one
+_TIED = f"""(SELECT *, min(r) OVER (PARTITION BY q, t) AS lo, count(*) OVER (PARTITION BY q, t) AS c FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC, k) AS r, row_number() OVER (PARTITION BY q ORDER BY rel DESC, k) AS i FROM (SELECT *, floor(s / 50000) AS t FROM {RANK})))"""
+
+
+@query(
+    "mk1_ndcg_tied",
+    union_sql(
+        f"""SELECT {k} AS k, round(avg(CASE WHEN b > 0 THEN d / b ELSE 0 END), 6) AS ndcg FROM (
+        SELECT q, sum(rel / c * coalesce(list_sum(list_transform(range(lo, least(lo + c - 1, {k}) + 1), lambda p: 1 / log2(p + 1))), 0)) AS d,
+        sum(CASE WHEN i <= {k} THEN rel / log2(i + 1) ELSE 0 END) AS b FROM {_TIED} GROUP BY q)"""
+        for k in (5, 10)
+    ),
+)
+def mk1_tied(spark, sf):
+    t = rank_input(spark, sf).drop("rank", "ideal").withColumn("t", F.floor(F.col("s") / 50000))
+    r = ranking.ranked(t, "q", "t", "rel", "k")
+    return rounded(ranking.ndcg(r, "q", "rel", 5, "t").unionByName(ranking.ndcg(r, "q", "rel", 10, "t")))
+
+
 @query(
     "mk2_mrr",
     f"""SELECT (SELECT round(avg(coalesce(1.0 / f, 0)), 6) FROM (SELECT q, min(r) FILTER (rel > 0) AS f FROM {_RANKED} GROUP BY q)) AS mrr_first,
