@@ -159,9 +159,9 @@ def bin_id(x: Column, edges: Sequence[float]) -> Column:
     return F.when(x.isNull(), F.lit(n)).otherwise(inner).cast("int")
 
 
-def encode_numbers(df: DataFrame, edges: dict[str, list[float]], normalization: str = "standard") -> DataFrame:
-    """{col}_bin and {col}_scaled (0 for a missing value) per column."""
-    scaler = fit_scaler(df, list(edges), normalization)
+def encode_numbers(df: DataFrame, edges: dict[str, list[float]], normalization: str = "standard", scaler: dict[str, tuple] | None = None) -> DataFrame:
+    """{col}_bin and {col}_scaled (0 for a missing value) per column; the scaler is fitted on `df` unless given."""
+    scaler = fit_scaler(df, list(edges), normalization) if scaler is None else scaler
     cells = []
     for c, e in edges.items():
         a, s = scaler[c]

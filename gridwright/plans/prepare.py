@@ -67,11 +67,12 @@ class Prepared:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Prepared":
-        raw = json.loads(spark.read.text(path).first()[0])
-        raw["config"] = PrepareConfig(**raw["config"])
-        raw["bounds"] = {c: tuple(v) for c, v in raw["bounds"].items()}
-        raw["scaler"] = {c: tuple(v) for c, v in raw["scaler"].items()}
-        return Prepared(**raw)
+        return Prepared.from_record(json.loads(spark.read.text(path).first()[0]))
+
+    @staticmethod
+    def from_record(raw: dict) -> "Prepared":
+        pairs = {k: {c: tuple(v) for c, v in raw[k].items()} for k in ("bounds", "scaler")}
+        return Prepared(**(raw | pairs | {"config": PrepareConfig(**raw["config"])}))
 
 
 def fit_prepare(

@@ -6,7 +6,7 @@ import importlib
 
 FAMILIES = (
     "profiling", "cleaning", "encoding", "splitting", "sequences", "classification", "regression",
-    "drift", "semantics", "tokens", "vectors", "survival", "models", "inputs", "streams",
+    "drift", "semantics", "tokens", "vectors", "survival", "models", "inputs", "streams", "stages",
 )
 
 
