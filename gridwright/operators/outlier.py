@@ -144,6 +144,11 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarr
 def mahalanobis(df: DataFrame, cols: Sequence[str], out: str = "score", fit_on: DataFrame | None = None) -> DataFrame:
     """Squared Mahalanobis distance to the mean (of `fit_on`) as one SQL expression."""
     mean, cov = covariance(df if fit_on is None else fit_on, cols)
+    return df.withColumn(out, distance(df, cols, mean, cov))
+
+
+def distance(df: DataFrame, cols: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Column:
+    """Squared Mahalanobis distance to a mean under a covariance; missing counts as 0."""
     inv = np.linalg.pinv(cov)
     d = [F.coalesce(as_number(df, c), F.lit(0.0)) - F.lit(float(m)) for c, m in zip(cols, mean)]
     total = F.lit(0.0)
@@ -151,7 +156,7 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], out: str = "score", fit_on:
         for j in range(i, len(cols)):
             w = float(inv[i, j]) * (1.0 if i == j else 2.0)
             total = total + F.lit(w) * d[i] * d[j]
-    return df.withColumn(out, total)
+    return total
 
 
 def centre_distance(df: DataFrame, vector: str, out: str = "score") -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.statistics import ratio
 from gridwright.plans.ordered import hash_rank
+from gridwright.plans.storage import written
 
 
 def masked_classification(df: DataFrame, mask: str = "masked", proba: str | None = None) -> DataFrame:
@@ -77,20 +79,20 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
 
 
-def info_nce(
-    df: DataFrame, anchor: str = "anchor", positive: str = "positive", key: str = "key",
-    temperature: float = 0.07, keep_self: bool = False,
-) -> DataFrame:
-    """Per row: InfoNCE loss with in-batch negatives (all other positives and all other anchors),
-    whether the positive wins, and the positive and mean negative similarity.
+#: Rows of a batch whose similarities are held as one matrix; larger batches are cut in blocks of about so many.
+BATCH_BLOCK = 1024
+_NCE = "loss double, correct double, positive_similarity double, negative_similarity double"
 
-    `df` needs batch_id with a fixed number of rows per batch: one matrix product per batch in an
-    Arrow task, pairs are never materialized. `keep_self` also counts the anchor itself.
-    """
+
+def _unit_columns(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return _unit(np.stack(pdf["a"].to_numpy()).astype(float)), _unit(np.stack(pdf["p"].to_numpy()).astype(float))
+
+
+def _whole_batches(rows: DataFrame, dtype: str, temperature: float, keep_self: bool) -> DataFrame:
+    """One matrix product a batch."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _unit(np.stack(pdf["a"].to_numpy()).astype(float))
-        p = _unit(np.stack(pdf["p"].to_numpy()).astype(float))
+        a, p = _unit_columns(pdf)
         ap, aa = a @ p.T, a @ a.T
         n = len(a)
         off = ~np.eye(n, dtype=bool)
@@ -107,13 +109,85 @@ def info_nce(
             "positive_similarity": pos, "negative_similarity": neg_sum / max(2 * n - 2, 1),
         })
 
-    rows = df.select(F.col(key).alias("key"), "batch_id", F.col(anchor).alias("a"), F.col(positive).alias("p"))
-    dtype = df.schema[key].dataType.simpleString()
-    return rows.groupBy("batch_id").applyInPandas(
-        one, f"key {dtype}, batch_id long, loss double, correct double, positive_similarity double, negative_similarity double"
+    return rows.groupBy("batch_id").applyInPandas(one, f"key {dtype}, batch_id long, {_NCE}")
+
+
+def _packed_batches(rows: DataFrame, size: int) -> DataFrame:
+    """(batch_id, block, n, blocks, items): blocks of about ``size`` rows; ``rows`` has the batch's row count n."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a", "p", F.col("key").cast("string")), blocks).cast("int"))
+    packed = dealt.groupBy("batch_id", "block", "n", "blocks").agg(F.collect_list(F.struct("key", "a", "p")).alias("items"))
+    return written(packed, "batches")
+
+
+def _block_batches(rows: DataFrame, dtype: str, temperature: float, keep_self: bool, size: int) -> DataFrame:
+    """Every block of a batch meets every other; a row's log-sum-exp is merged from one (greatest, sum) a block."""
+    packed = _packed_batches(rows, size)
+    left = packed.select("batch_id", F.col("block").alias("mine"), "n", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = left.join(packed.select("batch_id", "block", F.col("items").alias("y")), ["batch_id", "block"]).select("batch_id", "mine", "block", "n", "x", "y")
+    schema = f"key {dtype}, batch_id long, mine int, i int, n long, top double, total double, rival double, negatives double, pos double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: batch.column(c)[r]  # noqa: B023, E731
+                side = lambda items: [_unit(items.field(f).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(items), -1)) for f in (1, 2)]
+                x, y = get("x").values, get("y").values
+                (a, p), (b, q) = side(x), side(y)
+                ap, aa = a @ q.T, a @ b.T
+                pos = (a * p).sum(axis=1)
+                same = get("mine").as_py() == get("block").as_py()
+                own = np.eye(len(a), len(b), dtype=bool) if same else np.zeros((len(a), len(b)), bool)
+                rivals = np.concatenate([np.where(own, -np.inf, ap), aa if keep_self else np.where(own, -np.inf, aa)], axis=1) / temperature
+                top = np.maximum(rivals.max(axis=1), pos / temperature if same else -np.inf)
+                top = np.where(np.isfinite(top), top, -1e300)
+                total = np.exp(rivals - top[:, None]).sum(axis=1) + (np.exp(pos / temperature - top) if same else 0.0)
+                m = len(a)
+                full = lambda v, t: pa.array(np.full(m, v), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([
+                    x.field(0), full(get("batch_id").as_py(), pa.int64()), full(get("mine").as_py(), pa.int32()), pa.array(np.arange(m, dtype=np.int32)),
+                    full(get("n").as_py(), pa.int64()), pa.array(top), pa.array(total), pa.array(rivals.max(axis=1)),
+                    pa.array(np.where(own, 0.0, ap).sum(axis=1) + np.where(own, 0.0, aa).sum(axis=1)), pa.array(pos),
+                ], [f.split()[0] for f in schema.split(", ")])
+
+    parts = met.mapInArrow(run, schema).groupBy("batch_id", "mine", "i").agg(
+        F.first("key").alias("key"), F.max("n").alias("n"), F.max("top").alias("top"), F.collect_list(F.struct("top", "total")).alias("sums"),
+        F.max("rival").alias("rival"), F.sum("negatives").alias("negatives"), F.max("pos").alias("pos"),
+    )
+    total = F.aggregate("sums", F.lit(0.0), lambda s, e: s + e["total"] * F.exp(e["top"] - F.col("top")))
+    return parts.select(
+        "key", "batch_id", (F.log(total) + F.col("top") - F.col("pos") / temperature).alias("loss"),
+        (F.col("pos") / temperature >= F.col("rival")).cast("double").alias("correct"), F.col("pos").alias("positive_similarity"),
+        (F.col("negatives") / F.greatest(2 * F.col("n") - 2, F.lit(1))).alias("negative_similarity"),
     )
 
 
+def _sized(df: DataFrame, anchor: str, positive: str, block: int, key: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of batches of at most ``block`` rows, rows of larger ones (with their number n), and whether there are such."""
+    rows = df.select(*([F.col(key).alias("key")] if key else [F.lit(0).alias("key")]), F.col("batch_id").cast("long").alias("batch_id"), F.col(anchor).alias("a"), F.col(positive).alias("p"))
+    large = rows.groupBy("batch_id").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    if large.isEmpty():
+        return rows, rows.withColumn("n", F.lit(0)), False
+    large = written(large, "large")
+    return rows.join(large, "batch_id", "left_anti").select(rows.columns), rows.join(large, "batch_id"), True
+
+
+def info_nce(
+    df: DataFrame, anchor: str = "anchor", positive: str = "positive", key: str = "key",
+    temperature: float = 0.07, keep_self: bool = False, block: int = BATCH_BLOCK,
+) -> DataFrame:
+    """Per row: InfoNCE loss with in-batch negatives (all other positives and all other anchors),
+    whether the positive wins, and the positive and mean negative similarity.
+
+    `df` needs batch_id. A batch of at most `block` rows is one matrix product in an Arrow task; a larger one is cut in blocks, whose
+    pairs are worked on by all tasks. Pairs of rows are never materialized. `keep_self` also counts the anchor itself.
+    """
+    dtype = df.schema[key].dataType.simpleString()
+    small, large, any_large = _sized(df, anchor, positive, block, key)
+    out = _whole_batches(small, dtype, temperature, keep_self)
+    return out.unionByName(_block_batches(large, dtype, temperature, keep_self, block)) if any_large else out
+
+
 def info_nce_explicit(df: DataFrame, anchor: str, positive: str, negatives: str, temperature: float = 0.07) -> DataFrame:
     """InfoNCE with an explicit array of negative vectors per row, as one expression."""
     from gridwright.functions.vectors import cosine, fold_sum
@@ -133,20 +207,44 @@ def contrastive_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def similarity_statistics(df: DataFrame, anchor: str = "anchor", positive: str = "positive") -> DataFrame:
+def similarity_statistics(df: DataFrame, anchor: str = "anchor", positive: str = "positive", block: int = BATCH_BLOCK) -> DataFrame:
     """Mean and population std of the in-batch similarity matrices: overall, diagonal, off-diagonal.
 
-    Each batch returns six sums; the matrices stay inside the tasks.
+    Each batch of at most `block` rows returns six sums; the matrices stay inside the tasks. A larger one needs no matrix of all its
+    pairs: the sums over it follow from sums of its vectors and of their outer products.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _unit(np.stack(pdf["a"].to_numpy()).astype(float)) @ _unit(np.stack(pdf["p"].to_numpy()).astype(float)).T
+        a, p = _unit_columns(pdf)
+        s = a @ p.T
         d = np.diag(s)
         return pd.DataFrame([(s.size, s.sum(), (s * s).sum(), len(d), d.sum(), (d * d).sum())],
                             columns=["n", "s", "q", "dn", "ds", "dq"])
 
-    rows = df.select("batch_id", F.col(anchor).alias("a"), F.col(positive).alias("p"))
-    sums = rows.groupBy("batch_id").applyInPandas(one, "n double, s double, q double, dn double, ds double, dq double")
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for pdf in batches:
+            for batch_id, rows in pdf.groupby("batch_id"):
+                a, p = _unit_columns(rows)
+                d = (a * p).sum(axis=1)
+                got = [np.concatenate([(a.T @ a).ravel(), a.sum(axis=0)]), np.concatenate([(p.T @ p).ravel(), p.sum(axis=0)]), np.array([len(d), d.sum(), (d * d).sum()])]
+                found[batch_id] = [x + y for x, y in zip(found[batch_id], got)] if batch_id in found else got
+        cells = [(b, kind, i, float(x)) for b, got in found.items() for kind, values in enumerate(got) for i, x in enumerate(values)]
+        if cells:
+            yield pd.DataFrame(cells, columns=["batch_id", "kind", "i", "x"])
+
+    small, large, any_large = _sized(df, anchor, positive, block)
+    sums = small.groupBy("batch_id").applyInPandas(one, "n double, s double, q double, dn double, ds double, dq double")
+    if any_large:
+        cells = large.select("batch_id", "a", "p").mapInPandas(products, "batch_id long, kind int, i int, x double").groupBy("batch_id", "kind", "i").agg(F.sum("x").alias("x"))
+        dims = F.floor((F.sqrt(1 + 4 * F.col("m").cast("double")) - 1) / 2)  # m = dims * dims + dims
+        sides = cells.where("kind < 2").groupBy("batch_id", "i").agg(F.max(F.when(F.col("kind") == 0, F.col("x"))).alias("x"), F.max(F.when(F.col("kind") == 1, F.col("x"))).alias("y"))
+        sizes = sides.groupBy("batch_id").agg(F.count("*").alias("m")).select("batch_id", dims.alias("dims"))
+        both = sides.join(sizes, "batch_id").groupBy("batch_id").agg(
+            F.sum(F.when(F.col("i") >= F.col("dims") * F.col("dims"), F.col("x") * F.col("y"))).alias("s"), F.sum(F.when(F.col("i") < F.col("dims") * F.col("dims"), F.col("x") * F.col("y"))).alias("q")
+        )
+        own = cells.where("kind = 2").groupBy("batch_id").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(c) for i, c in enumerate(("dn", "ds", "dq"))])
+        sums = sums.unionByName(both.join(own, "batch_id").select((F.col("dn") * F.col("dn")).alias("n"), "s", "q", "dn", "ds", "dq"))
     t = sums.agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "dn", "ds", "dq")])
 
     def mean_std(n: Column, s: Column, q: Column) -> tuple[Column, Column]:

@@ -520,6 +520,14 @@ def out10(spark, sf):
     return rounded(outlier.mahalanobis(df, ["a", "b"]).drop("a", "b"))
 
 
+@query("out10_robust_envelope")
+def out10_robust(spark, sf):
+    from gridwright.operators.robust import robust_envelope
+
+    df = table(spark, sf, "lineitem").select(*KEY_COLS, F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    return rounded(robust_envelope(df, ["a", "b"], 0.05).drop("a", "b"))
+
+
 @query("out11_reconstruction")
 def out11(spark, sf):
     return rounded(
