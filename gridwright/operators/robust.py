@@ -21,8 +21,9 @@ from gridwright.operators.outlier import covariance, distance
 from gridwright.plans.quantiles import fit_quantiles
 from gridwright.plans.storage import written
 
-#: Rows that starts are tried on, number of starts, those that go on over all rows, and steps at most.
-SAMPLE_ROWS, STARTS, KEPT, STEPS = 1500, 200, 3, 30
+#: Rows that starts are tried on, number of starts, those that go on over all rows, steps at most, and the share by which the
+#: determinant over all rows must fall for another step.
+SAMPLE_ROWS, STARTS, KEPT, STEPS, GAIN = 1500, 200, 1, 30, 1e-4
 TAIL = 0.025
 
 
@@ -128,8 +129,9 @@ def fit_robust_covariance(
             det = float(np.linalg.det(new_cov))
             if det >= previous:
                 break
-            mean, cov, previous = new_mean, new_cov, det
-            if det <= 0:
+            last, previous = previous, det
+            mean, cov = new_mean, new_cov
+            if det <= 0 or det > last * (1 - GAIN):
                 break
         if best is None or previous < best[0]:
             best = (previous, mean, cov)
