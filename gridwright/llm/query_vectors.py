@@ -9,8 +9,9 @@ from gridwright.llm.queries import query, table
 OP4_SQL = """
 WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+queries AS (SELECT vec_id, min(v) AS v FROM whole WHERE vec_id % 20 = 0 GROUP BY vec_id),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM whole q, whole c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+  FROM queries q, whole c WHERE q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """

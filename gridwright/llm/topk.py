@@ -35,9 +35,10 @@ def usable(column: str) -> Column:
 
 
 def _packed(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """Blocks of about ``size`` rows by a hash of the id: (block, ids, vs) and how many blocks there are."""
+    """Blocks of about ``size`` rows: (block, ids, vs) and how many blocks there are. ``rows`` is a written table, so a row's
+    place in it is the same whenever it is read, and many rows of one id or vector spread over all blocks."""
     n = max(1, -(-rows.count() // size))
-    block = F.pmod(F.xxhash64("id", F.lit(name)), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("id", F.lit(name), F.monotonically_increasing_id()), F.lit(n)).cast("int")
     lists = rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("r"))
     return lists.select(name, F.col("r.id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_vs")), n
 
@@ -110,18 +111,23 @@ def _pick(k: int, dims: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query, by score, then the smaller id; all, if
-    there are fewer. ``vectors`` and ``queries``: (id, v), v a list of whole numbers, all of one length.
+    there are fewer. ``vectors`` and ``queries``: (id, v), v a list of whole numbers.
 
-    A candidate with the query's own id does not count. Of rows that repeat an id, the one with the least vector counts.
-    Null ids take no part. An empty side gives an empty table. Scores beyond 64 bits wrap around.
+    A candidate with the query's own id does not count; every other row does, also several of one id. Of queries that repeat an id,
+    the one with the least vector counts. Null ids take no part, nor, where lengths differ, vectors of another length than the
+    most frequent one among the candidates (the greatest of equally frequent ones). An empty side gives an empty table. Scores
+    beyond 64 bits wrap around.
     """
-    once = lambda d: d.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
-    vectors, queries = stored(once(vectors), "vectors"), stored(once(queries), "queries")
-    head = vectors.select(F.size("v")).first()
+    vectors = stored(vectors.where("id is not null").select("id", "v"), "vectors")
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if head is None or queries.isEmpty():
+    head = vectors.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    if head is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    dims = head["dims"]
+    vectors = vectors.where(F.size("v") == dims)
+    queries = stored(queries.where(F.col("id").isNotNull() & (F.size("v") == dims)).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    if queries.isEmpty():
         return vectors.sparkSession.createDataFrame([], schema)
-    dims = head[0]
     q, nq = _packed(queries, "q", QUERY_BLOCK)
     c, nc = _packed(vectors, "c", BLOCK)
     q, c = stored(q, "blocks"), stored(c, "blocks")
