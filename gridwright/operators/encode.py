@@ -96,10 +96,20 @@ def fit_categories(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
     """Sorted distinct values for one-hot columns; more than `limit` cannot become columns."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; use OneHotEncoder vectors")
+        raise ValueError(f"{column} has more than {limit} categories; use one_hot_sparse")
     return sorted(r[0] for r in rows)
 
 
+def one_hot_sparse(df: DataFrame, column: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
+    """{column}_size and {column}_index: the one-hot vector as its length and the place of its 1, from `label_mapping`. Any number of
+    categories; a missing or unseen one has no place, the vector of zeros."""
+    name = out or column
+    coded = lookup(df, column, mapping, f"{name}_index", -1)
+    size = mapping.agg(F.count("*").cast("int")).first()[0]
+    index = F.col(f"{name}_index")
+    return coded.withColumn(f"{name}_index", F.when(index >= 0, index).cast("int")).withColumn(f"{name}_size", F.lit(size))
+
+
 def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
     cells = [F.coalesce((F.col(column) == c).cast("int"), F.lit(0)).alias(f"{column}_{c}") for c in categories]
     return df.select(*[c for c in df.columns if c != column], *cells)

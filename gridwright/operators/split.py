@@ -4,12 +4,14 @@ same rows are chosen whatever the partitioning, and no stratum is gathered in on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.hashing import uniform
+from gridwright.functions.hashing import key_hash, uniform
 from gridwright.plans.ordered import hash_parts, hash_rank, prefix_sums
+from gridwright.plans.storage import written
 
 
 def sample(
@@ -40,11 +42,32 @@ def allocation(df: DataFrame, strata: str, n: int) -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, key_cols: Sequence[str], groups: Sequence[str], take: DataFrame, seed: int = 42, digits: int = 3) -> DataFrame:
+    """The first ``take`` rows of each group in hash order; ``take`` has the group's columns and a number.
+
+    Rows are counted by hash prefix. A prefix beyond the cut is left out where it is read, one before it is taken whole, and only
+    the prefixes that a cut goes through are ranked.
+    """
+    names = list(groups)
+    work = df.withColumn("__cut", F.substring(key_hash(key_cols, "", seed), 1, digits))
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** digits rows a group
+    counts = work.groupBy(*names, "__cut").agg(F.count("*").alias("__c")).withColumn("__start", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    if names:
+        wanted = take.select(*[F.col(g).alias(f"__g_{g}") for g in names], F.col("take").alias("__take"))
+        side = counts.join(wanted, reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in names]))
+    else:
+        side = counts.withColumn("__take", F.lit(take.first()["take"]))
+    side = side.where(F.col("__start") < F.col("__take"))
+    side = side.select(*[F.col(g).alias(f"__s_{g}") for g in names], F.col("__cut").alias("__p"), "__c", "__start", "__take")
+    meet = [F.col("__cut") == F.col("__p"), *[F.col(g).eqNullSafe(F.col(f"__s_{g}")) for g in names]]
+    met = work.join(side, reduce(lambda x, y: x & y, meet)).drop("__p", *[f"__s_{g}" for g in names])
+    whole = F.col("__start") + F.col("__c") <= F.col("__take")
+    edge = hash_rank(met.where(~whole), key_cols, seed, [*names, "__cut"], "__k")
+    return met.where(whole).select(*df.columns).unionByName(edge.where(F.col("__start") + F.col("__k") <= F.col("__take")).select(*df.columns))
+
+
 def stratified_sample(df: DataFrame, key_cols: Sequence[str], strata: str, n: int, seed: int = 42) -> DataFrame:
-    take = allocation(df, strata, n)
-    ranked = hash_rank(df, key_cols, seed, [strata], "__r")
-    joined = ranked.join(take, F.col(strata).eqNullSafe(F.col("stratum")))
-    return joined.where(F.col("__r") <= F.col("take")).select(*df.columns)
+    return first_rows(df, key_cols, [strata], allocation(df, strata, n).select(F.col("stratum").alias(strata), "take"), seed)
 
 
 def split(
@@ -107,14 +130,26 @@ def nested_subsets(
 ) -> DataFrame:
     """Growing subsets for a learning curve, one copy of a row per subset it belongs to; sizes above
     the row count are skipped. Stratified: the i-th row of a stratum of size s comes at (i - 1/2)/s."""
-    ranked = hash_rank(df, key_cols, seed, [stratify] if stratify else [], "__r", total="__n")
-    if stratify:
-        ranked = ranked.withColumn("__q", (F.col("__r") - 0.5) / F.col("__n"))
-        ranked = prefix_sums(ranked.drop("__r", "__n"), [], ["__q", stratify, *key_cols], {"__r": F.lit(1)}, totals={"__r": "__n"})
-    fits = F.filter(
-        F.array(*[F.lit(int(s)) for s in sizes]), lambda s: (s <= F.col("__n")) & (F.col("__r") <= s)
-    )
-    return ranked.select(*df.columns, F.explode(fits).alias("subset"))
+    spark, groups = df.sparkSession, [stratify] if stratify else []
+    counts = written(df.groupBy(*groups).agg(F.count("*").alias("__size")), "strata")
+    total, strata = counts.agg(F.sum("__size"), F.count("*")).first()
+    fits = [int(s) for s in sizes if s <= (total or 0)]
+    if not fits:
+        return df.limit(0).withColumn("subset", F.lit(0))
+    most = max(fits)
+    if not stratify:
+        kept = first_rows(df, key_cols, [], spark.createDataFrame([(most,)], "take long"), seed)
+        ranked = hash_rank(kept, key_cols, seed, out="__r")
+    else:
+        # the row of rank `most` comes no later than (most + strata / 2) / total, which bounds each stratum's part
+        take = F.floor((F.lit(most) + strata / 2) * F.col("__size") / total + 0.5) + 1
+        kept = first_rows(df, key_cols, groups, counts.select(stratify, take.cast("long").alias("take")), seed)
+        ranked = hash_rank(kept, key_cols, seed, groups, "__i")
+        by = counts.select(F.col(stratify).alias("__g"), "__size")
+        ranked = ranked.join(by, F.col(stratify).eqNullSafe(F.col("__g"))).withColumn("__q", (F.col("__i") - 0.5) / F.col("__size")).drop("__g", "__i", "__size")
+        ranked = prefix_sums(ranked, [], ["__q", stratify, *key_cols], {"__r": F.lit(1)})
+    inside = F.filter(F.array(*[F.lit(s) for s in fits]), lambda s: F.col("__r") <= s)
+    return ranked.select(*df.columns, F.explode(inside).alias("subset"))
 
 
 def shards_by_size(df: DataFrame, order_cols: Sequence[str], shard_size: int) -> DataFrame:

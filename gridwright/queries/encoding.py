@@ -132,6 +132,16 @@ def enc4(spark, sf):
     return encode.one_hot(t, "o_orderstatus", encode.fit_categories(t, "o_orderstatus"))
 
 
+@query(
+    "enc4_sparse",
+    f"""WITH k AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderdate < {_EARLY}))
+    SELECT o_orderkey, code::INTEGER AS cust_index, (SELECT count(*) FROM k)::INTEGER AS cust_size FROM orders LEFT JOIN k ON o_custkey = v""",
+)
+def enc4_sparse(spark, sf):
+    t, early = _orders(spark, sf)
+    return encode.one_hot_sparse(t.select("o_orderkey", "o_custkey"), "o_custkey", encode.label_mapping(early, "o_custkey"), "cust").drop("o_custkey")
+
+
 @query(
     "enc5_datetime",
     """SELECT event_id, year(ts)::INT AS ts_year, month(ts)::INT AS ts_month, day(ts)::INT AS ts_day, (isodow(ts) - 1)::INT AS ts_dayofweek,

@@ -156,6 +156,25 @@ def test_splits_do_not_depend_on_partitioning(hot):
         split.split(hot, ["k"], 0.5, 0.2, 0.2)
 
 
+def test_samples_leave_the_bulk_where_it_is(spark, hot):
+    """The first rows in hash order, as a rank over the whole table gives them; nulls are a stratum, null takes nothing away."""
+    from gridwright.plans.ordered import hash_rank
+
+    base = hot.select("k", F.when(F.col("g") != 5, F.col("g")).alias("g"))
+    for groups in ([], ["g"]):
+        plain = hash_rank(base, ["k"], 42, groups, "r")
+        for n in (1, 3, 40, 150, 5000):
+            take = spark.createDataFrame([(n,)], "take long") if not groups else base.select("g").distinct().withColumn("take", F.lit(n))
+            for digits in (1, 2, 3):
+                got = split.first_rows(base, ["k"], groups, take, digits=digits)
+                assert rows(got, "k") == rows(plain.where(F.col("r") <= n), "k")
+    nested = split.nested_subsets(base, ["k"], (10, 100, 2999, 4000), "g")
+    w, order = Window.partitionBy("g"), Window.orderBy("q", "g", "k")
+    whole = hash_rank(base, ["k"], 42, ["g"], "i").withColumn("q", (F.col("i") - 0.5) / F.count("*").over(w)).withColumn("r", F.row_number().over(order))
+    want = [(k, s) for k, r in rows(whole, "k", "r") for s in (10, 100, 2999) if r <= s]
+    assert rows(nested, "k", "subset") == sorted(want, key=str)
+
+
 def test_sample_sizes(hot):
     assert split.sample(hot, ["k"], n=100).count() == 100
     assert split.stratified_sample(hot, ["k"], "g", 333).count() == 333
