@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.bisect import passed_in
+from gridwright.functions.bisect import edges_passed, passed_in
 from gridwright.functions.columns import as_number, number_array
 from gridwright.plans.ordered import prefix_sums
 from gridwright.plans.storage import written
@@ -81,15 +81,17 @@ def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], wide:
 
 def _held(df: DataFrame, brackets: dict[str, tuple[int, list[tuple[float, float]]]]) -> DataFrame:
     """(c, cell, v, n): row counts of column number c. Cell 2 i + 1 is bracket i, by value; cell 2 i lies below it, without values."""
+    # Places are columns of their own: computed once a row, although the cells use them several times.
+    numbers = df.select(*[as_number(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(brackets)])
+    places = [edges_passed(F.col(f"x{i}"), [lo for lo, _ in spans]).alias(f"at{i}") for i, (_, spans) in enumerate(brackets.values())]
     cells = []
-    for i, (c, (n, spans)) in enumerate(brackets.items()):
+    for i, (n, spans) in enumerate(brackets.values()):
         if n:
-            x = as_number(df, c).cast("double")
-            at = passed_in(x, number_array([lo for lo, _ in spans]), len(spans))
+            x, at = F.col(f"x{i}"), F.col(f"at{i}")
             inside = x <= F.get(number_array([hi for _, hi in spans]), at - 1)
             cell = F.when(F.coalesce(inside, F.lit(False)), 2 * at - 1).otherwise(2 * at)
             cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), cell.alias("cell"), x.alias("x"))))
-    rows = df.select(F.explode(F.array(*cells)).alias("e")).where("e is not null").select("e.c", "e.cell", F.when(F.col("e.cell") % 2 == 1, F.col("e.x")).alias("v"))
+    rows = numbers.select("*", *places).select(F.explode(F.array(*cells)).alias("e")).where("e is not null").select("e.c", "e.cell", F.when(F.col("e.cell") % 2 == 1, F.col("e.x")).alias("v"))
     return written(rows.groupBy("c", "cell", "v").agg(F.count("*").alias("n")), "brackets")
 
 
