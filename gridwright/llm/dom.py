@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from html import unescape
 
@@ -15,6 +16,8 @@ _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template svg math head title textarea select option button iframe object canvas audio video map".split())
 RAW = frozenset("script style textarea title".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())  # what may stand in head
+NESTED = frozenset("svg math template object".split())  # of the dropped elements, those that may hold their own kind
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
@@ -65,8 +68,29 @@ def attribute_groups(attributes: str) -> tuple[int, int]:
     return bits, label
 
 
+class _Closed:
+    """Is an element that begins at a place closed later? One that cannot hold its own kind must be before the next begins."""
+
+    def __init__(self, html: str):
+        self.html, self.places = html, {}
+
+    def __call__(self, name: str, position: int) -> bool:
+        if name not in self.places:
+            found = [(m.start(), m[1]) for m in re.finditer(rf"<(/?){name}(?=[\s/>])", self.html, re.I)]
+            self.places[name] = [p for p, x in found if not x], [p for p, x in found if x]
+        begins, ends = self.places[name]
+        end = bisect_left(ends, position)
+        if end == len(ends):
+            return False
+        begin = bisect_left(begins, position)
+        return name in NESTED or begin == len(begins) or ends[end] < begins[begin]
+
+
 class Page:
-    """Nodes in page order; node 0 is the page. Of each: parent, end of its subtree, depth, tag, groups of its own and of
+    """A dropped element (a button, say) that is not closed ends where a block begins or ends; ``head`` also at the first tag
+    or text that cannot stand in it; any of them with the block around it.
+
+    Nodes in page order; node 0 is the page. Of each: parent, end of its subtree, depth, tag, groups of its own and of
     all above, label, and for runs of text the text, its link characters and whether it is the first of its block."""
 
     __slots__ = ("parent", "end", "depth", "tag", "groups", "above", "label", "text", "linked")
@@ -76,7 +100,8 @@ class Page:
         self.groups, self.above, self.label, self.text, self.linked = [0], [0], [-1], [""], [0]
         names, nodes = ["#page"], [0]  # open block elements
         run: list[str] = []
-        linked, link, dropped = 0, 0, []
+        linked, link, dropped, inner, loose = 0, 0, [], [], False  # inner: blocks opened in what is dropped
+        closed = _Closed(html)
         position, size = 0, len(html)
 
         def flush():
@@ -100,6 +125,8 @@ class Page:
         while position < size:
             match = _TOKEN.search(html, position)
             begin = match.start() if match else size
+            if dropped == ["head"] and html[position:begin].strip():
+                dropped = []
             if begin > position and not dropped:
                 piece = html[position:begin]
                 if match is None and (cut := piece.rfind("<")) >= 0 and re.match(r"<[a-zA-Z/!]", piece[cut:]):
@@ -115,20 +142,32 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if dropped == ["head"] and not slash and name not in HEAD:
+                dropped = []
             if name in DROPPED:
                 if slash:
                     if name in dropped:
-                        del dropped[dropped.index(name) :]
+                        del dropped[len(dropped) - 1 - dropped[::-1].index(name) if name in NESTED else dropped.index(name) :]
+                        if not dropped:
+                            inner, loose = [], False
                 elif not attributes.endswith("/"):
                     if name in RAW:
                         ends = re.compile(rf"</{name}\s*>", re.I).search(html, position)
                         position = ends.end() if ends else size
                     elif name != "option":
-                        dropped.append(name)
+                        sure = name == "head" or closed(name, position)
+                        if sure or not dropped:
+                            dropped.append(name)
+                            loose = not sure
                 continue
             if dropped:
-                if name == "body":
-                    dropped.clear()
+                block = name in BLOCKS
+                if block and slash and name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                elif block and not slash and not loose and name != "body":
+                    inner.append(name)
+                if name == "body" or block and (loose or slash and name in names and name not in inner):
+                    dropped, inner, loose = [], [], False
                 else:
                     continue
             if name == "a":
