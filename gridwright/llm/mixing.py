@@ -2,8 +2,8 @@
 
 A document of source s is repeated a Poisson-distributed number of times; the mean is the source's target share of the
 mixed rows over its present share, ``weight * total / rows``. The number comes from inverting the distribution at a
-uniform number hashed from the seed and the document, so retries and partitions change nothing. Copies are then dealt
-over all partitions by a hash and ordered by it within each: a global shuffle.
+uniform number hashed from the seed, the document's id and its text, so retries and partitions change nothing. Copies are
+then dealt over all partitions by a hash and ordered by it within each: a global shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def document_key() -> Column:
+    """The md5 of a document's id and text, null parts as the text ``null``."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text")]))
+
+
 def _distribution(mean: float) -> list[float]:
     """P(count <= k) for k = 0, 1, ... up to where no 52-bit number lies above."""
     out, total, k = [], 0.0, 0
@@ -66,17 +71,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: int |
     orders the shuffle) besides all columns of ``docs``; a column of one of these names is replaced.
 
     ``rows``: expected rows of the result, by default as many as there are. A source with a weight of 0 gives nothing.
-    Repeated rows and rows of one doc_id are drawn alike. A null doc_id, text or source is a value like any other. An empty
-    table gives an empty table.
+    Rows of one doc_id with different texts are drawn apart, whether the id is null or not; rows that repeat id and text are
+    drawn alike. A null doc_id, text or source is a value like any other. An empty table gives an empty table.
     """
     rates = source_rates(docs, weights, rows)
     salted = rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     names = [c for c in docs.columns if c not in ("copies", "copy", "position")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_pick", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_key", document_key())
+    kept = kept.withColumn("_pick", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
     drawn = kept.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_pick") == F.col("_salt")))
-    u = uniform(F.lit(seed), F.col("doc_id"))
+    u = uniform(F.lit(seed), F.col("_key"))
     drawn = drawn.withColumn("_u", u).withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
     copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    copies = copies.withColumn("position", uniform(F.lit(seed), F.lit("shuffle"), F.col("doc_id"), F.col("copy")))
+    copies = copies.withColumn("position", uniform(F.lit(seed), F.lit("shuffle"), F.col("_key"), F.col("copy")))
     spread = copies.select(*names, "copies", "copy", "position").repartition(F.col("position"))
     return spread.sortWithinPartitions("position", "doc_id", "copy")

@@ -34,12 +34,13 @@ steps AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k)),
 cdfs AS (SELECT source, list(least(cdf, 1.0) ORDER BY k) AS cdf FROM steps GROUP BY source),
+keyed AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(text, 'null')) AS key FROM documents),
 drawn AS (
-  SELECT d.*, len(list_filter(c.cdf, lambda x: x <= CAST(CAST('0x' || substr(md5('1|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0)) AS copies
-  FROM documents d JOIN cdfs c ON d.source IS NOT DISTINCT FROM c.source),
+  SELECT d.*, len(list_filter(c.cdf, lambda x: x <= CAST(CAST('0x' || substr(md5('1|' || d.key), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0)) AS copies
+  FROM keyed d JOIN cdfs c ON d.source IS NOT DISTINCT FROM c.source),
 copied AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, CAST(copies AS INTEGER) AS copies, CAST(copy AS INTEGER) AS copy,
-  CAST(CAST('0x' || substr(md5('1|shuffle|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(copy AS VARCHAR)), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS position
+  CAST(CAST('0x' || substr(md5('1|shuffle|' || key || '|' || CAST(copy AS VARCHAR)), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS position
 FROM copied
 """
 
