@@ -246,16 +246,16 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFra
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored); also k,
-    a hash of the text.
+    a 64-bit hash of the text, which names the texts of one id (null ids share one).
 
     Rows link if ``100 * intersection >= percent * union`` of their sets of distinct word shingles (five words; a text of
     fewer words is one shingle). A null or empty text has an empty set and no links: its component is its own id. Repeated
     rows share their class. A null id counts as larger than any other; a component of null ids alone is null. kept:
     doc_id is component_id. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("k"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("k"))
     cut = layout(percent)
-    sketch = stored(docs.mapInArrow(lambda it: _sketch(it, cut), "doc_id bigint, k int, n_shingles bigint, cls binary, id bigint, sig binary"), "sketch")
+    sketch = stored(docs.mapInArrow(lambda it: _sketch(it, cut), "doc_id bigint, k bigint, n_shingles bigint, cls binary, id bigint, sig binary"), "sketch")
     classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("id").alias("id"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")  # id: the first half of the digest
     found = classes.select("id", "sig").mapInArrow(lambda it: _postings(it, cut), "key bigint, id bigint")
@@ -302,7 +302,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one is left in each component: the one of the smallest id.
     Of rows that repeat an id and text, one is left; rows with a null id fall to any row with an id, else they stay."""
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.hash("text").alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("h"))
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id", "k").distinct()
     gone = stored(gone, "gone")
     again = stored(rows.groupBy("d", "h").count().where("count > 1").select(F.col("d").alias("doc_id"), F.col("h").alias("k")), "again")
