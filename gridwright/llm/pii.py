@@ -21,6 +21,7 @@ from gridwright.llm.storage import stored
 KINDS = ("email", "ip", "card", "phone")
 MARK = "\ue000"
 ACCEPT = 0.9
+RUN = 256
 
 # kind, pattern, what a text must hold. Possessive forms and look-behinds change no match: they keep long runs linear.
 BASE = (
@@ -46,9 +47,19 @@ def _found(text: str, kind: str, pattern: str, need: str, base: bool) -> Column:
     return F.when(F.col(text).contains(need) if need else F.col(text).rlike("[0-9]"), parts)
 
 
+def _running(start: str, values: str, kind: str, merge: str) -> str:
+    """SQL: ``start`` merged with the values before each place. Runs of ``RUN`` values are folded by themselves, then their
+    results, so that an array of n values copies n * (RUN + n / RUN**2) elements rather than the square of n."""
+    fold = lambda xs: f"aggregate({xs}, cast(array({start}) as array<{kind}>), (a, n) -> concat(a, array({merge.format('element_at(a, -1)', 'n')})))"
+    inner = f"transform(sequence(0, cast((size(vs) - 1) div {RUN} as int)), i -> {fold(f'slice(vs, i * {RUN} + 1, {RUN})')})"
+    bases = fold("transform(runs, r -> element_at(r, -1))")
+    whole = f"flatten(zip_with(runs, slice({bases}, 1, size(runs)), (r, b) -> transform(slice(r, 1, size(r) - 1), x -> {merge.format('b', 'x')})))"
+    return f"transform(transform(array({values}), vs -> {inner}), runs -> {whole})[0]"
+
+
 def _spans(parts: str, kind: str, base: bool) -> str:
     """SQL: odd parts are matches; their places come from running lengths."""
-    at = f"aggregate(transform({parts}, p -> char_length(p)), cast(array(0) as array<int>), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    at = _running("0", f"transform({parts}, p -> char_length(p))", "int", "{0} + {1}")
     return f"""if(coalesce(size({parts}), 0) < 2, cast(array() as array<struct<kind:int,s:int,e:int,m:string,before:string,after:string,base:boolean>>),
       transform(filter(transform(zip_with({parts}, {at}, (p, o) -> named_struct('p', p, 'o', o)), (x, i) -> named_struct('i', i, 'p', x.p, 'o', x.o)), x -> x.i % 2 = 1 and x.p is not null),
         x -> named_struct('kind', {KINDS.index(kind)}, 's', x.o, 'e', x.o + char_length(x.p), 'm', x.p,
@@ -169,6 +180,25 @@ _JOIN = "array_join(transform({0}, c -> concat(element_at(array('email', 'ip', '
 _ORDERED = "array_sort({0}, (a, b) -> case when a.s <> b.s then if(a.s < b.s, -1, 1) when a.kind <> b.kind then if(a.kind < b.kind, -1, 1) else if(a.e < b.e, -1, if(a.e > b.e, 1, 0)) end)"
 
 
+def _apart() -> str:
+    """SQL: the spans of ``extra`` that overlap none of ``base``, ordered. In the order of starts, a span overlaps one of
+    ``base`` if the largest end before it lies beyond its start, or the least start after it before its end."""
+    both = "concat(transform(base, c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e, 'b', true)), transform(extra, c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e, 'b', false)))"
+    before = _running("-1", "transform(xs, c -> if(c.b, c.e, -1))", "int", "greatest({0}, {1})")
+    after = _running("2147483647", "reverse(transform(xs, c -> if(c.b, c.s, 2147483647)))", "int", "least({0}, {1})")
+    marked = f"zip_with(xs, zip_with({before}, reverse({after}), (x, y) -> named_struct('x', x, 'y', y)), (c, o) -> named_struct('c', c, 'o', o))"
+    free = f"filter({marked}, x -> not x.c.b and x.o.x <= x.c.s and x.o.y >= x.c.e)"
+    return f"transform(array({_ORDERED.format(both)}), xs -> transform({free}, x -> named_struct('kind', x.c.kind, 's', x.c.s, 'e', x.c.e)))[0]"
+
+
+# from left to right, the first of overlapping spans; by runs, so that long arrays are not copied for each of their spans
+_FIRST = f"""flatten(aggregate(transform(sequence(0, cast((size(extra) - 1) div {RUN} as int)), i -> slice(extra, i * {RUN} + 1, {RUN})),
+  named_struct('last', -1, 'runs', cast(array() as array<array<struct<kind:int,s:int,e:int>>>)),
+  (acc, xs) -> transform(array(aggregate(xs, named_struct('last', acc.last, 'run', cast(array() as array<struct<kind:int,s:int,e:int>>)),
+      (r, c) -> if(r.last > c.s, r, named_struct('last', c.e, 'run', concat(r.run, array(c)))))),
+    r -> named_struct('last', r.last, 'runs', concat(acc.runs, array(r.run))))[0]).runs)"""
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of (doc_id, text).
 
@@ -178,14 +208,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     found = stored(candidates(docs.select("doc_id", "text")), "candidates")
     weights = classifier(found)
-    plain = "transform(filter(found, c -> c.base), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))"
-    rows = found.select("doc_id", "found", F.expr(plain).alias("base"))
-    extra = f"filter(found, c -> not c.base and c.v1 >= 0 and not exists(base, b -> b.s < c.e and c.s < b.e) and {_accepted(weights)})"
-    rows = rows.withColumn("extra", F.expr(f"transform({extra}, c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))"))
-    rows = rows.withColumn("extra", F.expr(_ORDERED.format("extra")))
-    # from left to right, the first of overlapping ones
-    first = "aggregate(extra, cast(array() as array<struct<kind:int,s:int,e:int>>), (acc, c) -> if(size(acc) > 0 and element_at(acc, -1).e > c.s, acc, concat(acc, array(c))))"
-    rows = rows.withColumn("extra", F.expr(f"if(size(extra) < 2, extra, {first})"))
+    span = "transform(filter(found, c -> {0}), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))"
+    rows = found.select("doc_id", F.expr(span.format("c.base")).alias("base"), F.expr(span.format(f"not c.base and c.v1 >= 0 and {_accepted(weights)}")).alias("extra"))
+    rows = rows.withColumn("extra", F.expr(f"if(size(extra) = 0, extra, {_apart()})"))
+    rows = rows.withColumn("extra", F.expr(f"if(size(extra) < 2, extra, {_FIRST})"))
     rows = rows.withColumn("base", F.expr(_ORDERED.format("base"))).withColumn("every", F.expr(_ORDERED.format("concat(base, extra)")))
     counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(

@@ -3,6 +3,7 @@ import math
 import os
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 
 import fixtures as fx
@@ -100,6 +101,16 @@ def test_poisson_counts_and_weights(spark):
     assert all(1 <= r.copy <= r.copies for r in rows)
 
 
+def test_mixing_draws_texts_of_one_id_apart(spark):
+    """A third of the rows has no id and the rate is below one: neither all go nor all stay, and they spread over places."""
+    docs = spark.range(3_000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 2 = 0, 'a', 'b') as source", "concat('text ', id) as text")
+    rows = mixing.mix(docs, {"a": 0.2, "b": 0.8}).collect()
+    none = [r for r in rows if r.doc_id is None]
+    for source, rate in (("a", 0.4), ("b", 1.6)):
+        assert abs(sum(r.source == source for r in none) - 500 * rate) < 5 * math.sqrt(500 * rate)
+    assert len({r.position for r in rows}) == len(rows)
+
+
 def test_mixing_is_repeatable_and_shuffled(spark):
     docs = spark.range(500).selectExpr("id as doc_id", "concat('s', id % 3) as source", "'x' as text")
     a, b = (sorted((r.doc_id, r.copy, r.position) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(7)))
@@ -264,3 +275,76 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
             docs = cp.stored(stage(spark, docs, str(tmp_path)), f"awkward-{name}")
             if name != "mixing":
                 assert docs.columns == start.columns
+
+
+# unclosed markup
+
+
+def page_text(html):
+    return "|".join(t for t in dom.Page(html).text if t)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>t</title><p>Article one.</p><p>More.</p></html>", "Article one.|More."),
+        ("<html><head><meta charset=x>Loose text<p>More.</p>", "Loose text|More."),
+        ("<head><script>x</script><style>y</style></head><body><p>A</p>", "A"),
+        ("<head><noscript><p>gone</p></noscript><svg><p>gone</p></svg><p>A</p>", "A"),
+        ("<p>Start.</p><button>Go<p>All the rest</p>", "Start.|All the rest"),
+        ("<div><video src=x>no video</div><p>Rest</p>", "Rest"),
+        ("<p>A</p><button>Go<p>Rest</p><button>Go</button><p>End</p>", "A|Rest|End"),
+        ("<div><select><option>x<option>y</div><p>Rest</p><select><option>z</select>", "Rest"),
+        ("<p>A <button><div>menu</div></button> b</p>", "A b"),
+        ("<noscript><div><p>gone</p></div></noscript><p>A</p>", "A"),
+        ("<object><object>gone</object>gone</object><p>A</p>", "A"),
+        ("<svg><text>gone</text><p>A</p>", "A"),
+        ("<p>A</p><audio>", "A"),
+        ("", ""),
+    ],
+)
+def test_unclosed_elements_end_at_blocks(html, text):
+    assert page_text(html) == text
+
+
+def test_many_unclosed_elements_take_linear_time():
+    begun = time.time()
+    assert page_text("<button>Go<p>x</p>" * 50_000).count("x") == 50_000
+    assert time.time() - begun < 20
+
+
+# personal data in long texts
+
+
+def test_personal_data_of_a_text_with_many_numbers(spark):
+    """200,000 numbers, among them mails, addresses and numbers that overlap others, in seconds; places by Python."""
+    parts = [("%d" % (i * 7919 % 100_000)) if i % 50 else ("a%d@b.com" % i if i % 100 else "10.1.2.%d" % (i % 256)) for i in range(200_000)]
+    text = " x ".join(parts)
+    begun = time.time()
+    got = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - begun < 120
+    want, at = [], 0
+    for i, part in enumerate(parts):
+        if i % 50 == 0:
+            want.append(f"{'email' if i % 100 else 'ip'}:{at}:{at + len(part)}")
+        at += len(part) + 3
+    assert got.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and (got.n_email, got.n_ip) == (2_000, 2_000)
+
+
+def test_added_spans_are_apart(spark):
+    """The two array steps against plain loops: spans clear of the base ones, then the first of overlapping ones."""
+    from pyspark.sql import functions as F
+
+    r = fx.rng()
+    for n in (0, 1, 3, 700):
+        draw = lambda m: [(r.randrange(4), s, s + r.randint(1, 9)) for s in (r.randrange(6 * n + 1) for _ in range(m))]  # noqa: B023, E731
+        base, extra = draw(n // 2), draw(n)
+        df = spark.createDataFrame([(base, extra)], "base array<struct<kind:int,s:int,e:int>>, extra array<struct<kind:int,s:int,e:int>>")
+        df = df.withColumn("extra", F.expr(f"if(size(extra) = 0, extra, {pii._apart()})"))
+        got = [tuple(x) for x in df.withColumn("extra", F.expr(f"if(size(extra) < 2, extra, {pii._FIRST})")).first().extra]
+        want, last = [], -1
+        for k, s, e in sorted((x for x in extra if not any(b[1] < x[2] and x[1] < b[2] for b in base)), key=lambda x: (x[1], x[0], x[2])):
+            if s >= last:
+                want.append((k, s, e))
+                last = e
+        assert got == want
