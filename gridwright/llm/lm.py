@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.storage import stored
+from gridwright.llm.storage import discard, stored
 from gridwright.llm.textblocks import U, blocks, held_out_ids, lowered, mix, prefix_sums, span_hash, text_hash, words
 
 #: Occurrences from which on an n-gram has an arc.
@@ -365,24 +365,31 @@ def fit_weights(texts: DataFrame):
     maps = [_bitmaps(pairs, buckets)]
     triples = _repeated(texts, 3, buckets, spark.sparkContext.broadcast(maps[0]))
     maps.append(_bitmaps(triples, buckets))
-    # pairs: probability of the arc and of its word at the root
+    # pairs: probability of the arc and of its word at the root; the side that has a key once is hashed, so nothing is sorted
+    once = lambda df: df.hint("shuffle_hash")
     heads = every.select(F.col("k").alias("a"), F.col("n").alias("c"))
     tails = every.select(F.col("k").alias("b"), ((F.col("n") + 1) / F.lit(bottom)).alias("low"))
-    pairs = pairs.join(heads, "a").join(tails, "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
+    found = pairs
+    pairs = found.join(once(heads), "a").join(once(tails), "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
     pairs = _kept(pairs, "pairs")
+    discard(found)
     fail1 = _kept(pairs.groupBy("a").agg(_rest("p", "low").alias("fail")), "fail1")
+    words = _kept(every.join(once(fail1.select(F.col("a").alias("k"), "fail")), "k", "left").select("k", "n", F.coalesce("fail", F.lit(0.0)).alias("fail")), "fails")
+    discard(every)
     heads = pairs.select(F.col("k").alias("a"), F.col("n").alias("c"))
     tails = pairs.select(F.col("k").alias("b"), F.col("p").alias("low"))
-    triples = triples.join(heads, "a").join(tails, "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
+    found = triples
+    triples = found.join(once(heads), "a").join(once(tails), "b").select("k", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "low")
     triples = _kept(triples, "triples")
+    discard(found)
     fail2 = _kept(triples.groupBy("a").agg(_rest("p", "low").alias("fail")), "fail2")
     beyond = F.log10("p") - F.log10("low") - F.col("fail")
-    two = pairs.join(fail1, "a").select("k", "n", beyond.alias("e")).join(fail2.select(F.col("a").alias("k"), "fail"), "k", "left")
-    two = two.select("k", "n", (F.col("e") + F.coalesce("fail", F.lit(0.0))).alias("e"))
-    two = _kept(two, "two")
-    three = _kept(triples.join(fail2, "a").select("k", "n", beyond.alias("e")), "three")
+    three = _kept(triples.join(once(fail2), "a").select("k", "n", beyond.alias("e")), "three")
+    discard(triples)
+    two = pairs.join(once(fail1), "a").select("k", "n", beyond.alias("e")).join(once(fail2.select(F.col("a").alias("k"), "fail")), "k", "left")
+    two = _kept(two.select("k", "n", (F.col("e") + F.coalesce("fail", F.lit(0.0))).alias("e")), "two")
+    discard(pairs, fail1, fail2)
     least = max(LEAST, math.ceil(SHARE * total))
-    words = _kept(every.join(fail1.select(F.col("a").alias("k"), "fail"), "k", "left").select("k", "n", F.coalesce("fail", F.lit(0.0)).alias("fail")), "fails")
     # the begin mark is a history only: it has a failure arc and no place at the root
     root = F.when(F.col("k") == begin, 0.0).otherwise(F.log10(F.col("n") + 1.0) - F.lit(math.log10(bottom))).alias("root")
     held = _hot(words.select("k", "n", root, "fail").where((F.col("n") >= _word_least(total)) | (F.col("k") == begin)), 0, "root", "fail")
@@ -495,6 +502,7 @@ def language_scores(docs: DataFrame, held_out) -> DataFrame:
     sums = tokens.join(seen, "k", "left").groupBy("k1", "k2").agg(F.sum(logs).alias("more"), F.sum(fails).alias("fails"), F.sum("m").alias("all"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("hit"))
     grams = _rare_sums(keyed, rest, cast).select("k1", "more", F.lit(0).alias("c")).unionAll(found.select("k1", F.lit(0.0), F.lit(1)))
     grams = _kept(grams.groupBy("k1").agg((F.sum("more") / F.sum("c")).alias("grams")), "gram_sums")
+    discard(rest)
     # of repeated rows, each has its share of the sums
     out = found.drop("times").withColumn("own", F.col("n_tokens") - F.col("known")).drop("rare").join(sums, ["k1", "k2"], "left").join(grams, "k1")
     share = F.when(F.col("own") > 0, F.col("own") / F.col("all")).otherwise(F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gridwright.plans.storage import scratch_path
+from gridwright.plans.storage import scratch_path, shared_dir
 
 
 def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
@@ -15,3 +15,14 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote. Only after the last job that reads them, and what comes after is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = hadoop(folder)
+            if hadoop(shared_dir(spark)).getName() == path.getParent().getName():
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
