@@ -67,13 +67,22 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sums of their counts."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[head], order[head], np.add.reduceat(counts[order], head, dtype=counts.dtype)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
     """Counts of the keys of all blocks of a task, summed before they are passed on."""
 
     def summed(parts):
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        some, place = np.unique(keys, return_inverse=True)
-        return some, np.bincount(place, counts, len(some)).astype(np.int64)
+        keys, _, counts = _grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return keys, counts
 
     def batch_of(keys, counts):
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "n"])
@@ -260,7 +269,9 @@ def _bitmaps(table: DataFrame, buckets: int) -> Bitmaps:
 
 def _dealt(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(bucket, columns of its keys) for each bucket that has some; the order within it stays."""
-    where = _bucket(keys, buckets)
+    if not len(keys):
+        return
+    where = _bucket(keys, buckets).astype(np.min_scalar_type(buckets))  # short numbers are sorted by digits
     order = np.argsort(where, kind="stable")
     some, begin = np.unique(where[order], return_index=True)
     ends = np.append(begin[1:], len(order))
@@ -296,8 +307,8 @@ def _repeated(texts: DataFrame, order: int, buckets: int, parts) -> DataFrame:
     def count(batches):
         def summed(held):
             k, a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            some, first, place = np.unique(k, return_index=True, return_inverse=True)
-            return some, a[first], b[first], np.bincount(place, n, len(some)).astype(np.uint32)
+            some, first, n = _grouped(k, n)
+            return some, a[first], b[first], n
 
         def rows(k, a, b, n):
             return _packed(list(_dealt(k, buckets, [a, b, n])), ["a", "b", "n"])
@@ -322,8 +333,7 @@ def _repeated(texts: DataFrame, order: int, buckets: int, parts) -> DataFrame:
 
     def total(table: pa.Table) -> pa.Table:
         a, b, n = (_column(table, c, kind) for c, kind in (("a", U), ("b", U), ("n", np.uint32)))
-        some, first, place = np.unique(_joined(a, b), return_index=True, return_inverse=True)
-        n = np.bincount(place, n, len(some)).astype(np.int64)
+        some, first, n = _grouped(_joined(a, b), n.astype(np.int64))
         often = n >= LEAST
         return pa.table({"k": some[often].view(np.int64), "a": a[first[often]].view(np.int64), "b": b[first[often]].view(np.int64), "n": n[often]})
 
@@ -402,33 +412,44 @@ def _word_least(total: int) -> int:
     return max(2, math.ceil(WORD_SHARE * total))
 
 
-def _rare_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
-    """(k1, more): the weights, summed, of the n-grams of the texts that are not held in memory."""
+def _gram_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
+    """(k1, more): the weights, summed, of the n-grams of the texts. Those not held in memory are met by buckets; the sum of
+    those held travels with a bucket of its text."""
     buckets = cast.value.buckets
 
     def occur(batches):
-        def rows(held):
+        def rows(held, sums):
             keys, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = []
+            texts, more = (np.concatenate(x) for x in zip(*sums, strict=True))
+            out = {}
             for b, (k, d) in _dealt(keys, buckets, [keys, at]):
                 ids, place = np.unique(d, return_inverse=True)
-                out.append((b, [k, ids, place.astype(np.uint32)]))
-            return _packed(out, ["keys", "ids", "place"])
+                out[b] = [k, ids, place.astype(np.uint32), texts[:0], more[:0]]
+            for b, both in _dealt(texts.view(U), buckets, [texts, more]):
+                out[b] = [*out.get(b, [keys[:0], at[:0], np.zeros(0, np.uint32)])[:3], *both]
+            return _packed(sorted(out.items()), ["keys", "ids", "place", "texts", "sums"])
 
-        held, size = [], 0
+        held, sums, size = [], [], 0
         for batch in batches:
             name = batch.column("k1").to_numpy()
             for lo, hi, data, offs in blocks(batch.column("text")):
-                for (k, _, _, row), (top, _), may in zip(_grams(data, offs), cast.value.hot, cast.value.maps, strict=True):
+                more = np.zeros(hi - lo)
+                for (k, _, _, row), (top, e), may in zip(_grams(data, offs), cast.value.hot, cast.value.maps, strict=True):
                     k, row = k[ok := may.has(k)], row[ok]
-                    k, row = k[ok := _lookup(top, k) < 0], row[ok]
+                    at = _lookup(top, k)
+                    there = at >= 0
+                    more += np.bincount(row[there], e[at[there]], hi - lo)
+                    k, row = k[~there], row[~there]
                     held.append((k, name[lo:hi][row]))
                     size += len(k)
+                some = np.flatnonzero(more)
+                sums.append((name[lo:hi][some], more[some]))
+                size += len(some)
                 if size > _HELD:
-                    yield rows(held)
-                    held, size = [], 0
+                    yield rows(held, sums)
+                    held, sums, size = [], [], 0
         if size:
-            yield rows(held)
+            yield rows(held, sums)
 
     def pack(batches):
         for batch in batches:
@@ -440,7 +461,7 @@ def _rare_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
         k, e = _column(right, "k", U), _column(right, "e", np.float64)
         order = np.argsort(k)
         k, e = k[order], e[order]
-        names, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        names, sums = [_column(left, "texts", np.int64)], [_column(left, "sums", np.float64)]
         for i in range(left.num_rows):
             keys, ids, place = (np.frombuffer(left.column(c)[i].as_py(), kind) for c, kind in (("keys", U), ("ids", np.int64), ("place", np.uint32)))
             at = _lookup(k, keys)
@@ -451,7 +472,7 @@ def _rare_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
         more = np.bincount(where, np.concatenate(sums), len(some))
         return pa.table({"k1": some[more != 0], "more": more[more != 0]})
 
-    dealt = docs.select("k1", "text").mapInArrow(occur, "bucket int, keys binary, ids binary, place binary")
+    dealt = docs.select("k1", "text").mapInArrow(occur, "bucket int, keys binary, ids binary, place binary, texts binary, sums binary")
     weights = rest.mapInArrow(pack, "bucket int, k binary, e binary")
     return dealt.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(score, "k1 bigint, more double")
 
@@ -478,9 +499,6 @@ def language_scores(docs: DataFrame, held_out) -> DataFrame:
                 per = lambda rows, w=None: np.bincount(rows, w, hi - lo)  # noqa: B023, E731
                 n, seen = per(row[~mark]), per(row[known & ~mark])
                 base, log = per(row[known], root[at[known]]), per(row[known], (root + fail)[at[known]])
-                for (k, _, _, where), (top, e) in zip(_grams(data, offs), cast.value.hot, strict=True):
-                    place = _lookup(top, k)
-                    log = log + per(where[place >= 0], e[place[place >= 0]])
                 rare, where = token[~known & ~mark], row[~known & ~mark]
                 both, times = np.unique(np.stack([where.astype(U), rare], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), U), np.zeros(0, np.int64))
                 cuts = pa.array(np.searchsorted(both[:, 0], np.arange(hi - lo + 1).astype(U)).astype(np.int32))
@@ -500,7 +518,7 @@ def language_scores(docs: DataFrame, held_out) -> DataFrame:
     logs = F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(bottom))
     fails = F.col("m") * F.coalesce("fail", F.lit(0.0))
     sums = tokens.join(seen, "k", "left").groupBy("k1", "k2").agg(F.sum(logs).alias("more"), F.sum(fails).alias("fails"), F.sum("m").alias("all"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("hit"))
-    grams = _rare_sums(keyed, rest, cast).select("k1", "more", F.lit(0).alias("c")).unionAll(found.select("k1", F.lit(0.0), F.lit(1)))
+    grams = _gram_sums(keyed, rest, cast).select("k1", "more", F.lit(0).alias("c")).unionAll(found.select("k1", F.lit(0.0), F.lit(1)))
     grams = _kept(grams.groupBy("k1").agg((F.sum("more") / F.sum("c")).alias("grams")), "gram_sums")
     discard(rest)
     # of repeated rows, each has its share of the sums
