@@ -140,7 +140,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 out.append((doc[i], key[i], spans))
         if out:
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "spans"])
 
 
@@ -153,10 +153,11 @@ _CUT = """array_join(transform(sequence(0, size(spans)), i -> substring(text, if
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, spans): the code points [s, e) that later repeats cover, for each text that has some. k: hash of text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("k"), "text")
+    """(doc_id, k, spans): the code points [s, e) that later repeats cover, for each text that has some. k: 64-bit hash of the
+    text, which names the texts of one id (null ids share one)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
     table = stored(
-        rows.mapInArrow(_lines, "doc_id bigint, k int, hashes array<bigint>, words array<smallint>, lengths array<int>, places array<int>, sizes array<tinyint>"),
+        rows.mapInArrow(_lines, "doc_id bigint, k bigint, hashes array<bigint>, words array<smallint>, lengths array<int>, places array<int>, sizes array<tinyint>"),
         "lines",
     )
     marks = table.select("doc_id", "k", "hashes", "words", F.explode(F.arrays_zip("places", "sizes")).alias("m"))
@@ -183,7 +184,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     both = pairs.join(first.hint("merge"), F.expr("d0 <=> d1 and k0 = k1")).drop("d0", "k0", "d1", "k1")
     later = arrays.select(F.col("doc_id").alias("d1"), F.col("k").alias("k1"), "hashes", "words", "lengths")
     both = both.join(later.hint("merge"), F.expr("doc_id <=> d1 and k = k1")).drop("d1", "k1")
-    runs = both.mapInArrow(_extend, "doc_id bigint, k int, spans array<struct<s:int,e:int>>")
+    runs = both.mapInArrow(_extend, "doc_id bigint, k bigint, spans array<struct<s:int,e:int>>")
     spans = runs.groupBy("doc_id", "k").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     return stored(spans.select("doc_id", "k", F.expr(_MERGE).alias("spans")), "spans")
 
@@ -198,7 +199,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     spans = repeated_spans(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.col("doc_id").cast("bigint").alias("d"), F.hash("text").alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("h"))
     spans = spans.select(F.col("doc_id").alias("d0"), F.col("k").alias("h0"), "spans")
     joined = rows.join(spans.hint("merge"), F.expr("d <=> d0 and h = h0"), "left")
     joined = joined.withColumn("cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(_CUT)))

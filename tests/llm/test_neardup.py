@@ -128,3 +128,12 @@ def test_layouts_miss_hardly_any_pair():
         cut, s = neardup.layout(percent), percent / 100
         shares = s**cut.chunk + cut.chunk * s ** (cut.chunk - 1) * (1 - s)
         assert (1 - shares) ** cut.chunks <= neardup.MISS and cut.most >= cut.values * (1 - s) + 4.5 * (cut.values * s * (1 - s)) ** 0.5
+
+
+def test_texts_of_one_short_hash_are_told_apart(spark):
+    """Two texts without an id whose 32-bit hashes are equal: the copy of a text with an id goes, the other stays."""
+    rows = [(None, "text number 38147"), (None, "text number 190994"), (1, "text number 38147")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where("doc_id is null").selectExpr("hash(text) as h").distinct().count() == 1
+    left = sorted((r.doc_id or 0, r.text) for r in without_near_duplicates(df).collect())
+    assert left == [(0, "text number 190994"), (1, "text number 38147")]
