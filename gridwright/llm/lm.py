@@ -10,21 +10,26 @@ its first word. The root gives every word ``(c + 1) / (N + V + 1)``.
 The automaton's score of a text is a sum over the words, pairs and triples that stand in it, each with a weight of its
 own: a word that of the root and of its failure arc; a pair what its arc gives beyond the failure and the root, and its
 own failure arc; a triple what its arc gives beyond the failure and the pair's arc. An n-gram without an arc weighs
-nothing. So texts are scored by joins with the tables of weights; no state is followed. Frequent words and n-grams are
-held in memory only to spare rows of the join. N-grams travel as packed arrays, by buckets of a hash; a bitmap a bucket
-(of bounded size, exact or not) leaves out most that occur once.
+nothing. So texts are scored by meeting the tables of weights; no state is followed. Frequent words and n-grams are
+held in memory only to spare what travels. Batches of texts ask the buckets of a hash for the rest, in one packed array a
+bucket, and each bucket answers with one sum a text; a bitmap a bucket (of bounded size, exact or not) leaves out most
+n-grams that occur once.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,10 @@ LEAST = 2
 SHARE, WORD_SHARE = 1e-6, 1e-7
 #: Tokens for each bucket of n-grams; bits of a bucket's bitmap, and of all bitmaps of an order, at most.
 BUCKET, BITS, ALL_BITS = 1 << 20, 1 << 20, 1 << 29
+#: Tokens for each bucket of weights that texts ask; a task holds the weights of one.
+ASKED = 1 << 22
+#: All texts are scored in rounds, a share of them in each, so that less of what they ask lies on disk at once.
+ROUNDS = 2
 DISCOUNT = 0.75
 END, BEGIN = text_hash(" end of text "), text_hash(" begin of text ")
 _BITS = 20
@@ -67,6 +76,31 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+class Places:
+    """``_lookup`` by the leading bits of the keys, for many keys of a hash: few steps through the table."""
+
+    def __init__(self, table: np.ndarray):
+        bits = min(24, max(1, len(table).bit_length()))
+        self.shift = U(64 - bits)
+        self.starts = np.searchsorted(table, np.arange(1 << bits, dtype=U) << self.shift)
+        self.table = np.append(table, U(0xFFFFFFFFFFFFFFFF))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.starts[(keys >> self.shift).astype(np.int64)]
+        got = self.table[at]
+        out = np.where(got == keys, at, -1)
+        left = np.flatnonzero(got < keys)
+        at, keys = at[left], keys[left]
+        while len(left):
+            at += 1
+            got = self.table[at]
+            hit, more = got == keys, got < keys
+            out[left[hit]] = at[hit]
+            left, at, keys = left[more], at[more], keys[more]
+        out[out == len(self.table) - 1] = -1
+        return out
+
+
 def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, a place of each, and the sums of their counts."""
     if not len(keys):
@@ -214,14 +248,17 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) * U(0xA24BAED4963EE407) + b)
 
 
-def _grams(data: np.ndarray, offs: np.ndarray):
-    """Per order (2, 3) of the n-grams of a block: key, first part, second part, row. A triple's parts are its pairs."""
-    token, row = _tokens(data, offs)
+def _grams(token: np.ndarray, row: np.ndarray, orders: tuple[int, ...] = (2, 3)):
+    """Per order of the n-grams of a block: key, first part, second part, row. A triple's parts are its pairs."""
     pair = _joined(token[:-1], token[1:])
     same = row[1:] == row[:-1]
-    both = same[1:] & same[:-1]
-    triple = (_joined(pair[:-1], pair[1:]), pair[:-1], pair[1:], row[2:])
-    return (pair[same], token[:-1][same], token[1:][same], row[1:][same]), tuple(x[both] for x in triple)
+    for order in orders:
+        if order == 2:
+            yield pair[same], token[:-1][same], token[1:][same], row[1:][same]
+        else:
+            both = same[1:] & same[:-1]
+            first, second = pair[:-1][both], pair[1:][both]
+            yield _joined(first, second), first, second, row[2:][both]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -316,7 +353,7 @@ def _repeated(texts: DataFrame, order: int, buckets: int, parts) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, _, data, offs in blocks(batch.column("text")):
-                k, a, b, _ = _grams(data, offs)[order - 2]
+                k, a, b, _ = next(_grams(*_tokens(data, offs), (order,)))
                 if parts is not None:
                     ok = parts.value.has(a) & parts.value.has(b)
                     k, a, b = k[ok], a[ok], b[ok]
@@ -357,7 +394,7 @@ def _hot(table: DataFrame, least: int, *names: str) -> list[np.ndarray]:
 class Weights:
     """What a task holds of the weights: all frequent ones, and bitmaps of the others."""
 
-    buckets: int
+    asked: int  # buckets of the other weights, which texts ask
     words: list  # keys, logarithms at the root, failure arcs
     hot: list  # by order: keys, weights
     maps: list  # by order
@@ -405,76 +442,187 @@ def fit_weights(texts: DataFrame):
     held = _hot(words.select("k", "n", root, "fail").where((F.col("n") >= _word_least(total)) | (F.col("k") == begin)), 0, "root", "fail")
     hot = [_hot(x, least, "e") for x in (two, three)]
     rest = two.where(F.col("n") < least).select("k", "e").unionAll(three.where(F.col("n") < least).select("k", "e"))
-    return total, types, Weights(buckets, held, hot, maps), words.where(F.col("k") != begin), rest
+    return total, types, Weights(1 + total // ASKED, held, hot, maps), words.where(F.col("k") != begin), rest
 
 
 def _word_least(total: int) -> int:
     return max(2, math.ceil(WORD_SHARE * total))
 
 
-def _gram_sums(docs: DataFrame, rest: DataFrame, cast) -> DataFrame:
-    """(k1, more): the weights, summed, of the n-grams of the texts. Those not held in memory are met by buckets; the sum of
-    those held travels with a bucket of its text."""
-    buckets = cast.value.buckets
-
-    def occur(batches):
-        def rows(held, sums):
-            keys, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            texts, more = (np.concatenate(x) for x in zip(*sums, strict=True))
-            out = {}
-            for b, (k, d) in _dealt(keys, buckets, [keys, at]):
-                ids, place = np.unique(d, return_inverse=True)
-                out[b] = [k, ids, place.astype(np.uint32), texts[:0], more[:0]]
-            for b, both in _dealt(texts.view(U), buckets, [texts, more]):
-                out[b] = [*out.get(b, [keys[:0], at[:0], np.zeros(0, np.uint32)])[:3], *both]
-            return _packed(sorted(out.items()), ["keys", "ids", "place", "texts", "sums"])
-
-        held, sums, size = [], [], 0
-        for batch in batches:
-            name = batch.column("k1").to_numpy()
-            for lo, hi, data, offs in blocks(batch.column("text")):
-                more = np.zeros(hi - lo)
-                for (k, _, _, row), (top, e), may in zip(_grams(data, offs), cast.value.hot, cast.value.maps, strict=True):
-                    k, row = k[ok := may.has(k)], row[ok]
-                    at = _lookup(top, k)
-                    there = at >= 0
-                    more += np.bincount(row[there], e[at[there]], hi - lo)
-                    k, row = k[~there], row[~there]
-                    held.append((k, name[lo:hi][row]))
-                    size += len(k)
-                some = np.flatnonzero(more)
-                sums.append((name[lo:hi][some], more[some]))
-                size += len(some)
-                if size > _HELD:
-                    yield rows(held, sums)
-                    held, sums, size = [], [], 0
-        if size:
-            yield rows(held, sums)
+#: Rows that travel: the weights of a bucket's n-grams and words, what a batch of texts asks of a bucket, the batch itself.
+_WEIGHTS, _WORDS, _ASK, _ASK_WORDS, _TEXTS = range(5)
+_ROW = "bucket int, kind int, batch bigint, a binary, b binary, c binary, d binary"
+_TEXT = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("held_out", "i1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(bucket, kind, batch, up to four arrays) as rows of ``_ROW``."""
+    head = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+    packed = [pa.array([np.ascontiguousarray(r[i]).tobytes() if i < len(r) else b"" for r in rows], pa.binary()) for i in range(3, 7)]
+    return pa.RecordBatch.from_arrays([*head, *packed], ["bucket", "kind", "batch", "a", "b", "c", "d"])
+
+
+def _steps(place: np.ndarray) -> np.ndarray:
+    """Rising places as steps of as few bytes as they need."""
+    steps = np.diff(place, prepend=0)
+    return steps.astype(np.min_scalar_type(int(steps.max(initial=0))))
+
+
+def _places(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, f"u{max(1, len(steps) // max(1, n))}"), dtype=np.int64)
+
+
+def _weight_rows(table: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """The columns of a table, its key first, packed by buckets."""
 
     def pack(batches):
+        def rows(held):
+            k, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _rows([(b, kind, 0, *columns) for b, columns in _dealt(k, buckets, [k, *rest])])
+
+        held, size = [], 0
+        for batch in batches:
+            k, *rest = (c.to_numpy() for c in batch.columns)
+            held.append((k.view(U), *rest))
+            size += len(k)
+            if size > _HELD // 4:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
+
+    return table.mapInArrow(pack, _ROW)
+
+
+def _asked(docs: DataFrame, cast, bottom: float) -> DataFrame:
+    """Batches of texts: what the weights held in memory give them, and the n-grams and words each asks of the buckets."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = cast.value
+        held, root, fail = weights.words
+        word_at, gram_at = Places(held), [Places(top) for top, _ in weights.hot]
+        task, done = TaskContext.get().partitionId(), 0
+
+        def rows(texts, grams, rare):
+            texts = np.concatenate(texts)
+            # named after its content and place, so that answers to other batches of a repeated task are noticed
+            name = hashlib.blake2b(texts.tobytes() + f"{task} {done}".encode(), digest_size=8).digest()
+            name = int.from_bytes(name, "little", signed=True)
+            out = []
+            for kind, parts in ((_ASK, grams), (_ASK_WORDS, rare)):
+                keys, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(place, kind="stable")
+                for b, (k, at) in _dealt(keys[order], weights.asked, [keys[order], place[order]]):
+                    out.append((b, kind, name, k, _steps(at)))
+            out.append((name % weights.asked, _TEXTS, name, texts, np.array([len(out)])))
+            return _rows(out)
+
+        texts, grams, rare, size, first = [], [], [], 0, 0
         for batch in batches:
-            k, e = batch.column("k").to_numpy().view(U), batch.column("e").to_numpy()
-            if len(k):
-                yield _packed(list(_dealt(k, buckets, [k, e])), ["k", "e"])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, e = _column(right, "k", U), _column(right, "e", np.float64)
-        order = np.argsort(k)
-        k, e = k[order], e[order]
-        names, sums = [_column(left, "texts", np.int64)], [_column(left, "sums", np.float64)]
-        for i in range(left.num_rows):
-            keys, ids, place = (np.frombuffer(left.column(c)[i].as_py(), kind) for c, kind in (("keys", U), ("ids", np.int64), ("place", np.uint32)))
-            at = _lookup(k, keys)
-            more = np.bincount(place[at >= 0], e[at[at >= 0]], len(ids))
-            names.append(ids)
-            sums.append(more)
-        some, where = np.unique(np.concatenate(names), return_inverse=True)
-        more = np.bincount(where, np.concatenate(sums), len(some))
-        return pa.table({"k1": some[more != 0], "more": more[more != 0]})
-
-    dealt = docs.select("k1", "text").mapInArrow(occur, "bucket int, keys binary, ids binary, place binary, texts binary, sums binary")
-    weights = rest.mapInArrow(pack, "bucket int, k binary, e binary")
-    return dealt.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(score, "k1 bigint, more double")
+            ids, held_out = batch.column("doc_id"), batch.column("held_out")
+            no_id, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            held_out = pc.fill_null(pc.cast(held_out, pa.int8()), -1).to_numpy()
+            for lo, hi, data, offs in blocks(batch.column("text")):
+                token, row = _tokens(data, offs)
+                mark, at = token == U(BEGIN), word_at(token)
+                known = at >= 0
+                new = np.zeros(hi - lo, _TEXT)
+                new["doc_id"], new["no_id"], new["held_out"] = ids[lo:hi], no_id[lo:hi], held_out[lo:hi]
+                new["n"] = np.bincount(row[~mark], minlength=hi - lo)
+                new["known"] = np.bincount(row[known & ~mark], minlength=hi - lo)
+                # words that are not held count as unknown, until their bucket answers
+                lost = (new["n"] - new["known"]) * bottom
+                new["base"] = np.bincount(row[known], root[at[known]], hi - lo) - lost
+                new["score"] = np.bincount(row[known], (root + fail)[at[known]], hi - lo) - lost
+                other = ~known & ~mark
+                rare.append((token[other], (row[other] + first).astype(np.uint32)))
+                size += len(rare[-1][0])
+                for (k, _, _, where), find, (_, e), may in zip(_grams(token, row), gram_at, weights.hot, weights.maps, strict=True):
+                    k, where = k[ok := may.has(k)], where[ok]
+                    at = find(k)
+                    there = at >= 0
+                    new["score"] += np.bincount(where[there], e[at[there]], hi - lo)
+                    grams.append((k[~there], (where[~there] + first).astype(np.uint32)))
+                    size += len(grams[-1][0])
+                texts.append(new)
+                size += hi - lo
+                first += hi - lo
+                if size > _HELD // 2:
+                    yield rows(texts, grams, rare)
+                    texts, grams, rare, size, first, done = [], [], [], 0, 0, done + 1
+        if texts:
+            yield rows(texts, grams, rare)
+
+    return docs.mapInArrow(ask, _ROW)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket, weights first. Of what a batch asks, the sums by text of the weights there are; the batch goes on."""
+
+    class Table:
+        def __init__(self):
+            self.parts, self.places, self.columns = [], None, []
+
+        def add(self, *columns):
+            self.parts.append([np.frombuffer(c, kind) for c, kind in zip(columns, (U, np.float64, np.float64), strict=False)])
+
+        def find(self, keys):
+            """Which keys there are, and the columns of those."""
+            if self.places is None:
+                k, *rest = [np.concatenate(x) for x in zip(*self.parts, strict=True)] or [np.zeros(0, U)]
+                order = np.argsort(k)
+                self.places, self.columns, self.parts = Places(k[order]), [c[order] for c in rest], []
+            at = self.places(keys)
+            ok = at >= 0
+            return ok, [c[at[ok]] for c in self.columns]
+
+    now, grams, rare = None, Table(), Table()
+    for batch in batches:
+        out = []
+        for bucket, kind, name, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if bucket != now:
+                now, grams, rare = bucket, Table(), Table()
+            if kind == _WEIGHTS:
+                grams.add(a, b)
+            elif kind == _WORDS:
+                rare.add(a, b, c)
+            elif kind == _TEXTS:
+                out.append((bucket, kind, name, np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+            else:
+                keys = np.frombuffer(a, U)
+                ok, columns = (grams if kind == _ASK else rare).find(keys)
+                place = _places(b, len(keys))[ok]
+                head = np.flatnonzero(np.diff(place, prepend=-1))  # places rise
+                sums = [np.add.reduceat(x, head) if len(head) else x for x in columns]
+                hits = [np.diff(head, append=len(place)).astype(np.uint32)] if kind == _ASK_WORDS else []
+                out.append((bucket, kind, name, _steps(place[head]), *sums, *hits) if len(head) else (bucket, kind, name))
+        if out:
+            yield _rows(out)
+
+
+def _finished(total: int):
+    def finish(table: pa.Table) -> pa.Table:
+        """The texts of a batch with all answers, added in the order of the buckets: equal texts get equal sums."""
+        bucket, kind, _, a, b, c, d = (table.column(i).to_pylist() for i in range(7))
+        mine = [i for i, k in enumerate(kind) if k == _TEXTS]
+        asks = sorted((i for i, k in enumerate(kind) if k != _TEXTS), key=lambda i: (kind[i], bucket[i]))
+        if len(mine) != 1 or int(np.frombuffer(b[mine[0]], np.int64)[0]) != len(asks):
+            raise RuntimeError("a repeated task read its texts in another order: write the texts to files and score those")
+        text = np.frombuffer(a[mine[0]], _TEXT).copy()
+        for i in asks:
+            sums = np.frombuffer(b[i], np.float64)
+            at = _places(a[i], len(sums))
+            text["score"][at] += sums
+            if kind[i] == _ASK_WORDS:
+                text["base"][at] += sums
+                text["score"][at] += np.frombuffer(c[i], np.float64)
+                text["known"][at] += np.frombuffer(d[i], np.uint32)
+        return pa.table({
+            "doc_id": pa.array(text["doc_id"], mask=text["no_id"]), "held_out": pa.array(text["held_out"] > 0, mask=text["held_out"] < 0),
+            "n_tokens": text["n"], "n_known": text["known"], "train_tokens": np.full(len(text), total), "base_score": text["base"], "score": text["score"],
+        })
+
+    return finish
 
 
 def language_scores(docs: DataFrame, held_out) -> DataFrame:
@@ -487,49 +635,19 @@ def language_scores(docs: DataFrame, held_out) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out"))
     total, types, weights, counts, rest = fit_weights(docs.where(~F.col("held_out")))
     cast = docs.sparkSession.sparkContext.broadcast(weights)  # bounded: see SHARE, WORD_SHARE and ALL_BITS
-    keyed = docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, root, fail = cast.value.words
-        for batch in batches:
-            for lo, hi, data, offs in blocks(batch.column("text")):
-                token, row = _tokens(data, offs)
-                mark, at = token == U(BEGIN), _lookup(held, token)
-                known = at >= 0
-                per = lambda rows, w=None: np.bincount(rows, w, hi - lo)  # noqa: B023, E731
-                n, seen = per(row[~mark]), per(row[known & ~mark])
-                base, log = per(row[known], root[at[known]]), per(row[known], (root + fail)[at[known]])
-                rare, where = token[~known & ~mark], row[~known & ~mark]
-                both, times = np.unique(np.stack([where.astype(U), rare], axis=1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), U), np.zeros(0, np.int64))
-                cuts = pa.array(np.searchsorted(both[:, 0], np.arange(hi - lo + 1).astype(U)).astype(np.int32))
-                part = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays(
-                    [*part, *(pa.array(x, t) for x, t in ((n, pa.int64()), (seen, pa.int64()), (base, pa.float64()), (log, pa.float64()))), pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))],
-                    ["doc_id", "held_out", "k1", "k2", "n_tokens", "known", "base", "log", "rare", "times"],
-                )
-
-    found = _kept(
-        keyed.mapInArrow(run, "doc_id bigint, held_out boolean, k1 bigint, k2 bigint, n_tokens bigint, known bigint, base double, log double, rare array<bigint>, times array<bigint>"),
-        "scored",
-    )
-    tokens = found.select("k1", "k2", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("k1", "k2", F.col("t.rare").alias("k"), F.col("t.times").alias("m"))
-    seen = counts.where(F.col("n") < _word_least(total))
-    bottom = math.log10(total + types + 1)
-    logs = F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(bottom))
-    fails = F.col("m") * F.coalesce("fail", F.lit(0.0))
-    sums = tokens.join(seen, "k", "left").groupBy("k1", "k2").agg(F.sum(logs).alias("more"), F.sum(fails).alias("fails"), F.sum("m").alias("all"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("hit"))
-    grams = _gram_sums(keyed, rest, cast).select("k1", "more", F.lit(0).alias("c")).unionAll(found.select("k1", F.lit(0.0), F.lit(1)))
-    grams = _kept(grams.groupBy("k1").agg((F.sum("more") / F.sum("c")).alias("grams")), "gram_sums")
-    discard(rest)
-    # of repeated rows, each has its share of the sums
-    out = found.drop("times").withColumn("own", F.col("n_tokens") - F.col("known")).drop("rare").join(sums, ["k1", "k2"], "left").join(grams, "k1")
-    share = F.when(F.col("own") > 0, F.col("own") / F.col("all")).otherwise(F.lit(0.0))
-    more = F.coalesce(F.col("more") * share, F.lit(0.0))
-    fail = F.coalesce(F.col("fails") * share, F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.round(F.col("hit") * share), F.lit(0.0)).cast("bigint")).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("log") + more + fail + F.col("grams")).alias("score"),
-    )
+    rare = counts.where(F.col("n") < _word_least(total)).select("k", F.log10(F.col("n") + F.lit(1.0)).alias("log"), "fail")
+    packed = _kept(_weight_rows(rest, _WEIGHTS, weights.asked).unionAll(_weight_rows(rare, _WORDS, weights.asked)), "packed")
+    discard(rest, counts)
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    scores = []
+    for i in range(ROUNDS):
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i)
+        rows = _asked(some, cast, math.log10(total + types + 1)).unionAll(packed)
+        answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answered, _ROW)
+        scores.append(_kept(answers.groupBy("batch").applyInArrow(_finished(total), schema), "scores"))
+    discard(packed)
+    cast.destroy()
+    return reduce(DataFrame.unionAll, scores)
 
 
 def language_model(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import fixtures as fx
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridwright.llm import lm, quality, toxicity
 from gridwright.llm.textblocks import blocks, span_hash, prefix_sums, text_hash, words
@@ -190,6 +191,53 @@ def test_rare_words_come_from_the_count_table(spark, monkeypatch):
     assert sorted(map(key, lm.language_model(df).collect())) == want
 
 
+def test_texts_ask_the_buckets_in_batches(spark, monkeypatch):
+    r = fx.rng()
+    rows = [(i, " ".join(r.choice("abcdefgh") + r.choice(["", "x", "y"]) for _ in range(r.randrange(60)))) for i in range(240)]
+    rows += [(300 + i, rows[3][1]) for i in range(40)] + [(None, rows[5][1]), (None, None), (None, rows[5][1])]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    want = brute_lm([(i, t or "") for i, (_, t) in enumerate(rows)], lambda i: held(rows[i][0]))
+    for name, value in (("SHARE", 0.01), ("WORD_SHARE", 0.1), ("BUCKET", 300), ("ASKED", 300), ("_HELD", 2000)):
+        monkeypatch.setattr(lm, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    total, types, weights, _, _ = lm.fit_weights(df)
+    cast = spark.sparkContext.broadcast(weights)
+    docs = df.withColumn("held_out", F.lit(False))
+    sent = lm._asked(docs, cast, math.log10(total + types + 1)).collect()
+    batches = [np.frombuffer(x.a, lm._TEXT) for x in sent if x.kind == lm._TEXTS]
+    assert weights.asked > 20 and len(batches) > 3 and sum(map(len, batches)) == len(rows)
+    # a row a batch and bucket, not a row a text and bucket
+    assert len(sent) <= len(batches) * (2 * weights.asked + 1) < len(rows) * weights.asked
+    got = lm.language_model(df).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, round(x[-1], 6))
+    found = sorted(((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got), key=key)
+    for g, w in zip(found, sorted(((d, held(d), *want[i]) for i, (d, _) in enumerate(rows)), key=key), strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-6
+    assert len({g.score for g in got if g.doc_id == 3 or (g.doc_id or 0) >= 300}) == 1
+
+
+def test_answers_to_other_batches_are_noticed():
+    def table(asks, answers):
+        text = np.zeros(2, lm._TEXT)
+        own = (0, lm._TEXTS, 7, text, np.array([asks]))
+        return pa.Table.from_batches([lm._rows([own, *answers])])
+
+    answer = (1, lm._ASK, 7, lm._steps(np.array([1])), np.array([-0.5]))
+    assert lm._finished(4)(table(1, [answer])).column("score").to_pylist() == [0.0, -0.5]
+    with pytest.raises(RuntimeError):
+        lm._finished(4)(table(2, [answer]))
+
+
+def test_places_by_leading_bits():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 300, 5000):
+        known = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        keys = np.concatenate([known, r.integers(0, 2**64 - 1, 1000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert (lm.Places(known)(keys) == lm._lookup(known, keys)).all()
+    crowded = np.arange(500, dtype=np.uint64) * np.uint64(3)
+    assert (lm.Places(crowded)(np.arange(1500, dtype=np.uint64)) == lm._lookup(crowded, np.arange(1500, dtype=np.uint64))).all()
+
+
 def test_language_model_on_awkward_rows(spark):
     df = fx.awkward(spark)
     rows = lm.language_model(df).collect()
