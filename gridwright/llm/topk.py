@@ -1,16 +1,20 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors become whole numbers, floor(64 * x). Queries and candidates are packed in blocks; every pair of a query block and
-a candidate block meets once, under a key of its own, and all its scores are one matrix product. Rounds of histograms then
-locate each query's k-th best score: a block counts its scores into ``BINS`` bins of the query's present range, the counts
-are summed over all blocks, and the bin that holds the k-th best becomes the next range, until a bin is one score. Below
-its own k-th best score a block counts nothing, as nothing there can be among the best. At last each block gives the rows
-above the k-th score and, at the score itself, as many as can count by the smaller id; a rank over those few is the result.
+Vectors become whole numbers, floor(64 * x). Queries and candidates are dealt to groups and packed in the fewest bytes their
+numbers need; every group of queries meets every group of candidates once, under a key of its own, and scores are matrix
+products of a block of the one and a block of the other. Rounds of histograms then locate each query's k-th best score: a pair
+of groups counts its scores into ``BINS`` bins of the query's present range, the counts are summed over all pairs, and the bin
+that holds the k-th best becomes the next range, until a bin is one score. The first range begins at the greatest of the
+groups' own k-th best scores, as nothing below can be among the best. At last each pair of groups gives the rows above the
+k-th score and, at the score itself, as many as can count by the smaller id; a rank over those few is the result.
+
+Only packed groups travel, a few copies of each, by a shuffle: nothing that grows with the vectors is broadcast or collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,13 @@ from pyspark.sql import functions as F
 from gridwright.llm.storage import stored
 
 QUERY_BLOCK, BLOCK, BINS = 1024, 4096, 1024
-_EXACT = 1 << 53
+#: A group of queries or of candidates has so many bytes at most, and a pair of groups so many scores, unless copies of groups
+#: would come to more than ``COPIES`` times the vectors.
+GROUP_BYTES, GROUP_SCORES, COPIES = 1 << 25, 1 << 24, 4
+_PACK = 1 << 22
+_PIECE = "g int, side int, n int, ids binary, data binary"
+_QUERIES, _STATE, _CANDIDATES = range(3)
+_NONE = -(1 << 63)
 
 
 def whole(column: str, scale: int = 64) -> Column:
@@ -34,77 +44,192 @@ def usable(column: str) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & fine
 
 
-def _packed(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """Blocks of about ``size`` rows: (block, ids, vs) and how many blocks there are. ``rows`` is a written table, so a row's
-    place in it is the same whenever it is read, and many rows of one id or vector spread over all blocks."""
-    n = max(1, -(-rows.count() // size))
-    block = F.pmod(F.xxhash64("id", F.lit(name), F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    lists = rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    return lists.select(name, F.col("r.id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_vs")), n
+def _grid(q_rows: int, c_rows: int, q_bytes: int, c_bytes: int) -> tuple[int, int]:
+    """Numbers of groups of queries and of candidates."""
+    pairs = max(1, min(q_rows * c_rows / GROUP_SCORES, (COPIES * (q_bytes + c_bytes) / 2) ** 2 / (q_bytes * c_bytes)))
+    nq = min(q_rows, max(1, ceil(q_bytes / GROUP_BYTES), round(sqrt(pairs * q_bytes / c_bytes))))
+    return nq, min(c_rows, max(ceil(c_bytes / GROUP_BYTES), ceil(pairs / nq)))
+
+
+def _kind(least: int, most: int) -> str:
+    """The smallest whole numbers that hold both."""
+    return next(kind for kind in ("i1", "i2", "i4", "i8") if np.iinfo(kind).min <= least and most <= np.iinfo(kind).max)
+
 
+def _range(column: str) -> list[Column]:
+    return [F.count("*").alias("n"), F.coalesce(F.min(F.array_min(column)), F.lit(0)).alias("least"), F.coalesce(F.max(F.array_max(column)), F.lit(0)).alias("most")]
 
-def _scores(batch: pa.RecordBatch, i: int, dims: int):
-    """Ids and all scores of one pair of blocks; exact: in doubles while sums stay below 2**53, else in whole numbers."""
-    part = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-    q, c = part("q_vs").reshape(-1, dims), part("c_vs").reshape(-1, dims)
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims < _EXACT:
-        s = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    else:
-        s = q @ c.T
-    q_ids, c_ids = part("q_ids"), part("c_ids")
-    return q_ids, c_ids, s, q_ids[:, None] != c_ids[None, :]
 
+def _bytes(found, dims: int) -> int:
+    return found["n"] * (dims * np.dtype(_kind(found["least"], found["most"])).itemsize + 8)
 
-def _kth(s: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the k-th best score, or the least there is."""
-    low = np.iinfo(np.int64).min
-    masked = np.where(other, s, low)
-    if masked.shape[1] > k:
-        return np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k]
-    return masked.min(axis=1, initial=0)
 
+def _packed(rows: DataFrame, side: int, dims: int, group: Column) -> DataFrame:
+    """Pieces of groups, of at most ``BLOCK`` rows: ids and vectors as bytes of the smallest whole numbers that hold a piece."""
+    size = BLOCK
 
-def _histogram(k: int, dims: int, first: bool):
-    """(query, bin, count, least and greatest score) of each pair of blocks. In the first round the range is not known yet:
-    only the range of the scores that can count is given."""
+    def cut(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in batches])
+        g, ids = part("g"), part("id")
+        v = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False) for b in batches]).reshape(len(ids), dims)
+        order = np.argsort(g, kind="stable")
+        ends = np.flatnonzero(np.diff(g[order], append=-1)) + 1
+        at = [slice(i, min(i + size, e)) for b, e in zip([0, *ends[:-1]], ends, strict=True) for i in range(b, e, size)]
+        pieces = [v[order[x]] for x in at]
+        data = [x.astype(_kind(int(x.min(initial=0)), int(x.max(initial=0)))).tobytes() for x in pieces]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([g[order[x.start]] for x in at], pa.int32()), pa.array([side] * len(at), pa.int32()), pa.array([len(x) for x in pieces], pa.int32()),
+                pa.array([ids[order[x]].tobytes() for x in at], pa.binary()), pa.array(data, pa.binary()),
+            ],
+            ["g", "side", "n", "ids", "data"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, _, s, other = _scores(batch, i, dims)
-                floor = _kth(s, other, k)
-                counts = other & (s >= floor[:, None])
-                if first:
-                    some = np.flatnonzero(counts.any(axis=1))
-                    high = np.where(counts, s, np.iinfo(np.int64).min).max(axis=1)[some]
-                    low = np.where(counts, s, np.iinfo(np.int64).max).min(axis=1)[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(low), pa.array(high), pa.array(np.minimum(counts.sum(axis=1)[some], k))], ["query_id", "low", "high", "n"])
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) * dims >= _PACK:
+                yield from cut(held)
+                held = []
+        if held:
+            yield from cut(held)
+
+    return rows.select(group.cast("int").alias("g"), "id", "v").mapInArrow(run, _PIECE)
+
+
+def _met(batches: Iterator[pa.RecordBatch], dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, ids and state of the queries, ids and vectors of the candidates of a pair of groups."""
+    length = {_QUERIES: dims, _STATE: 2, _CANDIDATES: dims}
+    found: dict[int, list] = {side: [(np.empty(0, np.int64), np.empty((0, length[side]), np.int8))] for side in length}
+    for batch in batches:
+        sides, ns, ids, data = (batch.column(c) for c in ("side", "n", "ids", "data"))
+        for i in range(batch.num_rows):
+            side, n, of, packed = sides[i].as_py(), ns[i].as_py(), ids[i].as_buffer(), data[i].as_buffer()
+            found[side].append((np.frombuffer(of, np.int64), np.frombuffer(packed, f"i{packed.size // (n * length[side])}").reshape(n, length[side])))
+    return [(np.concatenate([x[0] for x in f]), np.concatenate([x[1] for x in f])) for f in found.values()]
+
+
+def _asked(met: list[tuple[np.ndarray, np.ndarray]]):
+    """Ids, vectors, lows and widths of the queries that have a state."""
+    (q_ids, q), (ids, state), _ = met
+    order = np.argsort(ids)
+    place = np.minimum(np.searchsorted(ids[order], q_ids), max(0, len(ids) - 1))
+    has = ids[order][place] == q_ids if len(ids) else np.zeros(len(q_ids), bool)
+    state = state[order][place[has]].astype(np.int64)
+    return q_ids[has], q[has], state[:, 0], state[:, 1]
+
+
+def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All scores of two blocks; exact: in floating point while sums stay whole there, else in 64 bits."""
+    most = 1
+    for x in (q, c):
+        most *= max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    for kind, bits in ((np.float32, 24), (np.float64, 53)):
+        if most * q.shape[1] < 1 << bits:
+            return q.astype(kind) @ c.astype(kind).T
+    return q.astype(np.int64) @ c.astype(np.int64).T
+
+
+def _blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    """Of a block of queries and each block of candidates: scores, the places where both have one id, the candidates' ids."""
+    order = np.argsort(q_ids)
+    for at in range(0, len(c_ids), size):
+        ids = c_ids[at : at + size]
+        row = order[np.minimum(np.searchsorted(q_ids, ids, sorter=order), len(q_ids) - 1)]
+        own = np.flatnonzero(q_ids[row] == ids)
+        yield _scores(q, c[at : at + size]), (row[own], own), ids
+
+
+def _reached(s: np.ndarray, own: tuple[np.ndarray, np.ndarray], low: np.ndarray, above: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of what reaches each row's ``low``. Where ``low`` has no exact form in the scores' type, it is beyond
+    all of them, and so is what it is rounded to."""
+    bound = low.astype(s.dtype)[:, None]
+    reached = s > bound if above else s >= bound
+    reached[own] = False
+    row, col = np.divmod(np.flatnonzero(reached), s.shape[1])
+    return row, col, s[row, col].astype(np.int64)
+
+
+def _best(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, or all."""
+    return np.partition(rows, rows.shape[1] - k, axis=1)[:, rows.shape[1] - k :] if rows.shape[1] > k else rows
+
+
+def _ranges(k: int, dims: int) -> Callable:
+    """(query, the k-th best score or the least there is, the best score, how many there are up to k) of each pair of groups."""
+    rows, size = QUERY_BLOCK, BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (q_ids, q), _, (c_ids, c) = _met(batches, dims)
+        for at in range(0, len(q_ids), rows):
+            ids = q_ids[at : at + rows]
+            best, n = np.empty((len(ids), 0), np.int64), np.zeros(len(ids), np.int64)
+            for s, own, _ in _blocks(ids, q[at : at + rows], c_ids, c, size):
+                if (n < k).any():
+                    s[own] = _NONE
+                    n = np.minimum(n + s.shape[1] - np.bincount(own[0], minlength=len(ids)), k)
+                    best = _best(np.concatenate([best, _best(s, k).astype(np.int64)], axis=1), k)
                     continue
-                low, width = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("low", "width"))
-                counts &= width[:, None] > 0
-                row, col = np.nonzero(counts & (s >= low[:, None]))
-                bin_ = np.minimum((s[row, col] - low[row]) // width[row], BINS)  # above the range: one bin
-                key, n = np.unique(row * (BINS + 1) + bin_, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[key // (BINS + 1)]), pa.array(key % (BINS + 1)), pa.array(n)], ["query_id", "bin", "n"])
+                row, _, score = _reached(s, own, best.min(axis=1), above=True)
+                if len(row):
+                    count = np.bincount(row, minlength=len(ids))
+                    more = np.full((len(ids), count.max()), _NONE)
+                    more[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = score
+                    best = _best(np.concatenate([best, more], axis=1), k)
+            some = np.flatnonzero(n)
+            best = np.sort(best[some], axis=1)
+            low, high = (best[np.arange(len(some)), best.shape[1] - x] for x in (n[some], 1)) if len(some) else (n[:0], n[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], low, high, n[some])], ["query_id", "low", "high", "n"])
 
     return run
 
 
-def _pick(k: int, dims: int):
-    """Rows that reach the k-th score: all above it, and at it the k smallest ids of a block."""
+def _histogram(dims: int) -> Callable:
+    """(query, bin, count) of each pair of groups, for queries whose range is open."""
+    rows, size, bins = QUERY_BLOCK, BLOCK, BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, c_ids, s, other = _scores(batch, i, dims)
-                low = batch.column("low")[i].values.to_numpy(zero_copy_only=False)
-                row, col = np.nonzero(other & (s >= low[:, None]))
-                order = np.lexsort([c_ids[col], -s[row, col], row])
-                row, col = row[order], col[order]
-                begin = np.searchsorted(row, row, "left")
-                top = np.arange(len(row)) - begin < k
-                row, col = row[top], col[top]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
+        met = _met(batches, dims)
+        q_ids, q, low, width = _asked(met)
+        c_ids, c = met[_CANDIDATES]
+        is_open = np.flatnonzero(width > 0)
+        for at in range(0, len(is_open), rows):
+            asked = is_open[at : at + rows]
+            keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, own, _ in _blocks(q_ids[asked], q[asked], c_ids, c, size):
+                row, _, score = _reached(s, own, low[asked])
+                bin_ = np.minimum((score - low[asked][row]) // width[asked][row], bins)  # above the range: one bin
+                key, n = np.unique(row * (bins + 1) + bin_, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+            key, place = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, place, np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[asked][key // (bins + 1)]), pa.array(key % (bins + 1)), pa.array(n)], ["query_id", "bin", "n"])
+
+    return run
+
+
+def _pick(k: int, dims: int) -> Callable:
+    """Rows that reach the k-th score: all above it, and at it the k smallest ids of a pair of groups."""
+    rows, size = QUERY_BLOCK, BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _met(batches, dims)
+        q_ids, q, low, _ = _asked(met)
+        c_ids, c = met[_CANDIDATES]
+        for at in range(0, len(q_ids), rows):
+            asked = slice(at, at + rows)
+            row, ids, score = (np.empty(0, np.int64) for _ in range(3))
+            for s, own, of in _blocks(q_ids[asked], q[asked], c_ids, c, size):
+                r, col, value = _reached(s, own, low[asked])
+                row, ids, score = (np.concatenate(x) for x in ((row, r), (ids, of[col]), (score, value)))
+                order = np.lexsort([ids, ~score, row])
+                row = row[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                row, ids, score = row[top], ids[order][top], score[order][top]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[asked][row], ids, score)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -120,25 +245,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     vectors = stored(vectors.where("id is not null").select("id", "v"), "vectors")
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    head = vectors.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    head = vectors.groupBy(F.size("v").alias("dims")).agg(*_range("v")).orderBy(F.desc("n"), F.desc("dims")).first()
     if head is None:
         return vectors.sparkSession.createDataFrame([], schema)
     dims = head["dims"]
     vectors = vectors.where(F.size("v") == dims)
     queries = stored(queries.where(F.col("id").isNotNull() & (F.size("v") == dims)).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    if queries.isEmpty():
+    asked = queries.agg(*_range("v")).first()
+    if not asked["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
-    q, nq = _packed(queries, "q", QUERY_BLOCK)
-    c, nc = _packed(vectors, "c", BLOCK)
-    q, c = stored(q, "blocks"), stored(c, "blocks")
+    nq, nc = _grid(asked["n"], head["n"], _bytes(asked, dims), _bytes(head, dims))
+    q_group = lambda of: F.pmod(F.xxhash64(of, F.lit("q")), F.lit(nq))
+    q = stored(_packed(queries, _QUERIES, dims, q_group("id")), "groups")
+    # a row's place in a written table is the same whenever it is read, and many rows of one id or vector spread over all groups
+    c = stored(_packed(vectors, _CANDIDATES, dims, F.pmod(F.xxhash64("id", F.lit("c"), F.monotonically_increasing_id()), F.lit(nc))), "groups")
+
+    def met(run: Callable, out: str, known: DataFrame | None = None) -> DataFrame:
+        """Each pair of groups once. The copies of a group travel, not pairs of rows; a join could be planned as a broadcast, as the
+        planner does not know how many copies there are."""
+        left = q if known is None else q.unionAll(_packed(known, _STATE, 2, q_group("id")))
+        copies = lambda pieces, n, key: pieces.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(key.alias("pair"), "side", "n", "ids", "data")
+        pairs = copies(left, nc, F.col("g") * nc + F.col("o")).unionAll(copies(c, nq, F.col("o") * nc + F.col("g")))
+        return pairs.repartition(nq * nc, "pair").groupBy("pair").applyInArrow(run, out)
 
-    def met(q_blocks: DataFrame) -> DataFrame:
-        """Each pair of blocks once. The many copies of a block travel, not pairs of rows."""
-        a = q_blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-        b = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-        return a.join(b, ["q", "c"])
+    def ranges(low: str | Column, width: Column) -> DataFrame:
+        return state.select(F.col("query_id").alias("id"), F.array(low, width).alias("v"))
 
-    size = stored(met(q).select("q_ids", "q_vs", "c_ids", "c_vs").mapInArrow(_histogram(k, dims, True), "query_id bigint, low bigint, high bigint, n bigint"), "ranges")
+    size = met(_ranges(k, dims), "query_id bigint, low bigint, high bigint, n bigint")
     state = size.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("low"))), F.min("low")).alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     state = stored(state.select("query_id", "low", "high", F.least(F.col("n"), F.lit(k)).alias("want")), "state")
     while True:
@@ -146,26 +279,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if open_.isEmpty():
             break
         width = F.when(F.col("low") < F.col("high"), F.floor((F.col("high") - F.col("low")) / F.lit(BINS)) + 1).otherwise(0).cast("bigint")
-        got = met(_with_state(q, state.withColumn("width", width), ["low", "width"])).select("q_ids", "q_vs", "c_ids", "c_vs", "low", "width")
-        counts = stored(got.mapInArrow(_histogram(k, dims, False), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n")), "counts")
+        counts = met(_histogram(dims), "query_id bigint, bin bigint, n bigint", ranges("low", width)).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         total = Window.partitionBy("query_id").orderBy(F.desc("bin"))  # BINS rows a query at most
-        cum = counts.withColumn("upto", F.sum("n").over(total)).join(state.withColumn("width", width), "query_id")
+        cum = counts.withColumn("upto", F.sum("n").over(total)).join(state.withColumn("width", width).hint("merge"), "query_id")
         found = cum.where("upto >= want").groupBy("query_id").agg(F.max_by(F.struct("bin", "low", "width"), "bin").alias("b"))
         moved = found.select("query_id", (F.col("b.low") + F.col("b.bin") * F.col("b.width")).alias("lo"), F.col("b.width").alias("w"))
         state = stored(
-            state.join(moved, "query_id", "left").select(
+            state.join(moved.hint("merge"), "query_id", "left").select(
                 "query_id", F.coalesce("lo", "low").alias("low"), F.coalesce(F.least(F.col("lo") + F.col("w") - 1, F.col("high")), F.col("high")).alias("high"), "want",
             ),
             "state",
         )
-    best = met(_with_state(q, state, ["low"])).select("q_ids", "q_vs", "c_ids", "c_vs", "low").mapInArrow(_pick(k, dims), "query_id bigint, vec_id bigint, score bigint")
+    best = met(_pick(k, dims), "query_id bigint, vec_id bigint, score bigint", ranges("low", F.lit(0).cast("bigint")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _with_state(blocks: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
-    """Query blocks with lists of the queries' present ranges, in the order of their ids."""
-    each = blocks.select("q", F.posexplode("q_ids").alias("p", "query_id")).join(state.select("query_id", *columns), "query_id", "left")
-    none = {"low": F.lit(2**62), "width": F.lit(0)}
-    lists = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("p", *[F.coalesce(F.col(x), none[x]).cast("bigint").alias(x) for x in columns]))).alias("s"))
-    return blocks.join(lists.select("q", *[F.col(f"s.{x}").alias(x) for x in columns]), "q")

@@ -7,6 +7,7 @@ import time
 from collections import Counter, defaultdict
 
 import fixtures as fx
+import numpy as np
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -86,6 +87,41 @@ def test_top_k_keeps_every_row_of_an_id(spark, monkeypatch):
     assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 504))
 
 
+@pytest.mark.parametrize("span, dims, k", [(40, 1, 3), (1, 5, 7), (2**13, 5, 90), (2**30, 5, 7)])
+def test_top_k_over_many_groups(spark, monkeypatch, span, dims, k):
+    """Groups of a few rows, also fewer than k; vectors of one component; ids of both signs, one of them often."""
+    monkeypatch.setattr(topk, "GROUP_BYTES", 200)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    grid = []
+    monkeypatch.setattr(topk, "_grid", lambda *x, f=topk._grid: grid.append(f(*x)) or grid[-1])
+    r = fx.rng()
+    same = [r.randint(-span, span) for _ in range(dims)]
+    rows = [(40 if i % 9 == 0 else i - 150, same if i % 3 == 0 else [r.randint(-span, span) for _ in range(dims)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    queries = {i: v for i, v in sorted(rows, reverse=True) if i % 20 == 0}
+    assert got_top(topk.top_k(df, df.where("id % 20 = 0"), k)) == brute_top(rows, queries.items(), k)
+    assert grid[0][1] > 10
+
+
+def test_top_k_scores_wrap_beyond_64_bits():
+    q, c = np.array([[-(2**63), 1]]), np.array([[1, 2], [3, -5], [2, 7]])
+    assert topk._scores(q, c).tolist() == [[-(2**63) + 2, 2**63 - 5, 7]]
+
+
+def test_top_k_broadcasts_and_collects_nothing(spark, monkeypatch):
+    """Copies of blocks were broadcast where the blocks themselves were below the threshold: as many as there are blocks of the other side."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(topk, "stored", lambda df, name, put=topk.stored: (plans.append(plan(df)), put(df, name))[1])
+    r = fx.rng()
+    df = spark.createDataFrame([(i, [r.randint(-99, 99) for _ in range(8)]) for i in range(400)], "id long, v array<long>")
+    plans.append(plan(topk.top_k(df, df.where("id % 20 = 0"))))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 # mixing
 
 
