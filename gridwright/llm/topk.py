@@ -26,7 +26,7 @@ from gridwright.llm.storage import stored
 QUERY_BLOCK, BLOCK, BINS = 1024, 4096, 1024
 #: A group of queries or of candidates has so many bytes at most, and a pair of groups so many scores, unless copies of groups
 #: would come to more than ``COPIES`` times the vectors.
-GROUP_BYTES, GROUP_SCORES, COPIES = 1 << 25, 1 << 24, 4
+GROUP_BYTES, GROUP_SCORES, COPIES = 1 << 25, 1 << 25, 4
 _PACK = 1 << 22
 _PIECE = "g int, side int, n int, ids binary, data binary"
 _QUERIES, _STATE, _CANDIDATES = range(3)
